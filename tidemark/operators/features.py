@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.temporal import range_join
+from tidemark.operators.temporal import interval_join, range_join
 
 
 @dataclass(frozen=True)
@@ -311,3 +311,92 @@ def latest_item_states(
         )
         .select(key, at, item, "state_day", "__state.*")
     )
+
+
+def interval_features(
+    windows: DataFrame,
+    events: DataFrame,
+    specs: Sequence[Feature],
+    key: str,
+    start: str,
+    end: str,
+    day: str = "event_day",
+    bin_days: int = 30,
+) -> DataFrame:
+    """Every window row with the features of events in its own ``[start, end]`` days.
+
+    Equal (key, start, end) windows are computed once. The ages of the specs are not
+    used; a recency counts back from ``end``.
+    """
+    base = windows.select(key, start, end).distinct()
+    plain = [f for f in specs if f.agg != "distinct"]
+    daily, parts = _daily(events, key, day, plain)
+    pairs = interval_join(base, daily, key, start, end, "__day", bin_days)
+    outputs = []
+    for f in plain:
+        merged = {}
+        for kind, ident in _part_keys(f).items():
+            part = F.col(parts[ident])
+            if f.agg == "days":
+                merged[kind] = F.count(F.when(part > 0, 1))
+            elif kind in ("rows", "sum", "known", "square"):
+                merged[kind] = F.sum(part)
+            elif kind in ("max", "min"):
+                merged[kind] = (F.max if kind == "max" else F.min)(part)
+            else:
+                known = F.when(part.isNotNull(), F.col("__day"))
+                merged[kind] = (F.max_by if kind == "last" else F.min_by)(part, known)
+        outputs.append(_finish(f, merged, end).alias(f.name))
+    out = pairs.groupBy(key, start, end).agg(*outputs)
+    for f in (f for f in specs if f.agg == "distinct"):
+        kept = events.where(F.expr(f.when)) if f.when else events
+        values = (
+            kept.select(key, F.col(day).alias("__day"), F.expr(f.value).alias("__value"))
+            .where(F.col("__value").isNotNull() & (F.col("__value").cast("string") != ""))
+            .distinct()
+        )
+        counted = (
+            interval_join(base, values, key, start, end, "__day", bin_days)
+            .select(key, start, end, "__value").distinct()
+            .groupBy(key, start, end).agg(F.count(F.lit(1)).alias(f.name))
+        )
+        out = out.join(counted, [key, start, end], "left")
+    joined = windows.join(out, [key, start, end], "left")
+    zero = {"count", "days", "distinct", "any", "sum"}
+    columns = []
+    for f in specs:
+        default = f.fill if f.fill is not None else (0 if f.agg in zero else None)
+        column = F.col(f.name)
+        if default is not None:
+            column = F.coalesce(column, F.lit(default).cast(joined.schema[f.name].dataType))
+        columns.append(column.alias(f.name))
+    return joined.select(*windows.columns, *columns)
+
+
+def grouped_features(
+    events: DataFrame, specs: Sequence[Feature], keys: Sequence[str], day: str = "event_day"
+) -> DataFrame:
+    """The same specs as one plain aggregation over groups that do not overlap."""
+    outputs = []
+    for f in specs:
+        value = _guard(F.expr(f.value) if f.value else F.lit(1), f.when)
+        if f.agg == "count":
+            out = F.count(value if f.value is None else _guard(F.lit(1), f.when))
+        elif f.agg == "sum":
+            out = F.coalesce(F.sum(value.cast("double")), F.lit(0.0))
+        elif f.agg == "mean":
+            out = F.avg(value)
+        elif f.agg == "stddev":
+            out = F.stddev_samp(value)
+        elif f.agg == "any":
+            out = F.max(_guard(F.lit(1), f.when))
+        elif f.agg == "days":
+            out = F.count_distinct(_guard(F.col(day), f.when))
+        elif f.agg == "distinct":
+            out = F.count_distinct(F.when(value.cast("string") != "", value))
+        elif f.agg in ("max", "min"):
+            out = (F.max if f.agg == "max" else F.min)(value)
+        else:
+            raise ValueError(f"{f.agg} needs a spine")
+        outputs.append(out.alias(f.name))
+    return events.groupBy(*keys).agg(*outputs)

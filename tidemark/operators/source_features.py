@@ -582,9 +582,7 @@ def carried_fluid_features(
 
     ``order`` decides between samples of the same day.
     """
-    known = severity_trend(
-        daily_samples(graded.where("severity_known is not null"), order, key, measures), key
-    ).withColumn("known_day", F.col(DAY))
+    known = severity_trend(graded, order, key).withColumn("known_day", F.col(DAY))
     latest = daily_samples(graded, order, key, measures).withColumn("sample_day", F.col(DAY))
     out = asof_join(
         spine, known, key, AT, DAY, ["severity_known", "severity_trend", "known_day"], inclusive=False,

@@ -37,7 +37,7 @@ def query(name: str, covers: str, sql: str | None = None):
     return wrap
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
     """All double columns rounded, everything else unchanged."""
     doubles = {f.name for f in df.schema.fields if f.dataType.simpleString() in ("double", "float")}
     return df.select(
@@ -48,7 +48,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     )
 
 
-def round_sql(inner: str, exact: list[str], doubles: list[str], digits: int = 6) -> str:
+def round_sql(inner: str, exact: list[str], doubles: list[str], digits: int = 9) -> str:
     """The SQL twin of ``rounded``: selects ``exact`` and rounds ``doubles``."""
     parts = [*exact, *[f"round(CAST({c} AS DOUBLE), {digits}) + 0.0 AS {c}" for c in doubles]]
     return f"SELECT {', '.join(parts)} FROM ({inner}) AS answer"

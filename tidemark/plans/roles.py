@@ -69,18 +69,19 @@ RAW_OPERATION = {
     "SERIAL": _C_SERIAL,
     "LOCAL_DATE": "cast(l_shipdate as date)",
     "smr_hours": "case when l_partkey % 5 = 0 then null else (year(l_shipdate) - 1995) * 1000.0 + month(l_shipdate) * 80 + l_quantity end",
-    "smr_delta_clean_since_prev_obs_hours": "l_quantity / 4",
-    "actual_working_hours_clean": "case when l_partkey % 11 = 0 then null else l_quantity / 3 end",
+    "smr_delta_clean_since_prev_obs_hours": "l_quantity * 0.2437e0",
+    "actual_working_hours_clean": "case when l_partkey % 11 = 0 then null else l_quantity * 0.3313e0 end",
     "actual_work_streak_through_current_day": "l_linenumber",
-    "engine_running_hours_clean": "l_quantity / 2",
-    "engine_idling_hours_clean": "l_quantity * l_discount",
-    "throttle_full_hours_clean": "l_quantity * l_tax",
+    "engine_running_hours_clean": "l_quantity * 0.5171e0",
+    "engine_idling_hours_clean": "l_quantity * l_discount * 0.9137e0",
+    "throttle_full_hours_clean": "l_quantity * l_tax * 0.8713e0",
     "throttle_average_dial_position_clean": "case when l_partkey % 3 = 0 then null else l_tax * 100 end",
-    "traveling_hours_clean": "l_quantity * l_discount / 2",
-    "moving_back_forth_hours_clean": "l_quantity * l_tax / 2",
-    "steering_hours_clean": "l_tax * 3",
+    "traveling_hours_clean": "l_quantity * l_discount * 0.4591e0",
+    "moving_back_forth_hours_clean": "l_quantity * l_tax * 0.6133e0",
+    "steering_hours_clean": "l_tax * 3.0171e0",
     "auto_quick_shift_hours_clean": "l_discount * 5",
     "manual_variable_shift_hours_clean": "l_discount * 7",
+    "working_hours_clean": "l_quantity * 0.2911e0",
     "engine_idle_share_daily": "case when l_partkey % 7 = 0 then null else l_discount end",
     "throttle_full_share_clean": "l_tax",
     "smr_valid_for_utilization_flag": "case when l_partkey % 4 = 0 then 'false' else 'yes' end",
@@ -117,7 +118,7 @@ RAW_FLUID = {
     "FULL_MODEL": "'SX-' || cast(l_suppkey % 3 as string)",
     "SERIAL": "cast(500 + l_suppkey as string)",
     "sample_drawn_date": "cast(l_shipdate as date)",
-    "sample_id": "l_orderkey * 10 + l_linenumber",
+    "LABS_SAMPLE_NUMBER": "l_orderkey * 10000000 + l_partkey * 100 + l_linenumber",
     "sample_result_severity_order": "case when l_partkey % 7 = 0 then null else l_partkey % 6 end",
     "TELEMETRY_SMR_NUMERIC": "case when l_partkey % 4 = 0 then null else l_quantity * 10 end",
     "Cu_Copper_PPM": "case when l_partkey % 3 = 0 then null else l_quantity end",

@@ -61,9 +61,9 @@ SELECT machine_id AS model_id, full_model, local_date AS event_day, claim_number
 FROM ({roles.RAW_CLAIM_SQL}) AS raw"""
 
 FLUID_SQL = f"""
-SELECT machine_id AS model_id, sample_drawn_date AS event_day, sample_id,
+SELECT machine_id AS model_id, sample_drawn_date AS event_day, LABS_SAMPLE_NUMBER AS sample_id,
   CAST(sample_result_severity_order AS DOUBLE) AS severity, CAST(TELEMETRY_SMR_NUMERIC AS DOUBLE) AS smr_hours,
-  * EXCLUDE (machine_id, sample_drawn_date, sample_id, sample_result_severity_order, TELEMETRY_SMR_NUMERIC)
+  * EXCLUDE (machine_id, sample_drawn_date, LABS_SAMPLE_NUMBER, sample_result_severity_order, TELEMETRY_SMR_NUMERIC)
 FROM ({roles.RAW_FLUID_SQL}) AS raw"""
 
 
@@ -186,8 +186,8 @@ FAULT_FROZEN_SQL = round_sql(
      "CAST(coalesce(fault_count_90d, 0) > 0 AS INT) AS has_fault_90d",
      "CAST(days_since_last_fault AS INT) AS days_since_last_fault",
      "CAST(days_since_last_severe_fault AS INT) AS days_since_last_severe_fault",
-     "round(coalesce(sum_log_occurrence_90d, 0), 6) AS sum_log_occurrence_90d",
-     "round(coalesce(occurrence_severity_score_90d, 0), 6) AS occurrence_severity_score_90d"],
+     "round(coalesce(sum_log_occurrence_90d, 0), 9) AS sum_log_occurrence_90d",
+     "round(coalesce(occurrence_severity_score_90d, 0), 9) AS occurrence_severity_score_90d"],
     ["smr_latest_before_snapshot", "max_action_level_90d", "max_log_occurrence_90d", "max_event_evidence_score_90d",
      "avg_event_evidence_score_90d", "max_context_evidence_score_90d", "fault_smr_delta_90d", "faults_per_100_hours",
      "repeat_fault_ratio_90d", "top_component_fault_ratio_90d"],
@@ -302,7 +302,7 @@ OPERATION_BASIC_SQL = round_sql(
     ),
     ["model_id", "snapshot_date", "coalesce(operation_day_count_window, 0) AS operation_day_count_window",
      "CAST(coalesce(rows_window, 0) > 0 AS INT) AS has_operation_window",
-     *[f"round(CAST(coalesce({c}, 0) AS DOUBLE), 6) AS {c}" for c in _OB_SUMS]],
+     *[f"round(CAST(coalesce({c}, 0) AS DOUBLE), 9) AS {c}" for c in _OB_SUMS]],
     ["operation_working_hours_mean_window", "operation_working_hours_max_window", "operation_latest_smr_window",
      "operation_idle_share_window", "operation_smr_delta_window"],
 )
@@ -423,7 +423,7 @@ FLUID_BASIC_SQL = round_sql(
     spine_agg(roles.SAMPLE_SPINE_SQL, FLUID_SQL, _LB),
     ["model_id", "snapshot_date", "coalesce(fluid_sample_count_window, 0) AS fluid_sample_count_window",
      "CAST(coalesce(fluid_sample_count_window, 0) > 0 AS INT) AS has_fluid_window",
-     "fluid_days_since_latest_sample_window", "round(fluid_latest_severity_window.v, 6) AS fluid_latest_severity_window"],
+     "fluid_days_since_latest_sample_window", "round(fluid_latest_severity_window.v, 9) AS fluid_latest_severity_window"],
     [c for c in _LB if "_max_" in c],
 )
 
@@ -445,7 +445,7 @@ _LF = {
 FLUID_FROZEN_SQL = round_sql(
     spine_agg(roles.SAMPLE_SPINE_SQL, FLUID_SQL, _LF),
     ["model_id", "snapshot_date", "coalesce(fluid_sample_count_365d, 0) AS fluid_sample_count_365d", "days_since_last_fluid_sample",
-     *[f"round({m}.v, 6) AS {m}" for m in LATEST_MEASURES]],
+     *[f"round({m}.v, 9) AS {m}" for m in LATEST_MEASURES]],
     ["fluid_sample_severity_max_365d", "fluid_sample_latest_smr"],
 )
 

@@ -33,6 +33,7 @@ from tidemark.functions.scalars import (
     number,
     timestamp,
 )
+from tidemark.operators.ordering import first_per_group
 
 # Alias columns of the entity key and of the dates, first match wins.
 KEY_COLUMNS = ("model_id", "MODEL_ID", "machine_id", "MACHINE_ID")
@@ -245,8 +246,13 @@ def standard_maintenance(raw: DataFrame, roster: DataFrame | None = None) -> Dat
     )
 
 
-def standard_operation(raw: DataFrame, roster: DataFrame | None = None) -> DataFrame:
-    """Daily operation rows: local day first, numeric defaults, 0/1 flags."""
+def standard_operation(
+    raw: DataFrame, roster: DataFrame | None = None, keep: Sequence[str] = ()
+) -> DataFrame:
+    """Daily operation rows: local day first, numeric defaults, 0/1 flags.
+
+    ``keep`` names further numeric columns to carry along.
+    """
     df = _with_entity(raw, roster)
     when = F.coalesce(
         timestamp(first_existing(df, ("LOCAL_DATE", "local_date", "event_date", "date"))),
@@ -259,6 +265,7 @@ def standard_operation(raw: DataFrame, roster: DataFrame | None = None) -> DataF
           else number(first_existing(df, (c,), d)).alias(c) for c, d in OPERATION_MEASURES.items()],
         *[flag(first_existing(df, (c,), 0)).alias(c) for c in OPERATION_FLAGS],
         F.to_date(timestamp(first_existing(df, ("last_actual_work_date_through_current_day",)))).alias("last_work_day"),
+        *[number(first_existing(df, (c,))).alias(c) for c in keep],
     )
 
 
@@ -294,6 +301,7 @@ def standard_fluids(raw: DataFrame, roster: DataFrame | None = None) -> DataFram
         number(
             first_existing(df, ("TELEMETRY_SMR_NUMERIC", "telemetry_smr_numeric", "smr_hours", "SMR_HOURS"))
         ).alias("smr_hours"),
+        first_existing(df, ("LABS_SAMPLE_NUMBER",)).alias("sample_number"),
         *[number(first_existing(df, (c,))).alias(c) for c in FLUID_MEASURES],
     )
 
@@ -319,15 +327,23 @@ def graded_fluids(samples: DataFrame, first: str = "2015-01-01", last: str = "20
 
 
 def severity_trend(
-    daily: DataFrame, key: str = "model_id", day: str = "event_day", value: str = "severity_known"
+    samples: DataFrame, order: str, key: str = "model_id", day: str = "event_day",
+    value: str = "severity_known",
 ) -> DataFrame:
-    """Change against the key's previous known value, within -4 and 4, 0 for the first.
+    """Last known sample of every (key, day) with its change against the sample before.
 
-    Expects one row per (key, day), so that each window holds calendar days only.
+    The change is kept within -4 and 4 and is 0 for the first sample. Only the last two
+    samples of a day can matter, so the window of a key holds at most two rows per day.
     """
-    previous = F.lag(value).over(Window.partitionBy(key).orderBy(day))
-    return daily.where(F.col(value).isNotNull()).withColumn(
-        "severity_trend", clip(F.coalesce(F.col(value) - previous, F.lit(0.0)), -4.0, 4.0)
+    known = samples.where(F.col(value).isNotNull())
+    last_two = first_per_group(known, [key, day], [F.col(order).desc()], 2, number="__from_last")
+    previous = F.lag(value).over(Window.partitionBy(key).orderBy(day, order))
+    return (
+        last_two.withColumn(
+            "severity_trend", clip(F.coalesce(F.col(value) - previous, F.lit(0.0)), -4.0, 4.0)
+        )
+        .where("__from_last = 1")
+        .drop("__from_last")
     )
 
 
