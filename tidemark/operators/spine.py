@@ -312,7 +312,7 @@ def anchor_manifest(
     if mode == "even":
         gaps = out.withColumn("__gap", F.datediff("anchor_date", F.lag("anchor_date").over(window)))
         ok = gaps.groupBy("fold").agg(F.coalesce(F.min("__gap") >= gap, F.lit(True)).alias("__ok"))
-        out = out.join(ok, "fold").withColumn("anchor_date", F.when("__ok", F.col("anchor_date")))
+        out = out.join(ok, "fold").withColumn("anchor_date", F.when(F.col("__ok"), F.col("anchor_date")))
     return out.select(
         "fold",
         F.format_string("%s_A%02d", F.col("fold"), F.col("__turn")).alias("anchor_id"),
