@@ -1,4 +1,4 @@
 """Importing this module registers every named query."""
 
-from tidemark.plans import rolling_queries, snapshot_queries, source_queries, spine_queries  # noqa: F401
+from tidemark.plans import metric_queries, rolling_queries, snapshot_queries, source_queries, spine_queries  # noqa: F401
 from tidemark.plans.registry import QUERIES  # noqa: F401
