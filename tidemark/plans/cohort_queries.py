@@ -380,7 +380,7 @@ def _(t):
     return ch.controlled_ratio_pool(cases, fleet, _claims(t), _end(t), 2).select("case_control_group_id", "machine_key", "split", "target", "control_rank")
 
 
-_HROWS = f"SELECT model_id AS machine_key, CASE WHEN CAST(right(model_id, 1) AS INT) % 2 = 0 THEN 'validation' ELSE 'test' END AS split, days_to_next_claim_on_or_after_window_end AS d FROM ({NEXT_SQL}) AS n WHERE snapshot_date = DATE '1999-12-07'"
+_HROWS = f"SELECT model_id AS machine_key, CASE WHEN CAST(right(model_id, 1) AS INT) % 2 = 0 THEN 'validation' ELSE 'test' END AS split, days_to_next_claim_on_or_after_window_end AS d FROM ({NEXT_SQL}) AS n WHERE snapshot_date = DATE '1999-12-06'"
 
 
 @query(
@@ -391,7 +391,7 @@ c AS (SELECT split, horizon, least(sum(target), floor(sum(1 - target) / 3.0)) AS
 SELECT k.machine_key, k.split, k.horizon, ratio, target, rank FROM k JOIN c ON c.split = k.split AND c.horizon = k.horizon, (VALUES (1), (3)) AS z(ratio) WHERE (target = 1 AND rank <= take) OR (target = 0 AND rank <= take * ratio)""",
 )
 def _(t):
-    rows = with_next(t).where("snapshot_date = date'1999-12-07'").selectExpr(
+    rows = with_next(t).where("snapshot_date = date'1999-12-06'").selectExpr(
         "model_id as machine_key", "if(cast(right(model_id, 1) as int) % 2 = 0, 'validation', 'test') as split", f"{lb.LEAD_DAYS} as d"
     )
     return ch.horizon_ratio_cohorts(rows, "d", (30, 90), (1, 3))

@@ -18,12 +18,17 @@ def _hadoop_path(spark: SparkSession, path: str):
     return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists on its Hadoop file system."""
+    hadoop, fs = _hadoop_path(spark, path)
+    return fs.exists(hadoop)
+
+
 def first_existing_path(spark: SparkSession, folder: str, names: Sequence[str]) -> str:
     """First of the file names that exists in a folder of any Hadoop file system."""
     for name in names:
         path = f"{folder.rstrip('/')}/{name}"
-        hadoop, fs = _hadoop_path(spark, path)
-        if fs.exists(hadoop):
+        if path_exists(spark, path):
             return path
     raise FileNotFoundError(f"none of {list(names)} exists in {folder}")
 

@@ -20,15 +20,18 @@ def key_digest(columns: Sequence[str]) -> Column:
     return F.to_json(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("<NA>")) for c in columns]))
 
 
+def unseen_rows(history: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Incoming rows whose key history lacks; duplicates within incoming are kept."""
+    known = history.select(key_digest(keys).alias("__key")).distinct()
+    return incoming.withColumn("__key", key_digest(keys)).join(known, "__key", "left_anti").drop("__key")
+
+
 def merge_refresh(history: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
     """History with its own duplicates plus incoming rows whose key history lacks.
 
-    Only the distinct keys of history take part in the anti join. Works unchanged on a
-    micro-batch.
+    Only the distinct keys of history take part in the anti join.
     """
-    known = history.select(key_digest(keys).alias("__key")).distinct()
-    fresh = incoming.withColumn("__key", key_digest(keys)).join(known, "__key", "left_anti").drop("__key")
-    return history.unionByName(fresh, allowMissingColumns=True)
+    return history.unionByName(unseen_rows(history, incoming, keys), allowMissingColumns=True)
 
 
 def retained_history(df: DataFrame, day: str, score_date: str, days: int | None) -> DataFrame:
