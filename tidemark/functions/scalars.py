@@ -37,6 +37,10 @@ LEAD_TIME_BUCKETS = (
 )
 
 
+NUMBER_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean")
+TIME_TYPES = ("date", "timestamp", "timestamp_ntz")
+
+
 def number(value: Column, default: float | None = None) -> Column:
     """Double, NULL (or the default) where the text is no number."""
     cast = value.try_cast("double")
@@ -64,11 +68,13 @@ def strict_boolean(value: Column) -> Column:
 def flag(value: Column, default: float = 0.0) -> Column:
     """0/1 number from boolean words; other numbers are kept, other text is the default."""
     text = F.lower(F.trim(value.cast("string")))
-    return (
+    words = (
         F.when(text.isin(*TRUE_WORDS), F.lit(1.0))
         .when(text.isin(*FALSE_WORDS), F.lit(0.0))
         .otherwise(number(text, default))
     )
+    # typeof is a constant of the plan, so typed columns never take the text path
+    return F.when(F.typeof(value).isin(*NUMBER_TYPES), number(value, default)).otherwise(words)
 
 
 def timestamp(value: Column) -> Column:
@@ -79,7 +85,9 @@ def timestamp(value: Column) -> Column:
         F.date_format(text.try_cast("timestamp"), "yyyy-MM-dd HH:mm:ss.SSSSSS"),
         F.lit("yyyy-MM-dd HH:mm:ss.SSSSSS"),
     )
-    return F.when(zoned, instant).otherwise(text.try_cast("timestamp_ntz"))
+    parsed = F.when(zoned, instant).otherwise(text.try_cast("timestamp_ntz"))
+    plain = value.cast("string").try_cast("timestamp_ntz")
+    return F.when(F.typeof(value).isin(*TIME_TYPES), plain).otherwise(parsed)
 
 
 def level_number(text: Column, numeric: Column | None = None) -> Column:

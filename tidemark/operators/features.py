@@ -83,10 +83,9 @@ def _daily_part(kind: str, f: Feature) -> Column:
         return F.max(guarded)
     if kind == "min":
         return F.min(guarded)
-    ordering = F.expr(f.order) if f.order else value
-    ordering = F.when(guarded.isNotNull(), ordering)
-    boxed = F.when(guarded.isNotNull(), F.struct(guarded.alias("v")))
-    return F.max_by(boxed, ordering) if kind == "last" else F.min_by(boxed, ordering)
+    # rows without a value get no order and are skipped; plain numbers keep the hash aggregate
+    ordering = F.when(guarded.isNotNull(), F.expr(f.order) if f.order else value)
+    return F.max_by(guarded, ordering) if kind == "last" else F.min_by(guarded, ordering)
 
 
 def _part_keys(f: Feature) -> dict[str, tuple]:
@@ -110,7 +109,7 @@ def _finish(f: Feature, merged: dict[str, Column], at: str) -> Column:
     elif f.agg == "recency":
         out = F.datediff(F.col(at), merged["max"])
     elif f.agg in ("latest", "first"):
-        out = merged["last" if f.agg == "latest" else "first"]["v"]
+        out = merged["last" if f.agg == "latest" else "first"]
     else:
         out = merged[f.agg]
     if f.fill is not None:

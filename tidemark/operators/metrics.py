@@ -373,10 +373,11 @@ def calibration_quality(
 # ------------------------------------------------------------------ thresholds
 def quantile_curve(df: DataFrame, group: Sequence[str], value: str, points: int) -> DataFrame:
     """Linear quantiles at ``points`` even levels per group: columns ``point``, ``quantile``."""
-    rows = ordered_scan(
-        df.where(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("__v")),
-        group, [F.col("__v").asc()], "__row", "__size",
+    # the tie number only spreads equal values over tasks; equal values are interchangeable
+    known = df.where(F.col(value).isNotNull()).select(
+        *group, F.col(value).cast("double").alias("__v"), F.monotonically_increasing_id().alias("__tie")
     )
+    rows = ordered_scan(known, group, [F.col("__v").asc(), F.col("__tie").asc()], "__row", "__size")
     sizes = rows.where("__row = 1").select(*group, "__size")
     levels = sizes.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn(
         "__at", (F.col("__size") - 1) * (F.col("point") / F.lit(points - 1))

@@ -125,21 +125,26 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linear-interpolated quantiles per group for groups of any size.
 
-    Only the rows beside each quantile position reach the final aggregate, so no
-    task holds the values of a whole group.
+    Equal values are counted first, inside the map tasks, so a value that fills a third of
+    the table is one row from there on. Only the rows that cover a quantile position reach
+    the final aggregate.
     """
-    known = df.where(F.col(value).isNotNull()).select(*group, value)
-    scanned = ordered_scan(known, group, [F.col(value).asc()], "__row", "__size")
+    counted = (
+        df.where(F.col(value).isNotNull())
+        .groupBy(*group, F.col(value).alias("__value")).agg(F.count(F.lit(1)).alias("__n"))
+    )
+    scanned = ordered_scan(
+        counted, group, [F.col("__value").asc()], number="__row",
+        running={"__last": F.col("__n")}, totals={"__size": F.col("__n")},
+    )
     outputs, keep = [], F.lit(False)
+    covers = lambda place: (place < F.col("__last")) & (place >= F.col("__last") - F.col("__n"))
     for name, p in probabilities.items():
         place = (F.col("__size") - 1) * F.lit(float(p))
         low, high = F.floor(place), F.ceil(place)
-        at_low = F.col("__row") - 1 == low
-        at_high = F.col("__row") - 1 == high
-        keep = keep | at_low | at_high
-        low_value = F.max(F.when(at_low, F.col(value)))
-        high_value = F.max(F.when(at_high, F.col(value)))
-        part = F.max(place - low)
-        outputs.append((low_value + (high_value - low_value) * part).alias(name))
+        keep = keep | covers(low) | covers(high)
+        low_value = F.max(F.when(covers(low), F.col("__value")))
+        high_value = F.max(F.when(covers(high), F.col("__value")))
+        outputs.append((low_value + (high_value - low_value) * F.max(place - low)).alias(name))
     picked = scanned.where(keep)
-    return picked.groupBy(*group).agg(*outputs) if group else picked.agg(*outputs)
+    return picked.groupBy(*group).agg(*outputs)

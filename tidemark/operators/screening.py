@@ -51,7 +51,7 @@ def feature_inventory(df: DataFrame, features: Sequence[str], target: str) -> Da
     for f in features:
         v, y = _number(f), F.col(target)
         stats = {
-            "rows": F.count(F.lit(1)), "non_missing": F.count(v), "unique": F.count_distinct(v), "mean": F.avg(v),
+            "rows": F.count(F.lit(1)), "non_missing": F.count(v), "mean": F.avg(v),
             "var": F.var_samp(v), "std": F.stddev_samp(v), "min": F.min(v), "max": F.max(v),
             "zeros": F.count(F.when(v == 0, 1)), "negatives": F.count(F.when(v < 0, 1)),
             "mean_target_1": F.avg(F.when(y == 1, v)), "mean_target_0": F.avg(F.when(y == 0, v)),
@@ -59,10 +59,12 @@ def feature_inventory(df: DataFrame, features: Sequence[str], target: str) -> Da
         parts += [c.alias(f"{f}__{n}") for n, c in stats.items()]
         names = list(stats)
     base = _unpivot(df.agg(*parts), features, names)
-    quartiles = exact_quantiles(
-        long_features(df, features), ["feature"], "value", {"p25": 0.25, "median": 0.5, "p75": 0.75}
-    )
-    return base.join(quartiles, "feature", "left").withColumns(
+    # many exact distinct counts in one aggregate would copy every row once per feature
+    long = long_features(df, features).where("value is not null")
+    unique = long.distinct().groupBy("feature").agg(F.count(F.lit(1)).alias("unique"))
+    quartiles = exact_quantiles(long, ["feature"], "value", {"p25": 0.25, "median": 0.5, "p75": 0.75})
+    out = base.join(unique, "feature", "left").join(quartiles, "feature", "left")
+    return out.withColumn("unique", F.coalesce("unique", F.lit(0))).withColumns(
         {
             "zero_rate": F.try_divide(F.col("zeros").cast("double"), F.col("non_missing").cast("double")),
             "negative_rate": F.try_divide(F.col("negatives").cast("double"), F.col("non_missing").cast("double")),
