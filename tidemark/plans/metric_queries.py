@@ -232,7 +232,7 @@ def _(t):
 
 
 _GRID = 41
-_CAND_SQL = f"""SELECT DISTINCT fold, round(t, 9) AS threshold FROM (SELECT fold, unnest(quantile_cont(calibrated_probability, [{', '.join(repr(i / (_GRID - 1)) for i in range(_GRID))}])) AS t FROM ({SCORED_SQL}) AS s GROUP BY 1
+_CAND_SQL = f"""SELECT DISTINCT fold, round(t, 11) AS threshold FROM (SELECT fold, unnest(quantile_cont(calibrated_probability, [{', '.join(repr(i / (_GRID - 1)) for i in range(_GRID))}])) AS t FROM ({SCORED_SQL}) AS s GROUP BY 1
  UNION ALL SELECT DISTINCT fold, unnest([0.0, 1.0]) FROM ({SCORED_SQL}) AS s) AS c"""
 _CURVE_SQL = f"""SELECT fold, threshold, tp AS true_positive, fp AS false_positive, fn AS false_negative, tn AS true_negative, tp + fp AS flagged_rows, {_RATES} FROM (
 SELECT c.fold, c.threshold, {_confusion('s.calibrated_probability >= c.threshold')} FROM ({_CAND_SQL}) AS c JOIN ({SCORED_SQL}) AS s ON s.fold = c.fold GROUP BY 1, 2) AS x"""
@@ -242,23 +242,23 @@ _CURVE_EXACT = ["fold", "true_positive", "false_positive", "false_negative", "tr
 def _candidates(t):
     # rounding keeps both engines on the same interpolated candidate values
     return m.candidate_thresholds(scored(t), ["fold"], "calibrated_probability", _GRID).select(
-        "fold", F.round("threshold", 9).alias("threshold")
+        "fold", F.round("threshold", 11).alias("threshold")
     ).distinct()
 
 
-@query("threshold_curve", "M9", round_sql(_CURVE_SQL, _CURVE_EXACT, ["threshold", *_RATE_NAMES]))
+@query("threshold_curve", "M9", round_sql(_CURVE_SQL, _CURVE_EXACT, ["threshold", *_RATE_NAMES], 11))
 def _(t):
-    return rounded(m.threshold_curve(scored(t), ["fold"], "calibrated_probability", "true_label", _candidates(t)))
+    return rounded(m.threshold_curve(scored(t), ["fold"], "calibrated_probability", "true_label", _candidates(t)), 11)
 
 
 @query(
     "operating_threshold", "M9",
     round_sql(f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY f1 DESC, precision DESC, recall DESC, threshold DESC) AS rn FROM ({_CURVE_SQL}) AS c) AS d WHERE rn = 1",
-              _CURVE_EXACT, ["threshold", *_RATE_NAMES]),
+              _CURVE_EXACT, ["threshold", *_RATE_NAMES], 11),
 )
 def _(t):
     curve = m.threshold_curve(scored(t), ["fold"], "calibrated_probability", "true_label", _candidates(t))
-    return rounded(m.best_threshold(curve, ["fold"], "f1"))
+    return rounded(m.best_threshold(curve, ["fold"], "f1"), 11)
 
 
 @query(
@@ -541,12 +541,25 @@ def _(t):
     return rounded(m.horizon_outcomes(scored(t), ["fold"], "days_to_event", "raw_score", _HORIZONS))
 
 
+_DEFECT_SQL = f"""SELECT anchor_id, CASE WHEN machine_key % 401 = 0 THEN 1 ELSE machine_key END AS machine_key, rank_within_anchor AS r, CASE WHEN machine_key % 89 = 0 THEN raw_score - 2 ELSE raw_score END AS s,
+ CASE WHEN machine_key % 97 = 0 THEN calibrated_probability + 1 ELSE calibrated_probability END AS p, CASE WHEN machine_key % 53 = 0 THEN NULL ELSE true_label END AS y FROM ({RANKED_SQL}) AS q WHERE NOT (anchor_id LIKE '1997%' AND rank_within_anchor = 7)"""
+
+
 @query(
     "output_checks", "M23",
-    "SELECT 0 AS probability_out_of_range, 0 AS label_not_binary, 0 AS duplicate_keys, 0 AS ranks_not_contiguous, 0 AS scores_not_descending WHERE (SELECT count(*) FROM orders) > 0",
+    f"""WITH d AS ({_DEFECT_SQL}) SELECT (SELECT count(*) FROM d WHERE NOT (p BETWEEN 0 AND 1)) AS probability_out_of_range, (SELECT count(*) FROM d WHERE y IS NULL) AS label_not_binary,
+ (SELECT count(*) FROM (SELECT 1 FROM d GROUP BY anchor_id, machine_key HAVING count(*) > 1) AS k) AS duplicate_keys, (SELECT count(*) FROM (SELECT 1 FROM d GROUP BY anchor_id HAVING min(r) <> 1 OR max(r) <> count(*)) AS k) AS ranks_not_contiguous,
+ (SELECT count(*) FROM d a JOIN d b ON b.anchor_id = a.anchor_id AND b.r = a.r + 1 WHERE b.s > a.s) AS scores_not_descending""",
 )
 def _(t):
-    return m.output_checks(ranked(t), ["anchor_id"], "machine_key", "raw_score", "calibrated_probability", "true_label", "rank_within_anchor")
+    broken = ranked(t).where("not (anchor_id like '1997%' and rank_within_anchor = 7)").withColumns(
+        {
+            "s": F.expr("if(machine_key % 89 = 0, raw_score - 2, raw_score)"),
+            "p": F.expr("if(machine_key % 97 = 0, calibrated_probability + 1, calibrated_probability)"),
+            "y": F.expr("if(machine_key % 53 = 0, null, true_label)"),
+        }
+    ).withColumn("machine_key", F.expr("if(machine_key % 401 = 0, 1, machine_key)"))
+    return m.output_checks(broken, ["anchor_id"], "machine_key", "s", "p", "y", "rank_within_anchor")
 
 
 @query(
