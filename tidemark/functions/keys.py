@@ -96,27 +96,28 @@ def reconcile_key(
 ) -> DataFrame:
     """Keep ``key`` where the roster knows it, else use a known ``fallback``.
 
-    Adds ``key_reconciled`` (1 where the fallback replaced the key). Both probes are
-    left joins on the distinct roster; the planner broadcasts it when it is small.
+    Adds ``key_reconciled`` (1 where the fallback replaced the key). The roster is probed with
+    the distinct (key, fallback) pairs, about one row per entity, so the wide rows take part
+    in a single join with that short mapping.
     """
     name = roster_key or key
     known = roster.select(F.col(name).alias("__known")).where("__known is not null").distinct()
-    probed = (
-        df.withColumn("__fallback", null_like_to_null(fallback))
-        .withColumn("__key", null_like_to_null(F.col(key)))
-        .join(known.select(F.col("__known").alias("__a")), F.col("__key") == F.col("__a"), "left")
-        .join(
-            known.select(F.col("__known").alias("__b")),
-            # a key that is already known never needs the second probe
-            F.when(F.col("__a").isNull(), F.col("__fallback")) == F.col("__b"),
-            "left",
-        )
+    marked = df.withColumns(
+        {"__key": null_like_to_null(F.col(key)), "__fallback": null_like_to_null(fallback)}
+    )
+    pairs = marked.select(F.col("__key").alias("__k"), F.col("__fallback").alias("__f")).distinct()
+    probed = pairs.join(known.select(F.col("__known").alias("__a")), F.col("__k") == F.col("__a"), "left").join(
+        known.select(F.col("__known").alias("__b")), F.col("__f") == F.col("__b"), "left"
     )
     use = F.col("__a").isNull() & F.col("__b").isNotNull()
+    mapping = probed.select(
+        "__k", "__f", use.cast("int").alias("key_reconciled"),
+        F.when(use, F.col("__f")).otherwise(F.col("__k")).alias("__resolved"),
+    )
     return (
-        probed.withColumn("key_reconciled", use.cast("int"))
-        .withColumn(key, F.when(use, F.col("__fallback")).otherwise(F.col("__key")))
-        .drop("__fallback", "__key", "__a", "__b")
+        marked.join(mapping, F.col("__key").eqNullSafe(F.col("__k")) & F.col("__fallback").eqNullSafe(F.col("__f")))
+        .withColumn(key, F.col("__resolved"))
+        .drop("__key", "__fallback", "__k", "__f", "__resolved")
     )
 
 
