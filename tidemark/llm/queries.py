@@ -5,13 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import cascade, chat, token_counts
+from tidemark.llm import cascade, chat, substring_dedup, token_counts
 from tidemark.session import table
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
 
 
+def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    parsed = substring_dedup.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return parsed.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP1_SQL = r"""
+WITH cut AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), windows AS (
+  SELECT r, doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS gram
+  FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM cut WHERE len(w) >= 50)
+), repeats AS (
+  SELECT r, i FROM (SELECT r, doc_id, i, min(doc_id) OVER (PARTITION BY gram) AS first_id FROM windows) WHERE doc_id > first_id
+), gone AS (
+  SELECT DISTINCT r, unnest(range(i, i + 50)) AS i FROM repeats
+), lists AS (
+  SELECT r, list(i) AS gone FROM gone GROUP BY r
+), words AS (
+  SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM cut
+), kept AS (
+  SELECT r, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (r, i) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM cut LEFT JOIN lists USING (r) LEFT JOIN kept USING (r)
+"""
+
+
 def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -108,8 +138,9 @@ FROM based
 """
 
 BUILDERS = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op5_token_counts": op5_token_counts,
     "op8_chat_format": op8_chat_format,
     "op10_quality_rules": op10_quality_rules,
 }
-SQL = {"op8_chat_format": OP8_SQL, "op10_quality_rules": OP10_SQL}
+SQL = {"op1_substring_dedup": OP1_SQL, "op8_chat_format": OP8_SQL, "op10_quality_rules": OP10_SQL}
