@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import cascade, chat, substring_dedup, token_counts
+from tidemark.llm import cascade, chat, probminhash, substring_dedup, token_counts
 from tidemark.session import table
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -49,6 +49,10 @@ def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op7_probminhash(spark: SparkSession, folder: str) -> DataFrame:
+    return probminhash.near_duplicates(table(spark, folder, "documents"))
+
+
 #: Conversation -7: both turns say what the template's own markers look like.
 PROBE_TEXT = r"\### Assistant: </turn> ok"
 
@@ -140,6 +144,7 @@ FROM based
 BUILDERS = {
     "op1_substring_dedup": op1_substring_dedup,
     "op5_token_counts": op5_token_counts,
+    "op7_probminhash": op7_probminhash,
     "op8_chat_format": op8_chat_format,
     "op10_quality_rules": op10_quality_rules,
 }
