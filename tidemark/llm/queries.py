@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import cascade, chat, probminhash, substring_dedup, token_counts
+from tidemark.llm import cascade, chat, decontaminate, packing, probminhash, substring_dedup, token_counts
 from tidemark.session import table
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -42,6 +42,46 @@ FROM cut LEFT JOIN lists USING (r) LEFT JOIN kept USING (r)
 """
 
 
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+OP3_SQL = r"""
+WITH cut AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM documents
+), item AS (
+  SELECT item_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM benchmark
+), phrases AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i : i + 9], ' ') AS phrase
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM item WHERE len(w) > 0)
+), sizes AS (SELECT DISTINCT n FROM phrases),
+windows AS (
+  SELECT r, i, n, array_to_string(w[i : i + n - 1], ' ') AS phrase
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM cut, sizes WHERE len(w) >= n)
+), matches AS (
+  SELECT r, i, windows.n, item_id FROM windows JOIN phrases USING (phrase)
+), hits AS (
+  SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM matches) GROUP BY r
+), items AS (
+  SELECT r, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names
+  FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS name FROM matches) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM cut LEFT JOIN hits USING (r) LEFT JOIN items USING (r)
+"""
+
+
 def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -104,6 +144,10 @@ FROM turns GROUP BY conv_id
 """
 
 
+def op9_best_fit(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), packing.word_length())
+
+
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = cascade.quality_verdicts(table(spark, folder, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -143,9 +187,11 @@ FROM based
 
 BUILDERS = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_decontamination": op3_decontamination,
     "op5_token_counts": op5_token_counts,
     "op7_probminhash": op7_probminhash,
     "op8_chat_format": op8_chat_format,
+    "op9_best_fit": op9_best_fit,
     "op10_quality_rules": op10_quality_rules,
 }
-SQL = {"op1_substring_dedup": OP1_SQL, "op8_chat_format": OP8_SQL, "op10_quality_rules": OP10_SQL}
+SQL = {"op1_substring_dedup": OP1_SQL, "op3_decontamination": OP3_SQL, "op8_chat_format": OP8_SQL, "op10_quality_rules": OP10_SQL}
