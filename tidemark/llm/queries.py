@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import cascade, chat, decontaminate, packing, probminhash, substring_dedup, token_counts
+from tidemark.llm import cascade, chat, decontaminate, licences, packing, probminhash, quality_cnn, substring_dedup, token_counts
 from tidemark.session import table
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -82,6 +82,11 @@ FROM cut LEFT JOIN hits USING (r) LEFT JOIN items USING (r)
 """
 
 
+def op4_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = licences.scan(table(spark, folder, "documents"))
+    return found.select("doc_id", "paragraph", "family", "probability", "template", "similarity", "confirmed")
+
+
 def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -89,6 +94,24 @@ def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+#: Rows whose remainder is this one never teach the classifier.
+HELD_OUT = 1
+
+
+def held_out(doc_id: str = "doc_id"):
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == HELD_OUT, F.lit(False))
+
+
+def quality_network(spark: SparkSession, folder: str) -> quality_cnn.Network:
+    labels = table(spark, folder, "labels").where(~held_out()).select("doc_id", F.col("quality").alias("label"))
+    return quality_cnn.fit(table(spark, folder, "documents"), labels)
+
+
+def op6_quality_cnn(spark: SparkSession, folder: str) -> DataFrame:
+    scored = quality_cnn.score(table(spark, folder, "documents").select("doc_id", "text"), quality_network(spark, folder))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_probminhash(spark: SparkSession, folder: str) -> DataFrame:
     return probminhash.near_duplicates(table(spark, folder, "documents"))
 
@@ -188,7 +211,9 @@ FROM based
 BUILDERS = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_decontamination": op3_decontamination,
+    "op4_licence_scan": op4_licence_scan,
     "op5_token_counts": op5_token_counts,
+    "op6_quality_cnn": op6_quality_cnn,
     "op7_probminhash": op7_probminhash,
     "op8_chat_format": op8_chat_format,
     "op9_best_fit": op9_best_fit,
