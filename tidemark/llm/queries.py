@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import cascade, chat, decontaminate, licences, packing, probminhash, quality_cnn, substring_dedup, token_counts
+from tidemark.llm import cascade, chat, decontaminate, katz, licences, packing, probminhash, quality_cnn, substring_dedup, token_counts
 from tidemark.session import table
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -42,6 +42,11 @@ FROM cut LEFT JOIN lists USING (r) LEFT JOIN kept USING (r)
 """
 
 
+def op2_katz_scores(spark: SparkSession, folder: str) -> DataFrame:
+    held = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
+    return katz.Model(table(spark, folder, "documents"), held).scores()
+
+
 def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select(
@@ -210,6 +215,7 @@ FROM based
 
 BUILDERS = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_katz_scores": op2_katz_scores,
     "op3_decontamination": op3_decontamination,
     "op4_licence_scan": op4_licence_scan,
     "op5_token_counts": op5_token_counts,

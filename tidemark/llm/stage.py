@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from tidemark.session import ensure_checkpoint_dir
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, partition: str | None = None) -> DataFrame:
     """``df`` written once below ``spark.checkpoint.dir`` and read back.
 
     Later passes read the written rows, so they neither repeat the work before nor depend on any
@@ -17,5 +17,5 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=partition)
     return spark.read.schema(df.schema).parquet(path)
