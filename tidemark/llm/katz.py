@@ -44,7 +44,7 @@ from tidemark.llm.words import U, Words, mix, pieces, text_buffer
 from tidemark.session import ensure_checkpoint_dir
 
 ORDER, DISCOUNTED = 2, 5
-BLOCK_TOKENS, BUCKET_TOKENS = 2_000_000, 2_000_000
+BLOCK_TOKENS, BUCKET_TOKENS = 2_500_000, 2_000_000
 #: Histories with more than this share of the training tokens are dealt over all buckets.
 HOT_SHARE = 1000
 END, START, ROOT = (U(0x1B873593CC9E2D51 * k % 2**64) for k in (1, 3, 5))
@@ -70,6 +70,21 @@ def unpacked(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(width, -1).T).reshape(-1).view(kind)
 
 
+def packed_steps(ordered: np.ndarray) -> bytes:
+    """Ascending hashes as their differences, whose upper bytes are nearly all zero."""
+    return packed(np.diff(ordered, prepend=U(0)))
+
+
+def unpacked_steps(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data, np.uint64), dtype=np.uint64)
+
+
+def packed_values(values: np.ndarray) -> tuple[bytes, bytes]:
+    """(different values, number of each place's value): lower-order probabilities take few values."""
+    different, place = np.unique(values, return_inverse=True)
+    return different.tobytes(), packed(place.astype(np.uint32))
+
+
 def packed_hashes(values: np.ndarray, level: int) -> bytes:
     """The bytes of shortened hashes; they don't compress."""
     return values.tobytes() if level == 1 else np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
@@ -254,8 +269,8 @@ class Block:
             a, z = edges[b], edges[b + 1]
             first = np.append(0, np.flatnonzero(h[a + 1 : z] != h[a : z - 1]) + 1)
             size = np.diff(np.append(first, z - a)).astype(np.uint32)
-            heads = packed_hashes(h[a:z][first], level)
-            out.append((int(b), packed(size), packed(hot[a:z][first]), heads, packed_hashes(w[a:z], level), packed(trained[a:z]), packed(q[a:z])))
+            heads = packed_steps(h[a:z][first])
+            out.append((int(b), packed(size), packed(hot[a:z][first]), heads, packed_hashes(w[a:z], level), packed(trained[a:z]), *packed_values(q[a:z])))
         return out
 
 
@@ -270,7 +285,7 @@ def history_mass(seen: np.ndarray, discount: np.ndarray) -> tuple[np.ndarray, np
     return total, np.where(total > 0, (tokens - off) / np.maximum(total, 1), 0.0)
 
 
-_PARTS = ["sizes", "flags", "histories", "words", "counts", "lower"]
+_PARTS = ["sizes", "flags", "histories", "words", "counts", "chances", "lower"]
 REQUESTS = "bucket long, block long, " + ", ".join(f"{n} binary" for n in _PARTS)
 MERGED = (
     "kind string, level int, bucket long, block long, sizes binary, histories binary, words binary, counts binary, seen binary, lower binary, "
@@ -290,14 +305,14 @@ def merge_bucket(level: int, hot_from: int):
     def run(rows: pa.Table) -> pa.Table:
         asked = rows.sort_by("block").to_pylist()
         sizes = [unpacked(x["sizes"], np.uint32) for x in asked]
-        heads = [unpacked_hashes(x["histories"], level) for x in asked]
+        heads = [unpacked_steps(x["histories"]) for x in asked]
         h = np.concatenate([np.repeat(a, n) for a, n in zip(heads, sizes, strict=True)])
         w = np.concatenate([unpacked_hashes(x["words"], level) for x in asked])
         edges = np.cumsum([0, *(int(n.sum()) for n in sizes)])
         names, at, of = np.unique(mix(h ^ mix(w)), return_index=True, return_inverse=True)
         h, w = h[at], w[at]
         c = np.bincount(of, weights=np.concatenate([unpacked(x["counts"], np.uint32) for x in asked]), minlength=len(at)).astype(np.int64)
-        q = np.concatenate([unpacked(x["lower"], np.float64) for x in asked])[at]
+        q = np.concatenate([np.frombuffer(x["chances"])[unpacked(x["lower"], np.uint32)] for x in asked])[at]
         histories, owner = np.unique(h, return_inverse=True)
         sums = lambda weights: np.bincount(owner, weights=weights, minlength=len(histories))
         seen = np.stack([sums(c), *[sums(c == r) for r in range(1, DISCOUNTED + 1)]], axis=1)
@@ -308,7 +323,7 @@ def merge_bucket(level: int, hot_from: int):
         flagged = np.unique(np.concatenate([a[unpacked(x["flags"], np.bool_)] for a, x in zip(heads, asked, strict=True)]))
         hot = np.searchsorted(histories, flagged) if level > 1 else []
         out = [{
-            "kind": "model", "sizes": packed(size.astype(np.uint32)), "histories": packed_hashes(own, level), "words": packed_hashes(w[order], level),
+            "kind": "model", "sizes": packed(size.astype(np.uint32)), "histories": packed_steps(own), "words": packed_hashes(w[order], level),
             "counts": packed(c[order].astype(np.uint32)), "frequent": names[c > hot_from].view(np.int64).tolist(),
             "times": [*(int((c == r).sum()) for r in range(1, DISCOUNTED + 2)), int(c.sum()), len(kept)],
             "hot": [{"history": int(histories[i]), "seen": [*seen[i].tolist(), float(lower[i])]} for i in hot],
