@@ -1,6 +1,7 @@
 """Small hand-checked cases of the operators."""
 
 import datetime as dt
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,13 +12,14 @@ from tidemark.functions.stats import wilson_high, wilson_low
 from tidemark.operators import cohorts as ch
 from tidemark.operators import labels as lb
 from tidemark.operators import metrics as m
+from tidemark.operators import screening as sc
 from tidemark.operators import source_features as sf
 from tidemark.operators import tiers as tr
 from tidemark.operators.assembly import finalize
 from tidemark.operators.features import Feature, latest_item_states, window_features
 from tidemark.operators.ordering import exact_quantiles, ordered_scan
-from tidemark.operators.spine import complete_horizon, greedy_dates, require_unique, spaced_anchors
-from tidemark.operators.splits import split_quotas
+from tidemark.operators.spine import anchor_manifest, complete_horizon, greedy_dates, require_unique, spaced_anchors
+from tidemark.operators.splits import rolling_origin, split_quotas
 from tidemark.sources.cleaning import unique_column_names
 from tidemark.sources.readers import parsed_day, require_columns
 from tidemark.sources.refresh import merge_refresh
@@ -261,3 +263,46 @@ def test_nested_ratios(spark):
     keys = lambda r, y: {x["machine_key"] for x in out if x["ratio"] == r and x["target"] == y}
     assert keys(1, 1) == keys(3, 1) == {"p1", "p2"}
     assert keys(1, 0) < keys(2, 0) < keys(3, 0) and [len(keys(r, 0)) for r in (1, 2, 3)] == [2, 4, 6]
+
+
+def test_mutual_information_of_few_values(spark):
+    # 100 rows: a feature equal to a target with 12 ones gives the target's entropy; ten bins else
+    rows = spark.range(100).selectExpr("id", "int(id < 12) as y", "double(id < 12) as same", "1.0D as constant", "double(id) as spread")
+    found = {r.feature: r.mutual_information for r in sc.mutual_information(rows, ["same", "constant", "spread"], "y", ["id"]).collect()}
+    entropy = -(0.12 * math.log(0.12) + 0.88 * math.log(0.88))
+    assert found["same"] == pytest.approx(entropy) and found["constant"] == pytest.approx(0)
+    # right-closed cuts of the ranks 1..100 into 10: bins of 10; the second holds 2 ones of 10
+    joint = [(0.10, 0.10, 0.12), (0.02, 0.10, 0.12), (0.08, 0.10, 0.88), (0.80, 0.80, 0.88)]
+    assert found["spread"] == pytest.approx(sum(p * math.log(p / (a * b)) for p, a, b in joint[:3]) + 0.80 * math.log(1 / 0.88))
+
+
+def test_ranked_codes_need_rows_with_and_without(spark):
+    rows = spark.range(100).selectExpr("id", "int(id % 4 = 0) as y", "1 as everywhere", "int(id < 50) as half", "int(id >= 50) as other", "int(id < 5) as seldom")
+    found = sc.ranked_codes(rows, ["everywhere", "half", "other", "seldom"], "y", 30, 4).collect()
+    assert [r.feature for r in found] == ["half", "other"] and found[0].support == 50
+
+
+def test_consensus_ranks_a_missing_score_last(spark):
+    report = spark.createDataFrame([("a", 2.0), ("b", None), ("c", 1.0), ("d", None)], "feature string, score double")
+    found = {r.feature: r.rank_x for r in sc.consensus(report.select("feature"), {"x": report}).collect()}
+    assert found == {"a": 1, "c": 2, "b": 3, "d": 3}
+
+
+def test_quality_prefers_known_and_named_features(spark):
+    inventory = spark.createDataFrame(
+        [("fault_count", 100, 100, 10, 4.0), ("plain", 100, 100, 10, 4.0), ("max_gap", 50, 100, 10, 4.0)],
+        "feature string, non_missing long, rows long, unique long, var double",
+    )
+    found = {r.feature: r.quality_score for r in sc.quality_table(inventory).collect()}
+    base = 3 * math.log(11) + 0.01 * math.log(5)
+    assert found["plain"] == pytest.approx(base)
+    assert found["fault_count"] == pytest.approx(base + 1.25 * 34) and found["max_gap"] == pytest.approx(base - 50 + 1.25 * 8)
+
+
+def test_short_folds_stay_visible(spark):
+    ev = spark.createDataFrame([(dt.date(2024, 12, 31),)], "d date")
+    folds = [("long", "2023-01-01", "2023-12-31"), ("short", "2023-01-01", "2023-01-20")]
+    found = anchor_manifest(ev, "d", folds, mode="random", count=3, gap=25, attempts=5).collect()
+    assert {(r.fold, r.anchor_date is None) for r in found} == {("long", False), ("short", True)}
+    with pytest.raises(ValueError):
+        rolling_origin(ev, "d", "2023-06-01", "2023-09-01")

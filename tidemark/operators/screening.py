@@ -179,14 +179,41 @@ def drop_template(pruned: DataFrame, review: DataFrame) -> DataFrame:
     return auto.unionByName(manual)
 
 
-def quality_table(inventory: DataFrame) -> DataFrame:
-    """Score of a feature: known share, spread and class separation."""
-    known = F.try_divide(F.col("non_missing").cast("double"), F.col("rows").cast("double"))
-    spread = F.when(F.col("unique") > 1, 1.0).otherwise(0.0)
-    gap = F.abs(F.try_divide(F.col("mean_target_1") - F.col("mean_target_0"), F.col("std")))
-    return inventory.select(
-        "feature", (F.coalesce(known, F.lit(0.0)) + spread + F.least(F.coalesce(gap, F.lit(0.0)), F.lit(1.0))).alias("quality_score")
+#: What a part of a feature's name adds to its score.
+NAME_SCORES = {
+    "severity_score": 30.0, "fault_count": 24.0, "occurrence": 18.0, "working_hours": 16.0, "engine_running": 15.0,
+    "actual_work": 14.0, "remaining_hours": 13.0, "days_since": 12.0, "count": 10.0, "sum_": 8.0, "max_": 8.0, "mean_": 6.0,
+    "smr": 5.0, "has_": -8.0, "flag": -8.0, "valid": -8.0, "observed_day_count": -6.0, "missing": -6.0, "unknown": -4.0,
+}
+
+
+def name_priority(feature: Column) -> Column:
+    """Sum of the scores of all name parts that stand in a feature's name."""
+    name, total = F.lower(feature), F.lit(0.0)
+    for part, value in NAME_SCORES.items():
+        total += F.when(F.contains(name, F.lit(part)), value).otherwise(0.0)
+    return total
+
+
+def quality_table(inventory: DataFrame, prepared: DataFrame | None = None) -> DataFrame:
+    """Score by which a correlated group keeps a feature; the target has no part in it.
+
+    Few missing values, many different ones, spread and a telling name count. ``prepared`` is the
+    inventory after preparation (feature, source_feature, unique, var); without it features are used as they are.
+    """
+    if prepared is None:
+        prepared = inventory.select("feature", F.col("feature").alias("source_feature"), "unique", "var")
+    raw = inventory.select(
+        F.col("feature").alias("source_feature"), F.col("unique").alias("__raw_unique"),
+        (F.lit(1.0) - F.try_divide(F.col("non_missing").cast("double"), F.col("rows").cast("double"))).alias("__missing"),
     )
+    known = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    score = (
+        known("__missing") * -100.0 + F.log1p(known("__raw_unique")) * 2.0 + F.log1p(known("unique"))
+        + F.log1p(F.greatest(known("var"), F.lit(0.0))) * 0.01
+        + name_priority(F.col("source_feature")) + name_priority(F.col("feature")) * 0.25
+    )
+    return prepared.join(raw, "source_feature", "left").select("feature", score.alias("quality_score"))
 
 
 # ------------------------------------------------------------------ target tests
@@ -209,16 +236,23 @@ def anova_f(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
 def mutual_information(
     df: DataFrame, features: Sequence[str], target: str, order: Sequence[str], bins: int = 10
 ) -> DataFrame:
-    """Mutual information between the target and equal-count bins of every feature.
+    """Mutual information between the target and every feature; missing values count as 0.
 
-    Rows are ranked per feature with ties broken by ``order``; missing values count as 0.
+    A feature of one or two values is used as it is. Others are cut into ``bins`` bins, or as many as
+    they have values, of nearly equal count: rows are ranked with ties broken by ``order``, and the
+    cuts are right-closed quantiles of the ranks.
     """
     filled = [F.coalesce(_number(f), F.lit(0.0)).alias(f) for f in features]
     rows = long_features(df.select(target, *order, *filled), features, [target, *order])
+    # one row per feature
+    kinds = rows.select("feature", "value").distinct().groupBy("feature").agg(F.count(F.lit(1)).alias("__kinds"), F.min("value").alias("__least"))
     ranked = ordered_scan(
         rows, ["feature"], [F.col("value").asc(), *[F.col(c).asc() for c in order]], number="__rank", size="__n"
+    ).join(F.broadcast(kinds), "feature")
+    place = F.expr(f"((__rank - 1) * least({bins}, __kinds) + __n - 2) div (__n - 1)")
+    binned = ranked.withColumn(
+        "bin", F.when(F.col("__kinds") <= 2, (F.col("value") > F.col("__least")).cast("int")).otherwise(F.greatest(place, F.lit(1)).cast("int") - 1)
     )
-    binned = ranked.withColumn("bin", F.floor((F.col("__rank") - 1) * bins / F.col("__n")).cast("int"))
     cells = binned.groupBy("feature", "bin", target).agg(F.count(F.lit(1)).alias("c"), F.max("__n").alias("n"))
     # bins x classes rows per feature from here on
     by_bin = F.sum("c").over(Window.partitionBy("feature", "bin"))
@@ -247,14 +281,13 @@ def chi2_minmax(df: DataFrame, features: Sequence[str], target: str) -> DataFram
 def consensus(features: DataFrame, reports: Mapping[str, DataFrame]) -> DataFrame:
     """Mean of the ranks a feature has in the reports that know it, and the rank of that mean.
 
-    ``reports`` maps a name to a table of ``feature`` and ``score``. One row per feature.
+    ``reports`` maps a name to a table of ``feature`` and ``score``. A feature without a score in a report
+    shares its last rank; one row per feature.
     """
     out = features.select("feature")
     whole = Window.partitionBy(F.lit(0))
     for name, table in reports.items():
-        ranked = table.where("score is not null").select(
-            "feature", F.rank().over(whole.orderBy(F.desc("score"))).alias(f"rank_{name}")
-        )
+        ranked = table.select("feature", F.rank().over(whole.orderBy(F.desc_nulls_last("score"))).alias(f"rank_{name}"))
         out = out.join(ranked, "feature", "left")
     ranks = [F.col(f"rank_{n}") for n in reports]
     known = sum((r.isNotNull().cast("int") for r in ranks), F.lit(0))
@@ -266,16 +299,24 @@ def consensus(features: DataFrame, reports: Mapping[str, DataFrame]) -> DataFram
 def ranked_codes(
     df: DataFrame, codes: Sequence[str], target: str, minimum_support: int = 30, count: int = 10
 ) -> DataFrame:
-    """Code columns by (rate present - rate absent) * sqrt(support), smallest support first out."""
+    """Code columns by (rate present - rate absent) * sqrt(support).
+
+    A code needs ``minimum_support`` rows with it and as many without. Ties go by rate difference,
+    support and name, each descending.
+    """
     y = F.col(target).cast("double")
     wide = df.agg(*[c for f in codes for c in (
         F.count(F.when(_number(f) > 0, 1)).alias(f"{f}__support"), F.avg(F.when(_number(f) > 0, y)).alias(f"{f}__with"),
+        F.count(F.when(F.coalesce(_number(f) <= 0, F.lit(True)), 1)).alias(f"{f}__others"),
         F.avg(F.when(F.coalesce(_number(f) <= 0, F.lit(True)), y)).alias(f"{f}__without"))])
-    long = _unpivot(wide, codes, ["support", "with", "without"]).where(F.col("support") >= minimum_support)
-    score = (F.col("with") - F.coalesce(F.col("without"), F.lit(0.0))) * F.sqrt("support")
-    return long.select("feature", "support", F.col("with").alias("rate_present"), F.col("without").alias("rate_absent"), score.alias("score")).orderBy(
-        F.desc("score"), "feature"
-    ).limit(count)
+    long = _unpivot(wide, codes, ["support", "others", "with", "without"]).where(
+        (F.col("support") >= minimum_support) & (F.col("others") >= minimum_support)
+    )
+    lift = F.col("with") - F.col("without")
+    scored = long.select(
+        "feature", "support", F.col("with").alias("rate_present"), F.col("without").alias("rate_absent"), (lift * F.sqrt("support")).alias("score")
+    )
+    return scored.orderBy(F.desc("score"), F.desc(F.col("rate_present") - F.col("rate_absent")), F.desc("support"), F.desc("feature")).limit(count)
 
 
 def class_weight(df: DataFrame, target: str, root: bool = False) -> DataFrame:

@@ -306,7 +306,9 @@ def anchor_manifest(
             good = drawn.groupBy("fold", "__try").agg(F.min("__gap").alias("__least")).where(
                 F.coalesce(F.col("__least") >= gap, F.lit(True))
             ).groupBy("fold").agg(F.min("__try").alias("__use"))
-            placed = drawn.join(good, "fold").where("__try = __use").drop("__use", "__try", "__gap")
+            placed = drawn.join(good, "fold", "left").where("__try = coalesce(__use, 0)").withColumn(
+                "anchor_date", F.when(F.col("__use").isNotNull(), F.col("anchor_date"))
+            ).drop("__use", "__try", "__gap")
     window = Window.partitionBy("fold").orderBy("anchor_date")
     out = placed.withColumn("__turn", F.row_number().over(window))
     if mode == "even":

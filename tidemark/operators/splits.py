@@ -315,13 +315,16 @@ def rolling_origin(
     df: DataFrame, day: str, validation_start: str, validation_end: str, purge_days: int = 90,
     calibration_dates: int = 3,
 ) -> DataFrame:
-    """Rows with ``role`` fit, calibration or validation; purged and later rows drop out."""
+    """Rows with ``role`` fit, calibration or validation; purged and later rows drop out.
+
+    Fails if no date is left for fitting once the calibration dates are taken.
+    """
     first, last = F.lit(validation_start).cast("date"), F.lit(validation_end).cast("date")
     pool = F.col(day) < F.date_sub(first, purge_days)
-    latest = (
-        df.where(pool).select(day).distinct().orderBy(F.desc(day)).limit(calibration_dates)
-        .select(F.col(day).alias("__cal"))
-    )
+    dates = df.where(pool).select(day).distinct().orderBy(F.desc(day))
+    if dates.limit(calibration_dates + 1).count() <= calibration_dates:
+        raise ValueError(f"no date before {validation_start} is left for fitting after {calibration_dates} calibration dates")
+    latest = dates.limit(calibration_dates).select(F.col(day).alias("__cal"))
     joined = df.where(pool | ((F.col(day) >= first) & (F.col(day) < last))).join(
         F.broadcast(latest), F.col(day) == F.col("__cal"), "left"
     )

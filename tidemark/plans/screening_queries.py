@@ -80,7 +80,9 @@ def _(t):
     return rounded(sc.correlation_pairs(_rows(t), _GROUPS), 8)
 
 
-_QUALITY = f"""SELECT feature, non_missing / rows + CASE WHEN "unique" > 1 THEN 1.0 ELSE 0.0 END + least(coalesce(abs((mean_target_1 - mean_target_0) / nullif("std", 0)), 0), 1) AS quality_score FROM ({_INVENTORY}) AS i"""
+_NAME_SQL = " + ".join(f"CASE WHEN contains(lower(feature), '{part}') THEN {value} ELSE 0 END" for part, value in sc.NAME_SCORES.items())
+_QUALITY = f"""SELECT feature, -100.0 * (1 - non_missing / rows) + 2 * ln(1 + "unique") + ln(1 + "unique") + 0.01 * ln(1 + greatest(coalesce("var", 0), 0))
++ 1.25 * ({_NAME_SQL}) AS quality_score FROM ({_INVENTORY}) AS i"""
 
 
 @query(
@@ -118,8 +120,9 @@ def _(t):
 
 
 _MI = f"""SELECT feature, sum((c / n) * ln((c / n) / ((cb / n) * (cc / n)))) AS mutual_information FROM (SELECT *, sum(c) OVER (PARTITION BY feature, bin) AS cb, sum(c) OVER (PARTITION BY feature, target) AS cc FROM (
-SELECT feature, bin, target, count(*) AS c, max(n) AS n FROM (SELECT *, CAST(floor((row_number() OVER (PARTITION BY feature ORDER BY v, l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1) * 10.0::DOUBLE / count(*) OVER (PARTITION BY feature)) AS INT) AS bin, count(*) OVER (PARTITION BY feature) AS n
-FROM ({_LONG}) AS l) AS b GROUP BY 1, 2, 3) AS g) AS h GROUP BY 1"""
+SELECT feature, CASE WHEN kinds <= 2 THEN CAST(v > low AS INT) ELSE greatest(CAST(((r - 1) * least(10, kinds) + n - 2) // (n - 1) AS INT), 1) - 1 END AS bin, target, count(*) AS c, max(n) AS n
+FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY v, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS r, count(*) OVER (PARTITION BY feature) AS n FROM ({_LONG}) AS l) AS b
+JOIN (SELECT feature, count(DISTINCT v) AS kinds, min(v) AS low FROM ({_LONG}) AS l GROUP BY 1) AS k USING (feature) GROUP BY 1, 2, 3) AS g) AS h GROUP BY 1"""
 
 
 @query("mutual_information", "S8", round_sql(_MI, ["feature"], ["mutual_information"], 8))
@@ -139,7 +142,7 @@ def _(t):
 
 @query(
     "feature_consensus", "S10 W9",
-    round_sql(f"""WITH a AS (SELECT feature, rank() OVER (ORDER BY f_score DESC) AS rank_anova FROM ({_ANOVA}) AS x), c AS (SELECT feature, rank() OVER (ORDER BY chi2_score DESC) AS rank_chi2 FROM ({_CHI}) AS x WHERE feature <> 'tax')
+    round_sql(f"""WITH a AS (SELECT feature, rank() OVER (ORDER BY f_score DESC NULLS LAST) AS rank_anova FROM ({_ANOVA}) AS x), c AS (SELECT feature, rank() OVER (ORDER BY chi2_score DESC NULLS LAST) AS rank_chi2 FROM ({_CHI}) AS x WHERE feature <> 'tax')
 SELECT *, rank() OVER (ORDER BY mean_rank) AS consensus_rank FROM (SELECT a.feature, rank_anova, rank_chi2, (rank_anova + coalesce(rank_chi2, 0)) / (1 + CAST(rank_chi2 IS NOT NULL AS INT)) AS mean_rank FROM a LEFT JOIN c ON c.feature = a.feature) AS m""",
               ["feature", "rank_anova", "rank_chi2", "consensus_rank"], ["mean_rank"]),
 )
@@ -155,8 +158,8 @@ _CODES = {f"code_{i}": f"case when l_partkey % 17 = {i} then 1 + l_linenumber el
 
 @query(
     "ranked_codes", "S11",
-    round_sql("SELECT feature, support, p AS rate_present, a AS rate_absent, (p - a) * sqrt(support) AS score FROM (" + _union(
-        f"SELECT '{n}' AS feature, count(*) FILTER (WHERE {e} > 0) AS support, avg(target) FILTER (WHERE {e} > 0) AS p, avg(target) FILTER (WHERE {e} <= 0) AS a FROM ({_ROWS}) AS r" for n, e in _CODES.items()) + ") AS u ORDER BY score DESC, feature LIMIT 4",
+    round_sql("SELECT feature, support, p AS rate_present, a AS rate_absent, (p - a) * sqrt(support) AS score FROM (SELECT * FROM (" + _union(
+        f"SELECT '{n}' AS feature, count(*) FILTER (WHERE {e} > 0) AS support, count(*) FILTER (WHERE {e} <= 0) AS others, avg(target) FILTER (WHERE {e} > 0) AS p, avg(target) FILTER (WHERE {e} <= 0) AS a FROM ({_ROWS}) AS r" for n, e in _CODES.items()) + ") AS u WHERE support >= 30 AND others >= 30) AS v ORDER BY score DESC, p - a DESC, support DESC, feature DESC LIMIT 4",
               ["feature", "support"], ["rate_present", "rate_absent", "score"]),
 )
 def _(t):

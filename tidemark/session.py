@@ -38,7 +38,11 @@ def build_session(
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Checkpoint folder of the session; a temporary one only where none is named."""
+    """Checkpoint folder of the session: the one that ``spark.checkpoint.dir`` names.
+
+    In local mode, as in tests, a temporary folder is set where none is named. On a cluster that would
+    be a folder that executors do not share, so it fails there.
+    """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
@@ -47,6 +51,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not folder:
         folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         folder = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
     context.setCheckpointDir(folder)
     return folder
