@@ -305,17 +305,18 @@ def _(t):
 
 
 # ------------------------------------------------------------------ bootstrap
-_B = 12
+#: Replicates of the query; the operator's own default is 1000.
+_B = 20
+_ANCHOR_B = 200
 _HASH = "('0x' || substr(md5({text}), 1, 16))::UBIGINT"
-_SMALL = f"SELECT * FROM ({SCORED_SQL}) AS s WHERE fold = 'F3'"
-_DRAWN_SQL = f"""WITH base AS (SELECT *, anchor_id || '-' || cast(machine_key as string) AS k2 FROM ({_SMALL}) AS s),
+_DRAWN_SQL = f"""WITH base AS (SELECT *, anchor_id || '-' || cast(machine_key as string) AS k2 FROM ({SCORED_SQL}) AS s),
 rows AS (SELECT k2, true_label AS label, raw_score AS score, row_number() OVER (PARTITION BY true_label ORDER BY k2) AS rn, count(*) OVER (PARTITION BY true_label) AS size FROM base),
 picks AS (SELECT b AS replicate, label, CAST({_HASH.format(text="'42|' || cast(b as string) || '|' || cast(label as string) || '|' || cast(rn as string)")} % size::UBIGINT AS BIGINT) + 1 AS pick FROM rows, range(1, {_B + 1}) AS g(b)),
 drawn AS (SELECT p.replicate, p.label, p.pick, r.k2, r.score, count(*) AS weight FROM picks p JOIN rows r ON r.label = p.label AND r.rn = p.pick GROUP BY 1, 2, 3, 4, 5)"""
 
 
 def _keyed(t):
-    return scored(t).where("fold = 'F3'").withColumn("k2", F.concat_ws("-", "anchor_id", "machine_key"))
+    return scored(t).withColumn("k2", F.concat_ws("-", "anchor_id", "machine_key"))
 
 
 def _interval_sql(values: str, group: str, metrics) -> str:
@@ -353,7 +354,7 @@ def _anchor_rows(t):
 
 def _anchor_boot_sql(tag: str, value: str, columns: str) -> str:
     return f"""WITH a AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY anchor_id) AS rn, count(*) OVER (PARTITION BY fold) AS size FROM ({_ANCHOR_ROWS_SQL}) AS s),
-p AS (SELECT fold, b, CAST({_HASH.format(text=f"'42|{tag}|' || fold || '|' || cast(b as string) || '|' || cast(rn as string)")} % size::UBIGINT AS BIGINT) + 1 AS pick FROM a, range(1, 41) AS g(b)),
+p AS (SELECT fold, b, CAST({_HASH.format(text=f"'42|{tag}|' || fold || '|' || cast(b as string) || '|' || cast(rn as string)")} % size::UBIGINT AS BIGINT) + 1 AS pick FROM a, range(1, {_ANCHOR_B + 1}) AS g(b)),
 v AS (SELECT p.fold, p.b, {value} AS value FROM p JOIN a ON a.fold = p.fold AND a.rn = p.pick GROUP BY 1, 2)
 SELECT fold, quantile_cont(value, 0.025) AS ci_low, quantile_cont(value, 0.975) AS ci_high FROM v GROUP BY 1"""
 
@@ -363,7 +364,7 @@ SELECT fold, quantile_cont(value, 0.025) AS ci_low, quantile_cont(value, 0.975)
     round_sql(_anchor_boot_sql("precision", "sum(true_positive_machines) / sum(selected_machines)", ""), ["fold"], ["ci_low", "ci_high"]),
 )
 def _(t):
-    return rounded(bs.anchor_precision_interval(_anchor_rows(t), ["fold"], ["anchor_id"], 40))
+    return rounded(bs.anchor_precision_interval(_anchor_rows(t), ["fold"], ["anchor_id"], _ANCHOR_B))
 
 
 @query(
@@ -372,7 +373,7 @@ def _(t):
 )
 def _(t):
     return rounded(bs.anchor_value_interval(
-        _anchor_rows(t), ["fold"], ["anchor_id"], "minimum_score_selected", "quantile", 0.1, 40
+        _anchor_rows(t), ["fold"], ["anchor_id"], "minimum_score_selected", "quantile", 0.1, _ANCHOR_B
     ))
 
 

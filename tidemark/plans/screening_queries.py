@@ -189,12 +189,12 @@ def _(t):
 
 @query("tuned_candidates", "S16")
 def _(t):
-    return ml.tune(_rows(t), "day", _FOLDS[:1], _MODEL_FEATURES, "target", "random_forest", {"maxDepth": [3, 5]}, numTrees=10)
+    return ml.tune(_rows(t), "day", _FOLDS, _MODEL_FEATURES, "target", "random_forest", {"maxDepth": [3, 5]}, numTrees=10)
 
 
 @query("permutation_importance", "S17")
 def _(t):
     rows = _rows(t)
-    model = ml.fit(rows.where("split = 'train'"), ["quantity", "tax"], "target")
+    model = ml.fit(rows.where("split = 'train'"), _MODEL_FEATURES, "target")
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    return ml.permutation_importance(model, rows.where("split = 'test'"), ["quantity", "tax"], "target", keys, repeats=1)
+    return ml.permutation_importance(model, rows.where("split = 'test'"), _MODEL_FEATURES, "target", keys, repeats=10)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tidemark.functions.stats import platt, risk_index, risk_index_to_probability
@@ -13,7 +15,7 @@ from tidemark.session import cut_lineage
 
 _GRID = (2, 5, 10, 20, 40)
 _TARGETS = {"CRITICAL": 0.62, "HIGH": 0.58, "MEDIUM": 0.5}
-_B = 20
+_B = 200
 
 
 @query(
@@ -194,10 +196,11 @@ _NEXT_CLS = f"CASE WHEN n IN {_COARSE_IN} AND sure THEN 3 ELSE 0 END"
 
 @query(
     "selected_tier_boundaries", "T9",
-    f"""{_OPT_CTE}, p0 AS (SELECT DISTINCT algorithm, variant, 0 AS prev FROM opt), s1 AS ({_CRIT_PICK}), p1 AS (SELECT algorithm, variant, nxt AS prev FROM s1),
+    # the engine fails now and then on this statement unless its steps are kept as tables
+    re.sub(r"(\w+) AS \(SELECT", r"\1 AS MATERIALIZED (SELECT", f"""{_OPT_CTE}, p0 AS (SELECT DISTINCT algorithm, variant, 0 AS prev FROM opt), s1 AS ({_CRIT_PICK}), p1 AS (SELECT algorithm, variant, nxt AS prev FROM s1),
 s2 AS ({_PICK.format(tier='HIGH', order=2, prev='p1', rank=_RANK, cls=_NEXT_CLS, status=_NEXT_STATUS)}), p2 AS (SELECT algorithm, variant, nxt AS prev FROM s2),
 s3 AS ({_PICK.format(tier='MEDIUM', order=3, prev='p2', rank=_RANK, cls=_NEXT_CLS, status=_NEXT_STATUS)})
-SELECT * EXCLUDE (nxt) FROM s1 UNION ALL SELECT * EXCLUDE (nxt) FROM s2 UNION ALL SELECT * EXCLUDE (nxt) FROM s3""",
+SELECT * EXCLUDE (nxt) FROM s1 UNION ALL SELECT * EXCLUDE (nxt) FROM s2 UNION ALL SELECT * EXCLUDE (nxt) FROM s3"""),
 )
 def _(t):
     _, cands, bands = _tables(t)
