@@ -270,7 +270,15 @@ def _(t):
     return _cases(t).select("claim_episode_id", "machine_key", "split", "window_start", "window_end", "reason")
 
 
-@query("capped_cases", "H2")
+@query(
+    "capped_cases", "H2",
+    f"""WITH n AS (SELECT split, count(*) AS n FROM ({_GOOD}) AS g GROUP BY 1), r AS (SELECT *, 500 * n / sum(n) OVER () AS raw, count(*) OVER () AS splits, sum(n) OVER () AS total FROM n),
+b AS (SELECT *, greatest(floor(raw), CASE WHEN 500 >= splits THEN 1 ELSE 0 END) AS base FROM r), s AS (SELECT *, 500 - sum(base) OVER () AS spare FROM b),
+q AS (SELECT split, CASE WHEN total <= 500 THEN n ELSE base + CAST(row_number() OVER (ORDER BY raw - base DESC, n DESC, split) <= spare AS INT)
+ - CAST(row_number() OVER (ORDER BY base DESC, raw DESC, split) <= -spare AS INT) END AS quota FROM s),
+o AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY {_H("case_control_group_id")}, case_control_group_id) AS rn FROM ({_GOOD}) AS g)
+SELECT case_control_group_id, machine_key, split FROM o JOIN q USING (split) WHERE rn <= quota""",
+)
 def _(t):
     return ch.capped_cases(_good(t), 500).select("case_control_group_id", "machine_key", "split")
 

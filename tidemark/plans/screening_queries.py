@@ -85,14 +85,17 @@ _QUALITY = f"""SELECT feature, -100.0 * (1 - non_missing / rows) + 2 * ln(1 + "u
 + 1.25 * ({_NAME_SQL}) AS quality_score FROM ({_INVENTORY}) AS i"""
 
 
-@query(
-    "correlation_prune", "S6",
-    round_sql(f"""WITH RECURSIVE q AS MATERIALIZED ({_QUALITY}), e AS MATERIALIZED (SELECT feature_a AS a, feature_b AS b FROM ({_PAIRS}) AS p WHERE abs_correlation >= 0.9), b AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
+def _prune_sql(threshold: float) -> str:
+    return f"""WITH RECURSIVE q AS MATERIALIZED ({_QUALITY}), e AS MATERIALIZED (SELECT feature_a AS a, feature_b AS b FROM ({_PAIRS}) AS p WHERE abs_correlation >= {threshold}), b AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
 reach AS (SELECT feature AS f, feature AS g FROM q UNION SELECT r.f, b.b FROM reach r JOIN b ON b.a = r.g), c AS (SELECT f AS feature, min(g) AS component FROM reach GROUP BY 1),
 j AS (SELECT c.*, q.quality_score, count(*) OVER (PARTITION BY component) AS component_size, row_number() OVER (PARTITION BY component ORDER BY quality_score DESC, c.feature) AS rn FROM c JOIN q ON q.feature = c.feature),
 k AS (SELECT component, feature AS kept_feature FROM j WHERE rn = 1)
-SELECT j.component, component_size, feature, quality_score, kept_feature, CASE WHEN feature = kept_feature THEN 'keep' ELSE 'drop' END AS action FROM j JOIN k ON k.component = j.component WHERE component_size > 1""",
-              ["component", "component_size", "feature", "kept_feature", "action"], ["quality_score"], 6),
+SELECT j.component, component_size, feature, quality_score, kept_feature, CASE WHEN feature = kept_feature THEN 'keep' ELSE 'drop' END AS action FROM j JOIN k ON k.component = j.component WHERE component_size > 1"""
+
+
+@query(
+    "correlation_prune", "S6",
+    round_sql(_prune_sql(0.9), ["component", "component_size", "feature", "kept_feature", "action"], ["quality_score"], 6),
 )
 def _(t):
     rows = _rows(t)
@@ -100,7 +103,13 @@ def _(t):
     return rounded(sc.correlation_prune(sc.correlation_pairs(rows, _GROUPS), quality, 0.9), 6)
 
 
-@query("drop_template", "S6")
+@query(
+    "drop_template", "S6",
+    f"""WITH pruned AS MATERIALIZED ({_prune_sql(0.95)}), gone AS (SELECT feature FROM pruned WHERE action = 'drop')
+SELECT feature, kept_feature AS related_feature, 'auto_drop' AS source, 1 AS confirmed_drop FROM pruned WHERE action = 'drop'
+UNION ALL SELECT feature_b, feature_a, 'manual_review', 0 FROM ({_PAIRS}) AS p
+WHERE abs_correlation >= 0.9 AND abs_correlation < 0.98 AND feature_a NOT IN (SELECT feature FROM gone) AND feature_b NOT IN (SELECT feature FROM gone)""",
+)
 def _(t):
     rows = _rows(t)
     pairs = sc.correlation_pairs(rows, _GROUPS)
