@@ -66,7 +66,9 @@ def item_phrases(items: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def rarest_terms(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     """phrase, n, term and offset of the rarest term, and of the second (term2, offset2; null for one word)."""
-    listed = phrases.select("phrase", F.size("words").alias("n"), F.posexplode("words").alias("offset", "term"))
+    # a phrase of several items stands once a word
+    different = phrases.select("phrase", "words").dropDuplicates(["phrase"])
+    listed = different.select("phrase", F.size("words").alias("n"), F.posexplode("words").alias("offset", "term"))
     wanted = bounded(listed.select("term").distinct())
     seen = tokens(docs).join(wanted, "term").groupBy("term").agg(F.count("*").alias("times"))
     # at most ``window`` rows a phrase
