@@ -19,7 +19,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     edges = stored(links.where("a <> b").selectExpr("greatest(a, b) as u", "least(a, b) as v").distinct(), "links")
     for _ in range(most_rounds):
         both = edges.unionByName(edges.selectExpr("v as u", "u as v"))
-        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        lowest = stored(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("v", "u").alias("m")), "lowest")
         # edges (u, v) with v < u: v's larger neighbour u goes to the lowest neighbour of v
         large = edges.join(lowest.withColumnRenamed("u", "v"), "v").selectExpr("u", "m as v").where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
