@@ -121,6 +121,11 @@ def reconcile_key(
     )
 
 
+def sql_text(value: str) -> str:
+    """A value as a string literal of a SQL expression, whatever quotes it holds."""
+    return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def stable_hash(seed: int | Column, *parts: Column) -> Column:
     """First 16 hex digits of ``md5(seed|parts)``; text order equals number order."""
     lead = seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed))

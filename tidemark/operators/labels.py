@@ -90,13 +90,17 @@ def strict_claims(
 def claim_episodes(
     claims: DataFrame, gap_days: int = 30, key: str = "machine_key", day: str = "claim_date",
     number: str = "claim_number", kind: str = "claim_type", part: str = "critical_fail_part_number",
-    meter: str = "failure_smr", attributes: Sequence[str] = (),
+    meter: str = "failure_smr", attributes: Sequence[str] = (), valid_part: Column | None = None,
 ) -> DataFrame:
     """Runs of claims of one key whose gaps are at most ``gap_days``, numbered overall.
 
+    ``attributes`` come from the episode's first claim (smallest number of its first day). With
+    ``valid_part`` a flag says whether any claim of the episode fulfils it.
+
     Claims are reduced per (key, day) before the gap window, so a window holds days,
     not claims. The joined text columns hold every distinct value of the episode.
     """
+    flag = "has_valid_critical_part_episode"
     items = {"claim_numbers": number, "claim_type_descriptions": kind, "critical_fail_part_numbers": part}
     daily = (
         claims.where(F.col(key).isNotNull() & F.col(day).isNotNull())
@@ -106,7 +110,8 @@ def claim_episodes(
             *[F.collect_set(F.col(c).cast("string")).alias(n) for n, c in items.items()],
             F.min(F.col(meter).try_cast("double")).alias("__low"),
             F.max(F.col(meter).try_cast("double")).alias("__high"),
-            *[F.min(c).alias(c) for c in attributes],
+            *[F.min_by(c, number).alias(c) for c in attributes],
+            *([] if valid_part is None else [F.bool_or(F.coalesce(valid_part, F.lit(False))).alias(flag)]),
         )
     )
     ordered = Window.partitionBy(key).orderBy(day)
@@ -124,7 +129,8 @@ def claim_episodes(
         *[join(c) for c in items],
         F.min("__low").alias("min_failure_smr"),
         F.max("__high").alias("max_failure_smr"),
-        *[F.min(c).alias(c) for c in attributes],
+        *[F.min_by(c, day).alias(c) for c in attributes],
+        *([] if valid_part is None else [F.bool_or(flag).alias(flag)]),
     ).drop("__session")
     placed = ordered_scan(episodes, [], [F.col(key).asc(), F.col(day).asc()], number="__number")
     return placed.select(

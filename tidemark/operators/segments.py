@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import number, ratio_or_null, season_label
-from tidemark.functions.keys import first_existing, safe_token
+from tidemark.functions.keys import first_existing, safe_token, sql_text
 from tidemark.operators.features import Feature, grouped_features, interval_features
 
 KEY, START, END = "machine_key", "period_start", "period_end"
@@ -136,7 +136,7 @@ def _category_features(df: DataFrame, categories: dict) -> list[Feature]:
     out = []
     for (column, prefix), values in categories.items():
         for value in values:
-            when = f"upper(trim({column})) = '{value.upper()}'" if column in df.columns else "false"
+            when = f"upper(trim({column})) = {sql_text(value.upper())}" if column in df.columns else "false"
             out.append(Feature(f"{prefix}_{safe_token(value).lower()}_count", "count", when=when))
     return out
 

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.keys import safe_token
+from tidemark.functions.keys import safe_token, sql_text
 from tidemark.functions.scalars import COMPONENT_WORDS, MAINTENANCE_WORDS, clip, ratio
 from tidemark.operators.features import Feature, counts, latest_item_states, window_features
 from tidemark.operators.ordering import first_per_group
@@ -156,7 +156,7 @@ def serious_fault_features(
             lookback,
         ),
         *counts(
-            {f"fault_code_{safe_token(c)}_90d": f"is_serious = 1 and fault_code = '{c}'" for c in codes},
+            {f"fault_code_{safe_token(c)}_90d": f"is_serious = 1 and fault_code = {sql_text(c)}" for c in codes},
             lookback,
         ),
     ]

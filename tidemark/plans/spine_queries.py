@@ -343,7 +343,7 @@ EPISODE_SQL = f"""SELECT 'E' || lpad(cast(row_number() OVER (ORDER BY machine_ke
 SELECT model_id AS machine_key, sess, min(event_day) AS claim_date, max(event_day) AS episode_end_date, count(*) AS claim_count_in_episode,
  string_agg(DISTINCT claim_number, ';' ORDER BY claim_number) AS claim_numbers, string_agg(DISTINCT claim_type, ';' ORDER BY claim_type) AS claim_type_descriptions,
  coalesce(string_agg(DISTINCT critical_fail_part_number, ';' ORDER BY critical_fail_part_number), '') AS critical_fail_part_numbers,
- min(failure_smr) AS min_failure_smr, max(failure_smr) AS max_failure_smr, min(full_model) AS full_model
+ min(failure_smr) AS min_failure_smr, max(failure_smr) AS max_failure_smr, first(full_model ORDER BY event_day, claim_number) AS full_model, coalesce(bool_or({_PART_OK}), FALSE) AS has_valid_critical_part_episode
 FROM (SELECT *, sum(o) OVER (PARTITION BY model_id ORDER BY event_day, claim_number ROWS UNBOUNDED PRECEDING) AS sess FROM (
  SELECT *, CASE WHEN date_diff('day', lag(event_day) OVER (PARTITION BY model_id ORDER BY event_day, claim_number), event_day) <= 30 THEN 0 ELSE 1 END AS o FROM ({CLAIM_SQL}) AS c) AS g) AS h
 GROUP BY model_id, sess) AS e"""
@@ -351,13 +351,13 @@ GROUP BY model_id, sess) AS e"""
 
 def episodes(t, gap: int = 30):
     claims = std.standard_claims(roles.raw_claim(t)).withColumnsRenamed({"model_id": "machine_key", "event_day": "claim_date"})
-    return lb.claim_episodes(claims, gap, attributes=["full_model"])
+    return lb.claim_episodes(claims, gap, attributes=["full_model"], valid_part=F.expr(_PART_OK))
 
 
 @query(
     "claim_episodes", "F4 D4 J10",
     round_sql(EPISODE_SQL, ["claim_episode_id", "machine_key", "claim_date", "episode_end_date", "claim_count_in_episode", "claim_numbers",
-                            "claim_type_descriptions", "critical_fail_part_numbers", "full_model"], ["min_failure_smr", "max_failure_smr"]),
+                            "claim_type_descriptions", "critical_fail_part_numbers", "full_model", "has_valid_critical_part_episode"], ["min_failure_smr", "max_failure_smr"]),
 )
 def _(t):
     return rounded(episodes(t))
