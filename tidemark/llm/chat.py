@@ -4,8 +4,8 @@ The template writes a block for each speaker's run of turns:
 
     ### role: first turn<sep>second turn of the same role</turn>\n
 
-Backslash, ``#`` and ``<`` inside texts (in roles also ``:``) get a backslash before them, so a marker never stands inside
-a text and the output can be read back exactly. The ``loss`` column lists (start, length) of the
+Inside texts backslash, ``<`` and ``#`` (in roles also ``:``) are written as a backslash and a letter, so
+a marker never stands inside a text and the output can be read back exactly. The ``loss`` column lists (start, length) of the
 assistant texts inside the formatted text, in code points, without markers.
 
 Defined results: a null text is empty, a null role is "unknown", a null turn comes first; ties of one
@@ -24,20 +24,27 @@ from tidemark.llm.cascade import let
 HEAD, ROLE_END, SEPARATOR, TAIL = "### ", ": ", "<sep>", "</turn>\n"
 
 
-#: A block's head: role characters, escaped ones included, up to the first bare colon.
-ROLE_PATTERN = r"(?s)\A### ((?:\\.|[^\\:]++)*+): "
+#: A block's head; the role holds no colon of its own.
+ROLE_PATTERN = r"(?s)\A### ([^:]*): "
+#: What stands for each character that the markers use. Decoding takes the backslash last.
+ESCAPES = {"<": r"\l", "#": r"\h", ":": r"\c", "\\": r"\s"}
 
 
 def escape(text: Column) -> Column:
-    return F.regexp_replace(text, r"([\\#<])", r"\\$1")
+    """Text without ``<`` and ``#``; every backslash in it begins an escape."""
+    for plain in ("\\", "<", "#"):
+        text = F.replace(text, F.lit(plain), F.lit(ESCAPES[plain]))
+    return text
 
 
 def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, r"\\([\\#<:])", "$1")
+    for plain, escaped in ESCAPES.items():
+        text = F.replace(text, F.lit(escaped), F.lit(plain))
+    return text
 
 
 def block_head(role: Column) -> Column:
-    return F.concat(F.lit(HEAD), F.regexp_replace(role, r"([\\#<:])", r"\\$1"), F.lit(ROLE_END))
+    return F.concat(F.lit(HEAD), F.replace(escape(role), F.lit(":"), F.lit(ESCAPES[":"])), F.lit(ROLE_END))
 
 
 def collected_turns(conversations: DataFrame) -> DataFrame:
