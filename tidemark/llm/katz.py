@@ -44,28 +44,41 @@ from tidemark.llm.words import U, Words, mix, pieces, text_buffer
 from tidemark.session import ensure_checkpoint_dir
 
 ORDER, DISCOUNTED = 2, 5
-BLOCK_TOKENS, BUCKET_TOKENS = 2_500_000, 2_000_000
+BLOCK_TOKENS, BUCKET_TOKENS = 1_800_000, 1_250_000
 #: Histories with more than this share of the training tokens are dealt over all buckets.
 HOT_SHARE = 1000
 END, START, ROOT = (U(0x1B873593CC9E2D51 * k % 2**64) for k in (1, 3, 5))
 
 
-def short(hashes: np.ndarray, level: int) -> np.ndarray:
-    """The part of a hash that names an n-gram's word or history inside a bucket: 64 bits of single words, else 48."""
-    return hashes if level == 1 else hashes & U(2**48 - 1)
+#: Bits by which an n-gram of two or more words names its history and, behind it, its word inside a bucket.
+HISTORY_BITS, WORD_BITS = 48, 40
+
+
+_ZSTD = pa.Codec("zstd", compression_level=6)
+
+
+def different(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first place of each different value, number of each place's value), in 32-bit numbers."""
+    order = np.argsort(names, kind="stable").astype(np.int32)
+    names = names[order]
+    new = np.ones(len(names), dtype=bool)
+    new[1:] = names[1:] != names[:-1]
+    number = np.empty(len(names), dtype=np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - 1
+    return order[new], number
 
 
 def packed(values: np.ndarray) -> bytes:
     """Bytes of an array, like bytes next to each other, compressed."""
     raw = values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
-    return len(raw).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
+    return len(raw).to_bytes(8, "little") + (_ZSTD.compress(raw, asbytes=True) if raw else b"")
 
 
 def unpacked(data: bytes, kind) -> np.ndarray:
     size = int.from_bytes(data[:8], "little")
     if not size:
         return np.zeros(0, dtype=kind)
-    raw = np.frombuffer(pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True), dtype=np.uint8)
+    raw = np.frombuffer(_ZSTD.decompress(data[8:], decompressed_size=size, asbytes=True), dtype=np.uint8)
     width = np.dtype(kind).itemsize
     return np.ascontiguousarray(raw.reshape(width, -1).T).reshape(-1).view(kind)
 
@@ -87,14 +100,15 @@ def packed_values(values: np.ndarray) -> tuple[bytes, bytes]:
 
 def packed_hashes(values: np.ndarray, level: int) -> bytes:
     """The bytes of shortened hashes; they don't compress."""
-    return values.tobytes() if level == 1 else np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+    return values.tobytes() if level == 1 else np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, : WORD_BITS // 8]).tobytes()
 
 
 def unpacked_hashes(data: bytes, level: int) -> np.ndarray:
     if level == 1:
         return np.frombuffer(data, dtype=np.uint64)
-    out = np.zeros((len(data) // 6, 8), dtype=np.uint8)
-    out[:, :6] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 6)
+    width = WORD_BITS // 8
+    out = np.zeros((len(data) // width, 8), dtype=np.uint8)
+    out[:, :width] = np.frombuffer(data, dtype=np.uint8).reshape(-1, width)
     return out.reshape(-1).view(np.uint64)
 
 
@@ -205,7 +219,8 @@ class Block:
 
     def keys(self, level: int) -> tuple[np.ndarray, np.ndarray]:
         """(history, word) of each token, as the tables of the order name them."""
-        return short(mix(self.history(level)), level), short(mix(self.token), level)
+        h, w = mix(self.history(level)), mix(self.token)
+        return (h, w) if level == 1 else (h & U(2**HISTORY_BITS - 1), w & U(2**WORD_BITS - 1))
 
     def hot(self, level: int) -> np.ndarray:
         """Which tokens stand behind a history that is dealt over all buckets; the empty one and a text's start always are."""
@@ -222,12 +237,12 @@ class Block:
         N-grams stand by bucket, history and word, so an answer needs no keys.
         """
         h, w = self.keys(level)
-        _, at, of = np.unique(mix(h ^ mix(w)), return_index=True, return_inverse=True)
+        at, of = different(mix(h ^ mix(w)))
         h, w, hot = h[at], w[at], self.hot(level)[at]
         bucket = (mix(np.where(hot, h ^ mix(w), h)) % U(buckets)).astype(np.int64)
         order = np.lexsort((w, h, bucket))
-        rank = np.empty(len(order), dtype=np.int64)
-        rank[order] = np.arange(len(order))
+        rank = np.empty(len(order), dtype=np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
         return rank[of], h[order], w[order], bucket[order], hot[order], at[order]
 
     def probability(self, level: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -251,8 +266,13 @@ class Block:
         if level == 1:
             # one history; the unknown token has what the discounts left
             return np.where(count > 0, part / known.divisor, known.leftover)[of], count[of]
-        for i in np.flatnonzero(hot[new]):
-            *seen[i], lower[i] = known.hot[int(h[new][i])]
+        if known.hot:
+            # hot histories lie in many buckets; their totals stand for the parts
+            names = np.array(sorted(known.hot), dtype=np.uint64)
+            totals = np.array([known.hot[int(n)] for n in names])
+            which = np.flatnonzero(hot[new])
+            mine = totals[np.searchsorted(names, h[new][which])]
+            seen[which], lower[which] = mine[:, :-1], mine[:, -1]
         total, kept = history_mass(seen, known.discount)
         backoff = np.where(total > 0, (1 - kept) / np.maximum(1 - lower, 1e-300), 1.0)
         shorter, _ = self.probability(level - 1, buckets)
@@ -309,8 +329,9 @@ def merge_bucket(level: int, hot_from: int):
         h = np.concatenate([np.repeat(a, n) for a, n in zip(heads, sizes, strict=True)])
         w = np.concatenate([unpacked_hashes(x["words"], level) for x in asked])
         edges = np.cumsum([0, *(int(n.sum()) for n in sizes)])
-        names, at, of = np.unique(mix(h ^ mix(w)), return_index=True, return_inverse=True)
-        h, w = h[at], w[at]
+        names = mix(h ^ mix(w))
+        at, of = different(names)
+        names, h, w = names[at], h[at], w[at]
         c = np.bincount(of, weights=np.concatenate([unpacked(x["counts"], np.uint32) for x in asked]), minlength=len(at)).astype(np.int64)
         q = np.concatenate([np.frombuffer(x["chances"])[unpacked(x["lower"], np.uint32)] for x in asked])[at]
         histories, owner = np.unique(h, return_inverse=True)
