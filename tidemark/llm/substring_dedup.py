@@ -136,20 +136,21 @@ def _names(lists: pa.Array) -> np.ndarray:
 def repeated_content(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, anchor, content, source: blocks and windows of a document that stand in a smaller id.
 
-    Writes three tables to the shared folder: the index, its shared part, and the boundary windows.
+    Writes its index, the shared anchors and blocks, the block versions and the boundary windows to the shared folder.
     """
     text = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     index = stored(block_index(text, window, anchor), "rlz-index")
-    anchors = index.groupBy("anchor").agg(
+    # aggregates are stored before they are joined back: adaptive execution splits a hot key only where both sides of a join are plain shuffles
+    anchors = stored(index.groupBy("anchor").agg(
         F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"),
         F.min("block").alias("low"), F.max("block").alias("high"),
-    ).where("first_id < last_id")
+    ).where("first_id < last_id"), "rlz-anchors")
     shared = stored(
         index.join(anchors, "anchor").selectExpr("anchor", "block", "doc_id", "first_id", "low = high as one_version"), "rlz-shared"
     )
     whole = shared.where("one_version and doc_id > first_id").selectExpr("doc_id", "anchor", "block as content", "first_id as source")
     several = shared.where("not one_version")
-    versions = several.groupBy("anchor", "block").agg(F.min("doc_id").alias("first_id"))
+    versions = stored(several.groupBy("anchor", "block").agg(F.min("doc_id").alias("first_id")), "rlz-versions")
     copied = (
         several.drop("first_id").join(versions, ["anchor", "block"]).where("doc_id > first_id")
         .selectExpr("doc_id", "anchor", "block as content", "first_id as source")
@@ -157,7 +158,7 @@ def repeated_content(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     asked = versions.groupBy(F.col("first_id").alias("doc_id")).agg(F.collect_list(F.struct("anchor", F.col("block").alias("content"))).alias("asked"))
     windows = stored(boundary_windows(text.join(asked, "doc_id"), window, anchor), "rlz-windows")
     earliest = windows.groupBy("anchor", "content").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last_id")).where("source < last_id")
-    partly = windows.join(earliest, ["anchor", "content"]).where("doc_id > source").select("doc_id", "anchor", "content", "source")
+    partly = windows.join(stored(earliest.drop("last_id"), "rlz-earliest"), ["anchor", "content"]).where("doc_id > source").select("doc_id", "anchor", "content", "source")
     return whole.unionByName(copied).unionByName(partly)
 
 

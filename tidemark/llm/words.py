@@ -105,7 +105,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 3_000_000) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 1_500_000) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``most`` bytes of text each; a longer single text is a slice of its own."""
     for batch in batches:
         _, offsets = text_buffer(batch.column(text))
