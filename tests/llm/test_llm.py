@@ -119,6 +119,44 @@ def test_licence_scan(spark, odd):
     assert licences.scan(odd, classifier).count() == 0
 
 
+MIT_HEADER = """/*
+ * Permission is hereby granted, free of charge, to any person obtaining a copy
+ * of this software and associated documentation files (the "Software"), to deal
+ * in the Software without restriction, including without limitation the rights
+ * to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+ * copies of the Software.
+ */"""
+BSD_HEADER = """# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions are
+# met:"""
+GPL_HEADER = """REM This program is free software: you can redistribute it and/or modify
+REM it under the terms of the GNU General Public License as published by
+REM the Free Software Foundation, either version 3 of the License, or
+REM (at your option) any later version."""
+
+
+def test_wrapped_licence_headers(spark):
+    code = "\n".join(H.invented(9, k) for k in range(300))
+    texts = [
+        MIT_HEADER, "int a;\n\n" + BSD_HEADER.replace("\n", "\r\n"), GPL_HEADER, f"{code}\n{MIT_HEADER}\n{code}", f"{code}\n{BSD_HEADER} {code}",
+        f"{code}\nReleased under the MIT License.\n{code}", code,
+    ]
+    docs = H.documents(spark, texts + [H.invented(30, k) for k in range(40)])
+    found = licences.scan(docs).collect()
+    sure = sorted((r.doc_id, r.family, r.paragraph) for r in found if r.confirmed)
+    assert sure == [(0, "mit", 1), (1, "bsd", 2), (2, "gpl-3.0", 0), (3, "mit", 301), (4, "bsd", 300), (5, "mit", 300)]
+    assert not [r for r in found if not r.confirmed and r.doc_id > 4]
+
+
+def test_spans_hold_a_needed_word():
+    for confirmed in (0.3, licences.CONFIRMED, 1.0):
+        needed = set(licences.needed_words(confirmed))
+        for line in (x for v in licences.TEMPLATES.values() for x in v):
+            words = "".join(c if c.isalnum() else " " for c in line.lower()).split()
+            grams = {*((w,) for w in words), *zip(words, words[1:])}
+            assert sum(not needed & {*g} for g in grams) < confirmed * len(grams)
+
+
 def test_token_counts_equal_the_library(spark, odd):
     import public_tokenizers
 

@@ -1,11 +1,17 @@
 """Licence scans: a trained paragraph classifier, calibrated and confirmed by templates, in DataFrame operations.
 
-A paragraph is a line with a word. Its features are the different lower-cased words and word pairs that
-the templates use. A sparse (L1) multinomial logistic regression over licence families and an unknown
-class is fitted on template sentences, shortened ones among them, and on a bounded sample of other
-paragraphs of the corpus. Its temperature is fitted on held-out examples and the least probability is
-set above what held-out other paragraphs reach. A prediction is confirmed if enough of the words and
-pairs of one template of that family stand in the paragraph.
+A line with a word is judged by itself, and so are the spans of a paragraph, a run of such lines: spans of 32
+and 64 words over more than one line, from the start of every line and from every 16th word, newlines and
+comment prefixes left out, so that a wrapped notice of up to 48 words is found whole wherever it stands. Only
+spans with one of a few words without which no template can be confirmed are looked at. A paragraph reports a
+confirmed family once, with its best span, unless a confirmed line of that family stands inside the span; a
+line that is not confirmed gives way to a span of its family.
+
+Features are the different lower-cased words and word pairs that the templates use. A sparse (L1)
+multinomial logistic regression over licence families and an unknown class is fitted on template sentences,
+shortened ones among them, and on a bounded sample of other lines of the corpus. Its temperature is fitted on held-out examples and the least
+probability is set above what held-out other lines reach. A prediction is confirmed if enough of the words
+and pairs of one template of that family stand in the line or span.
 
 Only features with a weight are looked up: paragraphs are exploded to words and pairs and met with
 the small weight table (families x ``max_features`` at most, hence broadcast), so only matches are shuffled.
@@ -18,6 +24,7 @@ lines of any length are read whole; extra columns are left out; an empty table g
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
@@ -75,6 +82,9 @@ OTHERS = [
 ]
 MAX_FEATURES, SAMPLE_PARAGRAPHS = 2000, 2000
 LEAST_PROBABILITY, CONFIRMED = 0.5, 0.6
+#: Words of the shorter and of the longer spans, and between the starts of spans inside a line.
+SPANS, SPAN_STEP = (32, 64), 16
+WORD = r"[\p{L}\p{N}]"
 TEMPERATURES = [0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0]
 
 
@@ -91,7 +101,48 @@ def features(line: Column) -> Column:
 def paragraphs(docs: DataFrame) -> DataFrame:
     """doc_id, version (hash of the text), paragraph (line number from 0), line."""
     listed = docs.select("doc_id", F.xxhash64("text").alias("version"), F.posexplode(F.split(F.col("text"), "\n", -1)).alias("paragraph", "line"))
-    return listed.where(F.col("line").rlike(r"[\p{L}\p{N}]"))
+    return listed.where(F.col("line").rlike(WORD))
+
+
+def needed_words(confirmed: float) -> list[str]:
+    """Words of which a text must hold one, or no template has the share ``confirmed`` of its words and pairs in it."""
+    lists = [re.findall(r"[a-z0-9]+", x.lower()) for lines in TEMPLATES.values() for x in lines]
+    grams = [{*((w,) for w in x), *zip(x, x[1:])} for x in lists]
+    common = {w for x in OTHERS for w in re.findall(r"[a-z0-9]+", x.lower())}
+    chosen: set[str] = set()
+    while True:
+        left = [(g, [x for x in g if not chosen & {*x}]) for g in grams]
+        left = [x for g, rest in left if len(rest) >= confirmed * len(g) for x in rest]
+        if not left:
+            return sorted(chosen)
+        gain = {w: sum(w in x for x in left) for x in left for w in x}
+        chosen.add(min(gain, key=lambda w: (w in common or len(w) < 3, len(w) < 5, -gain[w], w)))
+
+
+def spans(docs: DataFrame, confirmed: float) -> DataFrame:
+    """doc_id, version, block (first line of the paragraph), paragraph and last (lines), words of every span to be judged."""
+    needed = needed_words(confirmed)
+    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.when(x.rlike(WORD), F.concat(i.cast("string"), F.lit("\x01"), x)).otherwise(""))
+    blocks = docs.where(F.contains("text", F.lit("\n")) & F.lower("text").rlike("|".join(needed))).select(
+        "doc_id", F.xxhash64("text").alias("version"), F.explode(F.split(F.btrim(F.array_join(lines, "\n"), F.lit("\n")), r"\n{2,}")).alias("block")
+    ).where(F.contains("block", F.lit("\n")) & F.lower("block").rlike("|".join(needed)))
+    # comment marks are no words; those that are letters are cut off
+    own = lambda x: paragraph_words(F.regexp_replace(x, r"(?i)^\s*(rem|dnl)\s", ""))
+    placed = F.flatten(F.transform(F.split("block", "\n"), lambda x: let(
+        F.split(x, "\x01", 2), lambda part: F.transform(own(F.get(part, F.lit(1))), lambda w: F.struct(F.get(part, F.lit(0)).cast("int").alias("at"), w.alias("word")))
+    )))
+
+    def cut(w: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i % SPAN_STEP == 0) | (F.get(w, i)["at"] != F.get(w, i - 1)["at"]))
+        short, long = SPANS
+        longer = lambda i: F.when(i + short < F.size(w), F.slice(w, i + 1, F.lit(long)))
+        return F.flatten(F.transform(starts, lambda i: F.array(F.slice(w, i + 1, F.lit(short)), longer(i))))
+
+    listed = blocks.select("doc_id", "version", F.split_part("block", F.lit("\x01"), F.lit(1)).cast("int").alias("block"), F.explode(let(placed, lambda w: F.when(F.size(w) > 0, cut(w)))).alias("w"))
+    told = listed.where("w is not null").select(
+        "doc_id", "version", "block", F.get("w", F.lit(0))["at"].alias("paragraph"), F.element_at("w", -1)["at"].alias("last"), F.col("w")["word"].alias("words")
+    )
+    return told.where((F.col("paragraph") < F.col("last")) & F.arrays_overlap("words", F.array(*map(F.lit, needed))))
 
 
 def template_table(spark: SparkSession) -> DataFrame:
@@ -159,14 +210,18 @@ def fit(docs: DataFrame, sample: int = SAMPLE_PARAGRAPHS, max_features: int = MA
 
 
 def scan(docs: DataFrame, classifier: Classifier | None = None, confirmed: float = CONFIRMED) -> DataFrame:
-    """One row for each paragraph that is predicted to be of a family.
+    """One row for each line, and each paragraph with a wrapped notice, that is predicted to be of a family.
 
-    doc_id, version, paragraph, line, family, probability, template (the best of the family), similarity (share of
-    its words and pairs that stand in the paragraph), confirmed.
+    doc_id, version, paragraph (number of the line or of the span's first), line (of a span its words), family,
+    probability, template (the best of the family), similarity (share of its words and pairs that stand in the line
+    or span), confirmed.
     """
     c = classifier or fit(docs)
-    key = ["doc_id", "version", "paragraph", "line"]
-    grams = paragraphs(docs).select(*key, F.explode(features(F.col("line"))).alias("feature"))
+    key = ["doc_id", "version", "block", "paragraph", "last", "line"]
+    single = paragraphs(docs).select("doc_id", "version", F.lit(-1).alias("block"), "paragraph", F.col("paragraph").alias("last"), "line")
+    wrapped = spans(docs, confirmed).withColumn("line", F.array_join("words", " "))
+    units = single.select(*key).unionByName(wrapped.select(*key))
+    grams = units.select(*key, F.explode(features(F.col("line"))).alias("feature"))
     matched = grams.join(F.broadcast(c.weights), "feature").dropDuplicates([*key, "feature"])
     n = len(c.classes)
     summed = matched.groupBy(*key).agg(*[F.sum(F.col("weights")[k]).alias(f"s{k}") for k in range(n)])
@@ -180,4 +235,27 @@ def scan(docs: DataFrame, classifier: Classifier | None = None, confirmed: float
     given = F.broadcast(template_table(docs.sparkSession).select("template", F.col("family").alias("of"), "grams"))
     share = F.size(F.array_intersect("grams", "own")) / F.size("grams")
     best = found.join(given, F.col("family") == F.col("of")).groupBy(*key, "family", "probability").agg(F.max(F.struct(share.alias("similarity"), "template")).alias("best"))
-    return best.select(*key, "family", "probability", "best.template", "best.similarity", (F.col("best.similarity") >= confirmed).alias("confirmed"))
+    told = best.select(*key, "family", "probability", "best.template", "best.similarity", (F.col("best.similarity") >= confirmed).alias("confirmed"))
+    return settled(stored(told.where(F.col("confirmed") | (F.col("block") < 0)), "licence-units"))
+
+
+def settled(units: DataFrame) -> DataFrame:
+    """Lines, and the best span of each paragraph and family, less those that say the same again."""
+    own = ["doc_id", "version", "family"]
+
+    def without(left: DataFrame, right: DataFrame, names: list[str]) -> DataFrame:
+        other = right.select(*[F.col(x).alias(f"_{x}") for x in names]).distinct()
+        on = [F.col(x).eqNullSafe(F.col(f"_{x}")) for x in names]
+        return left.join(other, on, "left_anti")
+
+    lines, wide = units.where("block < 0"), units.where("block >= 0")
+    each_line = lambda df: df.select("*", F.explode(F.sequence("paragraph", "last")).alias("at"))
+    sure = lines.where("confirmed").select(*own, F.col("paragraph").alias("_at"), *[F.col(x).alias(f"_{x}") for x in own]).distinct().drop(*own)
+    told = each_line(wide).join(sure, [*[F.col(x).eqNullSafe(F.col(f"_{x}")) for x in own], F.col("at") == F.col("_at")], "left_semi")
+    alone = without(wide, told, [*own, "block", "paragraph", "last", "line"])
+    rest = [x for x in units.columns if x not in (*own, "block")]
+    first = ["similarity", F.negative(F.size(F.split("line", " "))).alias("short"), *[x for x in rest if x != "similarity"]]
+    best = alone.groupBy(*own, "block").agg(F.max(F.struct(*first)).alias("x")).select(*own, *[F.col("x")[x].alias(x) for x in rest])
+    open_lines = without(lines.where("not confirmed").withColumn("at", F.col("paragraph")), each_line(best), [*own, "at"])
+    names = ["doc_id", "version", "paragraph", "line", "family", "probability", "template", "similarity", "confirmed"]
+    return lines.where("confirmed").select(names).unionByName(open_lines.select(names)).unionByName(best.select(names))
