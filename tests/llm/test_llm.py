@@ -157,6 +157,17 @@ def test_spans_hold_a_needed_word():
             assert sum(not needed & {*g} for g in grams) < confirmed * len(grams)
 
 
+def test_notices_in_the_sample_do_not_hide_notices(spark):
+    notices = ["Distributed under the MIT License.", "This file is distributed under the MIT License."]
+    docs = H.documents(spark, [*notices * 20, "\n".join(H.invented(8, k) for k in range(300)), *[H.invented(30, k) for k in range(40)]])
+    taught = [r.line for r in licences.sample_lines(docs, 100).collect()]
+    assert len(taught) == len(set(taught)) and sum(x in H.invented(8, k) for x in taught for k in range(300)) <= licences.LINES_A_DOCUMENT
+    assert licences.examples(spark, docs, 100).where("family = 'unknown' and array_contains(grams, 'mit license')").count() == 0
+    model = licences.fit(docs)
+    model.least = 1.1
+    assert {(r.family, r.confirmed) for r in licences.scan(docs, model).collect()} == {("mit", True)}
+
+
 def test_token_counts_equal_the_library(spark, odd):
     import public_tokenizers
 

@@ -9,9 +9,11 @@ line that is not confirmed gives way to a span of its family.
 
 Features are the different lower-cased words and word pairs that the templates use. A sparse (L1)
 multinomial logistic regression over licence families and an unknown class is fitted on template sentences,
-shortened ones among them, and on a bounded sample of other lines of the corpus. Its temperature is fitted on held-out examples and the least
+shortened ones among them, and on a bounded sample of other lines of the corpus: in hash order, a few of each
+document, none that resembles a template. Its temperature is fitted on held-out examples and the least
 probability is set above what held-out other lines reach. A prediction is confirmed if enough of the words
-and pairs of one template of that family stand in the line or span.
+and pairs of one template of that family stand in the line or span; the least probability holds for
+predictions that are not confirmed.
 
 Only features with a weight are looked up: paragraphs are exploded to words and pairs and met with
 the small weight table (families x ``max_features`` at most, hence broadcast), so only matches are shuffled.
@@ -25,7 +27,6 @@ lines of any length are read whole; extra columns are left out; an empty table g
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
@@ -82,6 +83,8 @@ OTHERS = [
 ]
 MAX_FEATURES, SAMPLE_PARAGRAPHS = 2000, 2000
 LEAST_PROBABILITY, CONFIRMED = 0.5, 0.6
+#: A sample line resembles a template if it has this share of the template, or this share of it stands in the template.
+LIKE_TEMPLATE, INSIDE_TEMPLATE, LINES_A_DOCUMENT = 0.4, 0.6, 4
 #: Words of the shorter and of the longer spans, and between the starts of spans inside a line.
 SPANS, SPAN_STEP = (32, 64), 16
 WORD = r"[\p{L}\p{N}]"
@@ -160,11 +163,22 @@ def examples(spark: SparkSession, docs: DataFrame, sample: int) -> DataFrame:
     ).unionByName(
         given.select("family", F.concat(F.lit("Copyright 2020 the authors. "), "line").alias("line"), F.lit(True).alias("held"))
     ).unionByName(spark.createDataFrame([(UNKNOWN, x, False) for x in OTHERS], "family string, line string, held boolean"))
-    picked = paragraphs(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(16)) == 0).limit(sample).select("doc_id", "text")).select("line").limit(sample)
-    # paragraphs that contain a template are no examples of the unknown class
-    known = reduce(lambda a, b: a | b, [F.contains(F.lower("line"), F.lit(x.lower().rstrip("."))) for v in TEMPLATES.values() for x in v])
-    other = picked.where(~known).select(F.lit(UNKNOWN).alias("family"), "line", (F.pmod(F.xxhash64("line"), F.lit(2)) == 0).alias("held"))
-    return lines.unionByName(other).select("family", "held", features(F.col("line")).alias("grams"))
+    picked = sample_lines(docs, sample).select("line", features(F.col("line")).alias("grams"))
+    # lines like a template, or like a part of one, are no examples of the unknown class
+    both = F.size(F.array_intersect("grams", "of"))
+    like = (both >= LIKE_TEMPLATE * F.size("of")) | ((F.size("grams") >= 5) & (both >= INSIDE_TEMPLATE * F.size("grams")))
+    met = picked.crossJoin(F.broadcast(given.select(F.col("grams").alias("of")))).groupBy("line", "grams").agg(F.max(like).alias("like"))
+    other = met.where("not like").select(F.lit(UNKNOWN).alias("family"), (F.pmod(F.xxhash64("line"), F.lit(2)) == 0).alias("held"), "grams")
+    return lines.select("family", "held", features(F.col("line")).alias("grams")).unionByName(other)
+
+
+def sample_lines(docs: DataFrame, sample: int) -> DataFrame:
+    """At most ``sample`` different lines with a word in hash order, at most LINES_A_DOCUMENT of a document."""
+    chance = min(1.0, 4 * sample / max(1, docs.count()))
+    drawn = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(2**30)) < F.lit(int(chance * 2**30)))
+    ordered = F.array_sort(F.transform(F.filter(F.split("text", "\n", -1), lambda x: x.rlike(WORD)), lambda x: F.struct(F.xxhash64("doc_id", x).alias("hash"), x.alias("line"))))
+    few = drawn.select(F.explode(F.slice(ordered, 1, LINES_A_DOCUMENT)).alias("x"))
+    return few.groupBy("x.line").agg(F.min("x.hash").alias("hash")).orderBy("hash", "line").limit(sample).select("line")
 
 
 class Classifier:
@@ -229,14 +243,14 @@ def scan(docs: DataFrame, classifier: Classifier | None = None, confirmed: float
     judged = summed.select(*key, probabilities(scores, F.lit(c.temperature)).alias("p"))
     top = let(F.slice("p", 1, n - 1), lambda p: F.struct(F.array_max(p).alias("probability"), F.array_position(p, F.array_max(p)).alias("at")))
     names = F.array(*map(F.lit, c.classes))
-    found = judged.select(*key, "p", top.alias("top")).where((F.col("top.probability") >= c.least) & (F.col("top.probability") > F.get("p", F.lit(n - 1)))).select(
+    found = judged.select(*key, "p", top.alias("top")).where(F.col("top.probability") > F.get("p", F.lit(n - 1))).select(
         *key, F.get(names, (F.col("top.at") - 1).cast("int")).alias("family"), F.col("top.probability").alias("probability"), features(F.col("line")).alias("own")
     )
     given = F.broadcast(template_table(docs.sparkSession).select("template", F.col("family").alias("of"), "grams"))
     share = F.size(F.array_intersect("grams", "own")) / F.size("grams")
     best = found.join(given, F.col("family") == F.col("of")).groupBy(*key, "family", "probability").agg(F.max(F.struct(share.alias("similarity"), "template")).alias("best"))
     told = best.select(*key, "family", "probability", "best.template", "best.similarity", (F.col("best.similarity") >= confirmed).alias("confirmed"))
-    return settled(stored(told.where(F.col("confirmed") | (F.col("block") < 0)), "licence-units"))
+    return settled(stored(told.where(F.col("confirmed") | ((F.col("block") < 0) & (F.col("probability") >= c.least))), "licence-units"))
 
 
 def settled(units: DataFrame) -> DataFrame:
