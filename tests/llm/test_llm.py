@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -93,6 +94,15 @@ def test_katz_odd_rows(spark, odd):
     assert all(r.score == 0 for r in katz.Model(odd, F.lit(True)).scores().collect())
 
 
+def test_registered_katz_query_uses_trigrams(spark, tmp_path):
+    texts = [H.invented(60, k, kinds=12) for k in range(30)]
+    H.documents(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    mine = {x.doc_id: (x.score, x.base_score) for x in queries.op2_katz_scores(spark, str(tmp_path)).collect()}
+    rows = [(zlib.crc32(str(i).encode()) % 10 == 0, t) for i, t in enumerate(texts)]
+    for i, expected in enumerate(H.katz_scores(rows, 3, katz.discounts)):
+        assert np.allclose(mine[i], expected, atol=1e-8)
+
+
 def test_decontamination_equals_brute_force(spark, odd):
     items = [(1, " ".join(H.invented(70, 5).split()[3:20])), (2, "One"), (3, None), (4, "..."), (10, "Été à"), (11, LONG[:200]), (12, LONG[:200])]
     bench = spark.createDataFrame(items, "item_id long, text string")

@@ -43,7 +43,7 @@ from tidemark.llm.stage import stored
 from tidemark.llm.words import U, Words, mix, pieces, text_buffer
 from tidemark.session import ensure_checkpoint_dir
 
-ORDER, DISCOUNTED = 2, 5
+ORDER, DISCOUNTED = 3, 5
 BLOCK_TOKENS, BUCKET_TOKENS = 1_800_000, 1_250_000
 #: Histories with more than this share of the training tokens are dealt over all buckets.
 HOT_SHARE = 1000
