@@ -87,6 +87,9 @@ LEAST_PROBABILITY, CONFIRMED = 0.5, 0.6
 LIKE_TEMPLATE, INSIDE_TEMPLATE, LINES_A_DOCUMENT = 0.4, 0.6, 4
 #: Words of the shorter and of the longer spans, and between the starts of spans inside a line.
 SPANS, SPAN_STEP = (32, 64), 16
+#: Everyday words of templates, taken last as words that a span must hold.
+PLAIN = """4 are author authors binary can charge code compliance deal domain either except extent file files following form forms found
+governed has included international into later law met possible program provided published style subject terms that the under with without written""".split()
 WORD = r"[\p{L}\p{N}]"
 TEMPERATURES = [0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0]
 
@@ -111,7 +114,7 @@ def needed_words(confirmed: float) -> list[str]:
     """Words of which a text must hold one, or no template has the share ``confirmed`` of its words and pairs in it."""
     lists = [re.findall(r"[a-z0-9]+", x.lower()) for lines in TEMPLATES.values() for x in lines]
     grams = [{*((w,) for w in x), *zip(x, x[1:])} for x in lists]
-    common = {w for x in OTHERS for w in re.findall(r"[a-z0-9]+", x.lower())}
+    common = {*PLAIN} | {w for x in OTHERS for w in re.findall(r"[a-z0-9]+", x.lower())}
     chosen: set[str] = set()
     while True:
         left = [(g, [x for x in g if not chosen & {*x}]) for g in grams]
@@ -119,7 +122,7 @@ def needed_words(confirmed: float) -> list[str]:
         if not left:
             return sorted(chosen)
         gain = {w: sum(w in x for x in left) for x in left for w in x}
-        chosen.add(min(gain, key=lambda w: (w in common or len(w) < 3, len(w) < 5, -gain[w], w)))
+        chosen.add(min(gain, key=lambda w: ((w in common and w != "license") + (len(w) < 3), len(w) < 4, -gain[w], w)))
 
 
 def spans(docs: DataFrame, confirmed: float) -> DataFrame:
@@ -200,7 +203,7 @@ def probabilities(scores: Column, temperature: float) -> Column:
 def fit(docs: DataFrame, sample: int = SAMPLE_PARAGRAPHS, max_features: int = MAX_FEATURES) -> Classifier:
     """A classifier from the templates and at most ``sample`` paragraphs of ``docs``."""
     spark = docs.sparkSession
-    rows = stored(examples(spark, docs, sample), "licence-examples")
+    rows = stored(examples(spark, docs, sample).repartition(1), "licence-examples")
     classes = [*sorted(TEMPLATES), UNKNOWN]
     number = F.array_position(F.array(*map(F.lit, classes)), F.col("family")) - 1
     vocabulary = [r[0] for r in template_table(spark).select(F.explode("grams").alias("g")).groupBy("g").count().orderBy(F.desc("count"), "g").limit(max_features).collect()]
