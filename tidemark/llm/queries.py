@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import cascade, chat, decontaminate, katz, licences, packing, probminhash, quality_cnn, substring_dedup, token_counts
+from tidemark.llm import cascade, chat, decontaminate, katz, licences, packing, prefix_trie, probminhash, quality_cnn, substring_dedup, token_counts
 from tidemark.session import table
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -213,6 +213,60 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM based
 """
 
+
+#: Conversations share the opening turns of one in twenty.
+GRAFT_EVERY, GRAFT_LONGEST = 20, 3
+
+
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    length = (F.crc32(F.col("conv_id").cast("string")) % (GRAFT_LONGEST + 1)).cast("int")
+    rebuilt = prefix_trie.grafted(prefix_trie.turn_sequences(table(spark, folder, "conversations")), GRAFT_EVERY, length, GRAFT_LONGEST)
+    return prefix_trie.trie_nodes(rebuilt)
+
+
+OP12_SQL = r"""
+WITH RECURSIVE ids AS (
+  SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS name FROM conversations WHERE conv_id IS NOT NULL
+), crc AS (
+  SELECT conv_id, name, 0 AS k, CAST(4294967295 AS BIGINT) AS c FROM ids
+  UNION ALL
+  SELECT conv_id, name, k + 1, xor(x >> 1, CASE WHEN x % 2 = 1 THEN CAST(3988292384 AS BIGINT) ELSE 0 END)
+  FROM (SELECT *, CASE WHEN k % 8 = 0 THEN xor(c, CAST(ascii(substr(name, k // 8 + 1, 1)) AS BIGINT)) ELSE c END AS x FROM crc WHERE k < 8 * length(name))
+), heads AS (
+  SELECT conv_id, xor(c, CAST(4294967295 AS BIGINT)) % 4 AS h FROM crc WHERE k = 8 * length(name)
+), named AS (
+  SELECT conv_id, turn, text, md5(length(role) || ':' || role || text) AS name
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+), turns AS (
+  SELECT conv_id, name, len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, name) AS d
+  FROM named
+), rebuilt AS (
+  SELECT h.conv_id, 0 AS part, d, name, words FROM heads h JOIN turns t ON t.conv_id = h.conv_id - h.conv_id % 20 AND d <= h
+  UNION ALL
+  SELECT h.conv_id, 1, d, name, words FROM heads h JOIN turns t ON t.conv_id = h.conv_id AND d > h
+), prefixes AS (
+  SELECT conv_id, words, string_agg(name, '') OVER w AS prefix, count(*) OVER (PARTITION BY conv_id) AS n_turns
+  FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY part, d)
+  UNION ALL
+  SELECT conv_id, 0, '', (SELECT count(*) FROM rebuilt r WHERE r.conv_id = ids.conv_id) FROM ids
+), nodes AS (
+  SELECT prefix, length(prefix) // 32 AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n_turns = length(prefix) // 32), '')) AS ends_sha256
+  FROM prefixes GROUP BY prefix
+), children AS (
+  SELECT left(prefix, length(prefix) - 32) AS prefix, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1
+), counted AS (
+  SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children USING (prefix)
+), sums AS (
+  SELECT left(prefix, 32 * d) AS prefix, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM counted) GROUP BY 1
+)
+SELECT c.conv_id, CAST(c.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children, s.n_leaves,
+  CAST(s.saved_tokens AS BIGINT) AS saved_tokens, c.ends_sha256
+FROM counted c JOIN sums s USING (prefix) LEFT JOIN nodes p ON c.depth > 0 AND p.prefix = left(c.prefix, length(c.prefix) - 32)
+"""
+
 BUILDERS = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_katz_scores": op2_katz_scores,
@@ -224,5 +278,9 @@ BUILDERS = {
     "op8_chat_format": op8_chat_format,
     "op9_best_fit": op9_best_fit,
     "op10_quality_rules": op10_quality_rules,
+    "op12_prefix_trie": op12_prefix_trie,
+}
+SQL = {
+    "op1_substring_dedup": OP1_SQL, "op3_decontamination": OP3_SQL, "op8_chat_format": OP8_SQL, "op10_quality_rules": OP10_SQL,
+    "op12_prefix_trie": OP12_SQL,
 }
-SQL = {"op1_substring_dedup": OP1_SQL, "op3_decontamination": OP3_SQL, "op8_chat_format": OP8_SQL, "op10_quality_rules": OP10_SQL}
