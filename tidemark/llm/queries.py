@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import cascade, chat, decontaminate, katz, licences, packing, prefix_trie, probminhash, quality_cnn, substring_dedup, token_counts
+from tidemark.llm import cascade, chat, decontaminate, katz, lexical_search, licences, packing, prefix_trie, probminhash, quality_cnn, substring_dedup, suffix_array, token_counts
 from tidemark.session import table
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -214,6 +214,36 @@ FROM based
 """
 
 
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+OP11_SQL = r"""
+WITH cut AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM documents
+), item AS (
+  SELECT DISTINCT item_id, unnest(list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS term
+  FROM benchmark
+), corpus AS (
+  SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS total FROM cut WHERE len(w) > 0
+), counts AS (
+  SELECT r, doc_id, n, term, count(*) AS tf
+  FROM (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n, unnest(w) AS term FROM cut) SEMI JOIN item USING (term) GROUP BY ALL
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM counts, corpus GROUP BY term
+), scores AS (
+  SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // total)))) AS BIGINT) AS score
+  FROM item JOIN counts USING (term) JOIN weights USING (term), corpus GROUP BY item_id, r, doc_id
+), placed AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0
+)
+SELECT * FROM placed WHERE rank <= 10
+"""
+
+
 #: Conversations share the opening turns of one in twenty.
 GRAFT_EVERY, GRAFT_LONGEST = 20, 3
 
@@ -267,6 +297,37 @@ SELECT c.conv_id, CAST(c.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id,
 FROM counted c JOIN sums s USING (prefix) LEFT JOIN nodes p ON c.depth > 0 AND p.prefix = left(c.prefix, length(c.prefix) - 32)
 """
 
+def op13_suffix_array(spark: SparkSession, folder: str) -> DataFrame:
+    left = suffix_array.remove_repeated_bytes(table(spark, folder, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP13_SQL = r"""
+WITH cut AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), windows AS (
+  SELECT r, doc_id, i, md5(substr(h, 2 * i + 1, 100)) AS gram
+  FROM (SELECT r, doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM cut WHERE length(h) >= 100)
+), repeats AS (
+  SELECT r, i FROM (SELECT r, doc_id, i, min(doc_id) OVER (PARTITION BY gram) AS first_id FROM windows) WHERE doc_id > first_id
+), edges AS (
+  SELECT r, i, i - lag(i) OVER w AS step, lead(i) OVER w AS after FROM repeats WINDOW w AS (PARTITION BY r ORDER BY i)
+), starts AS (
+  SELECT r, i AS a, row_number() OVER (PARTITION BY r ORDER BY i) AS k FROM edges WHERE step IS NULL OR step > 50
+), ends AS (
+  SELECT r, i + 50 AS b, row_number() OVER (PARTITION BY r ORDER BY i) AS k FROM edges WHERE after IS NULL OR after - i > 50
+), spans AS (
+  SELECT r, a, b, k, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM starts JOIN ends USING (r, k)
+), kept AS (
+  SELECT r, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS tail, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head
+  FROM spans JOIN cut USING (r) GROUP BY r
+)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
+FROM cut LEFT JOIN kept USING (r)
+"""
+
+
 BUILDERS = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_katz_scores": op2_katz_scores,
@@ -278,9 +339,12 @@ BUILDERS = {
     "op8_chat_format": op8_chat_format,
     "op9_best_fit": op9_best_fit,
     "op10_quality_rules": op10_quality_rules,
+    "op11_ranked_search": op11_ranked_search,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_suffix_array": op13_suffix_array,
 }
 SQL = {
     "op1_substring_dedup": OP1_SQL, "op3_decontamination": OP3_SQL, "op8_chat_format": OP8_SQL, "op10_quality_rules": OP10_SQL,
-    "op12_prefix_trie": OP12_SQL,
+    "op11_ranked_search": OP11_SQL, "op12_prefix_trie": OP12_SQL,
+    "op13_suffix_array": OP13_SQL,
 }

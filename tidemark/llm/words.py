@@ -68,12 +68,13 @@ class Words:
     """The words of several texts in a row.
 
     ``start`` and ``end`` are byte places in ``data``; the words of text t have the numbers
-    ``first[t]`` to ``first[t + 1] - 1``; ``hash`` has one value for each word.
+    ``first[t]`` to ``first[t + 1] - 1``; ``hash`` has one value for each word. ``apart`` marks the bytes
+    that stand between words.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, apart: np.ndarray = SPACE):
         self.data, self.offsets = data, offsets
-        inside = ~SPACE[data]
+        inside = ~apart[data]
         begins, ends = inside.copy(), inside.copy()
         begins[1:] &= ~inside[:-1]
         ends[:-1] &= ~inside[1:]
