@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -158,13 +159,39 @@ def test_wrapped_licence_headers(spark):
     assert not [r for r in found if not r.confirmed and r.doc_id > 4]
 
 
-def test_spans_hold_a_needed_word():
+def test_spans_hold_a_needed_gram():
     for confirmed in (0.3, licences.CONFIRMED, 1.0):
-        needed = set(licences.needed_words(confirmed))
+        needed, pairs = licences.needed_grams(confirmed)
+        pattern = licences.gate_pattern(needed, pairs).replace(r"[^\p{L}\p{N}]", "[^a-z0-9]").replace(r"[\p{L}\p{N}]", "[a-z0-9]")
         for line in (x for v in licences.TEMPLATES.values() for x in v):
             words = "".join(c if c.isalnum() else " " for c in line.lower()).split()
             grams = {*((w,) for w in words), *zip(words, words[1:])}
-            assert sum(not needed & {*g} for g in grams) < confirmed * len(grams)
+            assert sum(not {*needed} & {*g} and g not in pairs for g in grams) < confirmed * len(grams)
+            assert re.search(pattern, "\n# ".join(words))
+        assert confirmed != licences.CONFIRMED or not re.search(pattern, "the of and mit with this that")
+
+
+def test_licence_probabilities_equal_plain_python(spark):
+    docs = H.documents(spark, ["Released under the MIT License.\nfoo", "x\nLicensed under the Apache License, Version 2.0. Or not.", "All rights of the public are reserved", *[H.invented(30, k) for k in range(40)]])
+    model = licences.fit(docs)
+    number = {r.feature: r.number for r in model.numbers.collect()}
+    found = licences.scan(docs, model).collect()
+    assert len(found) >= 2
+    for r in found:
+        words = re.findall(r"[a-z0-9]+", r.line.lower())
+        grams = {*words, *map(" ".join, zip(words, words[1:]))}
+        sums = np.array(model.intercepts) + sum(np.array(model.weights[number[g]]) for g in grams if g in number)
+        p = np.exp((sums - sums.max()) / model.temperature)
+        p /= p.sum()
+        assert model.classes[int(p[:-1].argmax())] == r.family and r.probability == pytest.approx(p[:-1].max())
+        shares = {f"{r.family}/{i}": _template_share(x, grams) for i, x in enumerate(licences.TEMPLATES[r.family])}
+        assert r.similarity == pytest.approx(max(shares.values())) and shares[r.template] == pytest.approx(r.similarity)
+
+
+def _template_share(line, grams):
+    words = re.findall(r"[a-z0-9]+", line.lower())
+    own = {*words, *map(" ".join, zip(words, words[1:]))}
+    return len(own & grams) / len(own)
 
 
 def test_notices_in_the_sample_do_not_hide_notices(spark):

@@ -3,7 +3,7 @@
 A line with a word is judged by itself, and so are the spans of a paragraph, a run of such lines: spans of 32
 and 64 words over more than one line, from the start of every line and from every 16th word, newlines and
 comment prefixes left out, so that a wrapped notice of up to 48 words is found whole wherever it stands. Only
-spans with one of a few words without which no template can be confirmed are looked at. A paragraph reports a
+spans with one of some words or word pairs without which no template can be confirmed are looked at. A paragraph reports a
 confirmed family once, with its best span, unless a confirmed line of that family stands inside the span; a
 line that is not confirmed gives way to a span of its family.
 
@@ -16,8 +16,9 @@ and pairs of one template of that family stand in the line or span; the least pr
 predictions that are not confirmed.
 
 Only features with a weight are looked up: paragraphs are exploded to words and pairs and met with
-the small weight table (families x ``max_features`` at most, hence broadcast), so only matches are shuffled.
-A paragraph without any such feature is unknown.
+the small weight table (``max_features`` rows at most, hence broadcast). What is shuffled is one row of numbers for
+each line or span with such a feature: where it stands and its features' numbers. Texts are read again for the
+predicted ones only. A paragraph without any such feature is unknown.
 
 Defined results: null and empty texts have no paragraphs; identical rows (same id and text) are reported
 once; rows that share an id but not the text are told apart by ``version``; a null id is kept; texts and
@@ -26,6 +27,7 @@ lines of any length are read whole; extra columns are left out; an empty table g
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.ml.classification import LogisticRegression
@@ -87,9 +89,11 @@ LEAST_PROBABILITY, CONFIRMED = 0.5, 0.6
 LIKE_TEMPLATE, INSIDE_TEMPLATE, LINES_A_DOCUMENT = 0.4, 0.6, 4
 #: Words of the shorter and of the longer spans, and between the starts of spans inside a line.
 SPANS, SPAN_STEP = (32, 64), 16
-#: Everyday words of templates, taken last as words that a span must hold.
-PLAIN = """4 are author authors binary can charge code compliance deal domain either except extent file files following form forms found
-governed has included international into later law met possible program provided published style subject terms that the under with without written""".split()
+#: Words found in any text: alone they never make a span worth a look, in pairs only where nothing else is left.
+EVERYDAY = "a all an and any are be by can except for found free from has have he in into is it later law may met mit no not of or part she that the this to under use was with work you".split()
+#: Less frequent words of any text, taken after the rarer ones.
+PLAIN = """4 author authors charge code deal domain either extent file files following form forms general governed included international person possible
+program provided public published source style subject terms version without written""".split()
 WORD = r"[\p{L}\p{N}]"
 TEMPERATURES = [0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0]
 
@@ -110,45 +114,76 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return listed.where(F.col("line").rlike(WORD))
 
 
-def needed_words(confirmed: float) -> list[str]:
-    """Words of which a text must hold one, or no template has the share ``confirmed`` of its words and pairs in it."""
+def needed_grams(confirmed: float) -> tuple[list[str], list[tuple[str, str]]]:
+    """Words and word pairs of which a text must hold one, or no template has the share ``confirmed`` of its grams in it.
+
+    Rare words come first, then pairs of everyday words, so that few texts pass. Everyday words alone are not
+    needed below a share of 0.6: they are about half of a template's grams.
+    """
     lists = [re.findall(r"[a-z0-9]+", x.lower()) for lines in TEMPLATES.values() for x in lines]
     grams = [{*((w,) for w in x), *zip(x, x[1:])} for x in lists]
-    common = {*PLAIN} | {w for x in OTHERS for w in re.findall(r"[a-z0-9]+", x.lower())}
-    chosen: set[str] = set()
+    words, pairs = set(), set()
     while True:
-        left = [(g, [x for x in g if not chosen & {*x}]) for g in grams]
+        left = [(g, [x for x in g if x not in pairs and not words & {*x}]) for g in grams]
         left = [x for g, rest in left if len(rest) >= confirmed * len(g) for x in rest]
         if not left:
-            return sorted(chosen)
-        gain = {w: sum(w in x for x in left) for x in left for w in x}
-        chosen.add(min(gain, key=lambda w: ((w in common and w != "license") + (len(w) < 3), len(w) < 4, -gain[w], w)))
+            return sorted(words), sorted(pairs)
+        found = {w for x in left for w in x if w not in EVERYDAY and len(w) > 2}
+        if found:
+            words.add(min(found, key=lambda w: (w in PLAIN, -sum(w in x for x in left), w)))
+        elif two := {x for x in left if len(x) == 2}:
+            # the rarer-looking pair: its shorter word is longest
+            pairs.add(min(two, key=lambda x: (-min(map(len, x)), -left.count(x), x)))
+        else:
+            words.add(min(w for x in left for w in x))
+
+
+def gate_pattern(words: list[str], pairs: list[tuple[str, str]]) -> str:
+    """A pattern for the lower-cased text of a paragraph that holds one of these; grouped by first letter."""
+    between = r"[^\p{L}\p{N}]+(?:(?:rem|dnl)[^\p{L}\p{N}]+)?"
+    given: dict[str, list[str]] = {}
+    for first, rest in [*((w[0], w[1:]) for w in words), *((a[0], a[1:] + between + b) for a, b in pairs)]:
+        given.setdefault(first, []).append(rest)
+    return r"(?<![\p{L}\p{N}])(?:" + "|".join(f"{c}(?:{'|'.join(x)})" for c, x in sorted(given.items())) + r")(?![\p{L}\p{N}])"
 
 
 def spans(docs: DataFrame, confirmed: float) -> DataFrame:
-    """doc_id, version, block (first line of the paragraph), paragraph and last (lines), words of every span to be judged."""
-    needed = needed_words(confirmed)
+    """doc_id, version, block (first line of the paragraph), paragraph and last (lines), start (word), words of every span to be judged."""
+    needed, needed_pairs = needed_grams(confirmed)
+    gate = gate_pattern(needed, needed_pairs)
     lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.when(x.rlike(WORD), F.concat(i.cast("string"), F.lit("\x01"), x)).otherwise(""))
-    blocks = docs.where(F.contains("text", F.lit("\n")) & F.lower("text").rlike("|".join(needed))).select(
+    # the line number before each line would part a pair at a line's end, so paragraphs are told by it later only
+    blocks = docs.where(F.contains("text", F.lit("\n")) & F.lower("text").rlike(gate)).select(
         "doc_id", F.xxhash64("text").alias("version"), F.explode(F.split(F.btrim(F.array_join(lines, "\n"), F.lit("\n")), r"\n{2,}")).alias("block")
-    ).where(F.contains("block", F.lit("\n")) & F.lower("block").rlike("|".join(needed)))
+    ).where(F.contains("block", F.lit("\n")) & F.lower(F.regexp_replace("block", r"(?m)^\d+\x01", "")).rlike(gate))
     # comment marks are no words; those that are letters are cut off
     own = lambda x: paragraph_words(F.regexp_replace(x, r"(?i)^\s*(rem|dnl)\s", ""))
     placed = F.flatten(F.transform(F.split("block", "\n"), lambda x: let(
         F.split(x, "\x01", 2), lambda part: F.transform(own(F.get(part, F.lit(1))), lambda w: F.struct(F.get(part, F.lit(0)).cast("int").alias("at"), w.alias("word")))
     )))
-
-    def cut(w: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i % SPAN_STEP == 0) | (F.get(w, i)["at"] != F.get(w, i - 1)["at"]))
-        short, long = SPANS
-        longer = lambda i: F.when(i + short < F.size(w), F.slice(w, i + 1, F.lit(long)))
-        return F.flatten(F.transform(starts, lambda i: F.array(F.slice(w, i + 1, F.lit(short)), longer(i))))
-
-    listed = blocks.select("doc_id", "version", F.split_part("block", F.lit("\x01"), F.lit(1)).cast("int").alias("block"), F.explode(let(placed, lambda w: F.when(F.size(w) > 0, cut(w)))).alias("w"))
-    told = listed.where("w is not null").select(
-        "doc_id", "version", "block", F.get("w", F.lit(0))["at"].alias("paragraph"), F.element_at("w", -1)["at"].alias("last"), F.col("w")["word"].alias("words")
+    names, two = F.array(*map(F.lit, needed)), F.array(*[F.lit(" ".join(x)) for x in needed_pairs])
+    hit = lambda w: F.filter(
+        F.sequence(F.lit(0), F.size(w) - 1),
+        lambda i: F.array_contains(names, F.get(w, i)["word"]) | F.coalesce(F.array_contains(two, F.concat(F.get(w, i)["word"], F.lit(" "), F.get(w, i + 1)["word"])), F.lit(False)),
+    )
+    short, long = SPANS
+
+    def starts(w: Column, hits: Column) -> Column:
+        edge = lambda i: (i % SPAN_STEP == 0) | (F.get(w, i)["at"] != F.get(w, i - 1)["at"])
+        near = lambda i, size: F.exists(hits, lambda h: (h >= i) & (h < i + size))
+        at = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: edge(i) & near(i, long))
+        return F.flatten(F.transform(at, lambda i: F.array(
+            F.when(near(i, short), F.struct(i.alias("start"), F.slice(w, i + 1, F.lit(short)).alias("w"))),
+            F.when(i + short < F.size(w), F.struct(i.alias("start"), F.slice(w, i + 1, F.lit(long)).alias("w"))),
+        )))
+
+    cut = let(placed, lambda w: F.when(F.size(w) > 0, let(hit(w), lambda h: F.when(F.size(h) > 0, starts(w, h)))))
+    listed = blocks.select("doc_id", "version", F.split_part("block", F.lit("\x01"), F.lit(1)).cast("int").alias("block"), F.explode(cut).alias("x"))
+    told = listed.where("x is not null").select(
+        "doc_id", "version", "block", F.get("x.w", F.lit(0))["at"].alias("paragraph"), F.element_at("x.w", -1)["at"].alias("last"),
+        F.col("x.start").cast("int").alias("start"), F.col("x.w")["word"].alias("words"),
     )
-    return told.where((F.col("paragraph") < F.col("last")) & F.arrays_overlap("words", F.array(*map(F.lit, needed))))
+    return told.where(F.col("paragraph") < F.col("last"))
 
 
 def template_table(spark: SparkSession) -> DataFrame:
@@ -185,10 +220,19 @@ def sample_lines(docs: DataFrame, sample: int) -> DataFrame:
 
 
 class Classifier:
-    """Weights as a table (feature, weights by class), the intercepts, the temperature and the least probability."""
+    """Weights by feature and class, the intercepts, the temperature and the least probability.
 
-    def __init__(self, weights: DataFrame, classes: list[str], intercepts: list[float], temperature: float, least: float):
-        self.weights, self.classes, self.intercepts, self.temperature, self.least = weights, classes, intercepts, temperature, least
+    ``numbers`` is the table (feature, number) of the features with a weight, ``weights`` their rows by number.
+    """
+
+    def __init__(self, numbers: DataFrame, weights: list[list[float]], classes: list[str], intercepts: list[float], temperature: float, least: float):
+        self.numbers, self.weights, self.classes, self.intercepts, self.temperature, self.least = numbers, weights, classes, intercepts, temperature, least
+
+    def scores(self, numbers: Column) -> Column:
+        """The classes' scores of a set of feature numbers."""
+        table = F.from_json(F.lit(json.dumps(self.weights)), "array<array<double>>")
+        start = F.array(*map(F.lit, self.intercepts))
+        return F.aggregate(numbers, start, lambda sums, j: F.zip_with(sums, F.get(table, j), lambda x, y: x + y))
 
 
 def probabilities(scores: Column, temperature: float) -> Column:
@@ -215,7 +259,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE_PARAGRAPHS, max_features: int = MA
     model = LogisticRegression(featuresCol="x", labelCol="y", weightCol="weight", family="multinomial", regParam=0.002, elasticNetParam=1.0, maxIter=80).fit(train)
     matrix = model.coefficientMatrix.toArray()
     used = [(g, [float(x) for x in matrix[:, j]]) for j, g in enumerate(vocabulary) if abs(matrix[:, j]).max() > 1e-6]
-    weights = spark.createDataFrame(used, "feature string, weights array<double>")
+    numbers = spark.createDataFrame([(g, i) for i, (g, _) in enumerate(used)], "feature string, number int")
     held = model.transform(table.where("held")).select("y", vector_to_array("rawPrediction").alias("raw"))
     tried = held.select("y", "raw", F.explode(F.array(*map(F.lit, TEMPERATURES))).alias("t"))
     loss = tried.withColumn("p", F.get(probabilities(F.col("raw"), F.col("t")), F.col("y").cast("int")))
@@ -223,7 +267,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE_PARAGRAPHS, max_features: int = MA
     temperature = float(best["t"]) if best else 1.0
     family_chance = F.array_max(F.slice(probabilities(F.col("raw"), F.lit(temperature)), 1, len(classes) - 1))
     reached = held.where(F.col("y") == len(classes) - 1).agg(F.percentile(family_chance, F.lit(0.999))).first()[0]
-    return Classifier(weights, classes, [float(x) for x in model.interceptVector], temperature, max(LEAST_PROBABILITY, float(reached or 0.0)))
+    return Classifier(numbers, [w for _, w in used], classes, [float(x) for x in model.interceptVector], temperature, max(LEAST_PROBABILITY, float(reached or 0.0)))
 
 
 def scan(docs: DataFrame, classifier: Classifier | None = None, confirmed: float = CONFIRMED) -> DataFrame:
@@ -234,21 +278,26 @@ def scan(docs: DataFrame, classifier: Classifier | None = None, confirmed: float
     or span), confirmed.
     """
     c = classifier or fit(docs)
-    key = ["doc_id", "version", "block", "paragraph", "last", "line"]
-    single = paragraphs(docs).select("doc_id", "version", F.lit(-1).alias("block"), "paragraph", F.col("paragraph").alias("last"), "line")
-    wrapped = spans(docs, confirmed).withColumn("line", F.array_join("words", " "))
-    units = single.select(*key).unionByName(wrapped.select(*key))
-    grams = units.select(*key, F.explode(features(F.col("line"))).alias("feature"))
-    matched = grams.join(F.broadcast(c.weights), "feature").dropDuplicates([*key, "feature"])
+    key = ["doc_id", "version", "block", "paragraph", "last", "start", "size"]
+    single = paragraphs(docs).select(
+        "doc_id", "version", F.lit(-1).alias("block"), "paragraph", F.col("paragraph").alias("last"), F.lit(0).alias("start"), F.lit(0).alias("size"), "line"
+    )
+    wrapped = spans(docs, confirmed).withColumn("line", F.array_join("words", " ")).withColumn("size", F.size("words"))
+    units = single.unionByName(wrapped.select(*single.columns))
+    # identical rows meet in one unit here, so a set of feature numbers stands for all of them
+    matched = units.select(*key, F.explode(features(F.col("line"))).alias("feature")).join(F.broadcast(c.numbers), "feature")
+    seen = matched.groupBy(*key).agg(F.array_sort(F.collect_set("number")).alias("numbers"))
     n = len(c.classes)
-    summed = matched.groupBy(*key).agg(*[F.sum(F.col("weights")[k]).alias(f"s{k}") for k in range(n)])
-    scores = F.array(*[F.col(f"s{k}") + c.intercepts[k] for k in range(n)])
-    judged = summed.select(*key, probabilities(scores, F.lit(c.temperature)).alias("p"))
+    judged = seen.select(*key, probabilities(c.scores(F.col("numbers")), F.lit(c.temperature)).alias("p"))
     top = let(F.slice("p", 1, n - 1), lambda p: F.struct(F.array_max(p).alias("probability"), F.array_position(p, F.array_max(p)).alias("at")))
     names = F.array(*map(F.lit, c.classes))
-    found = judged.select(*key, "p", top.alias("top")).where(F.col("top.probability") > F.get("p", F.lit(n - 1))).select(
-        *key, F.get(names, (F.col("top.at") - 1).cast("int")).alias("family"), F.col("top.probability").alias("probability"), features(F.col("line")).alias("own")
-    )
+    predicted = stored(judged.select(*key, "p", top.alias("top")).where(F.col("top.probability") > F.get("p", F.lit(n - 1))).select(
+        *key, F.get(names, (F.col("top.at") - 1).cast("int")).alias("family"), F.col("top.probability").alias("probability")
+    ), "licence-predicted")
+    asked = predicted.select(*[F.col(x).alias(f"_{x}") for x in key], "family", "probability")
+    read = units.join(asked, [F.col(x).eqNullSafe(F.col(f"_{x}")) if x == "doc_id" else F.col(x) == F.col(f"_{x}") for x in key])
+    found = read.select(*key, "line", "family", "probability").dropDuplicates(key).withColumn("own", features(F.col("line")))
+    key.append("line")
     given = F.broadcast(template_table(docs.sparkSession).select("template", F.col("family").alias("of"), "grams"))
     share = F.size(F.array_intersect("grams", "own")) / F.size("grams")
     best = found.join(given, F.col("family") == F.col("of")).groupBy(*key, "family", "probability").agg(F.max(F.struct(share.alias("similarity"), "template")).alias("best"))
