@@ -16,9 +16,9 @@ and pairs of one template of that family stand in the line or span; the least pr
 predictions that are not confirmed.
 
 Only features with a weight are looked up: paragraphs are exploded to words and pairs and met with
-the small weight table (``max_features`` rows at most, hence broadcast). What is shuffled is one row of numbers for
-each line or span with such a feature: where it stands and its features' numbers. Texts are read again for the
-predicted ones only. A paragraph without any such feature is unknown.
+the small weight table (``max_features`` rows at most, hence broadcast). What is shuffled is one row for each line
+or span with such a feature: where it stands, its text and its features' numbers. A paragraph without any such
+feature is unknown.
 
 Defined results: null and empty texts have no paragraphs; identical rows (same id and text) are reported
 once; rows that share an id but not the text are told apart by ``version``; a null id is kept; texts and
@@ -284,19 +284,18 @@ def scan(docs: DataFrame, classifier: Classifier | None = None, confirmed: float
     )
     wrapped = spans(docs, confirmed).withColumn("line", F.array_join("words", " ")).withColumn("size", F.size("words"))
     units = single.unionByName(wrapped.select(*single.columns))
-    # identical rows meet in one unit here, so a set of feature numbers stands for all of them
-    matched = units.select(*key, F.explode(features(F.col("line"))).alias("feature")).join(F.broadcast(c.numbers), "feature")
-    seen = matched.groupBy(*key).agg(F.array_sort(F.collect_set("number")).alias("numbers"))
+    # identical rows meet in one unit here, so a set of feature numbers stands for all of them; only units with a
+    # weighted feature take their text along, once each
+    matched = units.select(*key, "line", F.explode(features(F.col("line"))).alias("feature")).join(F.broadcast(c.numbers), "feature")
+    seen = matched.groupBy(*key).agg(F.array_sort(F.collect_set("number")).alias("numbers"), F.first("line").alias("line"))
     n = len(c.classes)
-    judged = seen.select(*key, probabilities(c.scores(F.col("numbers")), F.lit(c.temperature)).alias("p"))
+    judged = seen.select(*key, "line", probabilities(c.scores(F.col("numbers")), F.lit(c.temperature)).alias("p"))
     top = let(F.slice("p", 1, n - 1), lambda p: F.struct(F.array_max(p).alias("probability"), F.array_position(p, F.array_max(p)).alias("at")))
     names = F.array(*map(F.lit, c.classes))
-    predicted = stored(judged.select(*key, "p", top.alias("top")).where(F.col("top.probability") > F.get("p", F.lit(n - 1))).select(
-        *key, F.get(names, (F.col("top.at") - 1).cast("int")).alias("family"), F.col("top.probability").alias("probability")
-    ), "licence-predicted")
-    asked = predicted.select(*[F.col(x).alias(f"_{x}") for x in key], "family", "probability")
-    read = units.join(asked, [F.col(x).eqNullSafe(F.col(f"_{x}")) if x == "doc_id" else F.col(x) == F.col(f"_{x}") for x in key])
-    found = read.select(*key, "line", "family", "probability").dropDuplicates(key).withColumn("own", features(F.col("line")))
+    predicted = judged.select(*key, "line", "p", top.alias("top")).where(F.col("top.probability") > F.get("p", F.lit(n - 1)))
+    found = predicted.select(
+        *key, "line", F.get(names, (F.col("top.at") - 1).cast("int")).alias("family"), F.col("top.probability").alias("probability"), features(F.col("line")).alias("own")
+    )
     key.append("line")
     given = F.broadcast(template_table(docs.sparkSession).select("template", F.col("family").alias("of"), "grams"))
     share = F.size(F.array_intersect("grams", "own")) / F.size("grams")
