@@ -15,7 +15,7 @@ from tidemark.session import cut_lineage
 
 _GRID = (2, 5, 10, 20, 40)
 _TARGETS = {"CRITICAL": 0.62, "HIGH": 0.58, "MEDIUM": 0.5}
-_B = 200
+_B = 1000
 
 
 @query(
@@ -165,16 +165,19 @@ def _tables(t):
 _COARSE, _FINE = (5, 10, 20, 40), (2,)
 _OPT_CTE = f"""{_CAND_CTE}, {_BAND_CTE}, opt AS (SELECT c.algorithm, c.variant, c.tier, b.lower_top_n, c.requested_top_n AS n, c.micro_precision, c.blow, b.band_precision, c.point_qualified AND b.bp AS point, c.confidence_qualified AND b.bc AS sure
  FROM cand c JOIN bands b ON b.algorithm = c.algorithm AND b.variant = c.variant AND b.tier = c.tier AND b.upper_top_n = c.requested_top_n)"""
+# kept as tables: the engine now and then fails where it joins them in one go
+_OPT_CTE = re.sub(r"\b(cand|bands|opt) AS \(SELECT", r"\1 AS MATERIALIZED (SELECT", _OPT_CTE)
 _COARSE_IN = "(" + ", ".join(map(str, _COARSE)) + ")"
 
 
 @query(
     "tier_boundary_combinations", "T8",
-    f"""{_OPT_CTE} SELECT h.algorithm, h.variant, h.lower_top_n AS critical_top_n, h.n AS high_top_n, md.n AS medium_top_n, coalesce(c.point, TRUE) AND h.point AND md.point AS all_enabled_tiers_point_qualified,
- coalesce(c.sure, TRUE) AND h.sure AND md.sure AS all_enabled_tiers_confidence_qualified, CAST(coalesce(c.sure, FALSE) AS INT) + CAST(h.sure AS INT) + CAST(md.sure AS INT) AS confidence_qualified_tier_count, 2 + CAST(h.lower_top_n > 0 AS INT) AS enabled_tier_count
-FROM opt h JOIN opt md ON h.algorithm = md.algorithm AND h.variant = md.variant AND md.tier = 'MEDIUM' AND md.lower_top_n = h.n AND md.n IN {_COARSE_IN}
-LEFT JOIN opt c ON c.algorithm = h.algorithm AND c.variant = h.variant AND c.tier = 'CRITICAL' AND c.lower_top_n = 0 AND c.n = h.lower_top_n
-WHERE h.tier = 'HIGH' AND h.n IN {_COARSE_IN}""",
+    # one row per model with the tiers' options as lists, so that the options are read once
+    f"""{_OPT_CTE}, packs AS (SELECT algorithm, variant, {', '.join(f"list({{'lower': lower_top_n, 'n': n, 'point': point, 'sure': sure}}) FILTER (WHERE tier = '{tier}') AS {name}" for tier, name in (('CRITICAL', 'cs'), ('HIGH', 'hs'), ('MEDIUM', 'ms')))} FROM opt GROUP BY 1, 2),
+high AS (SELECT algorithm, variant, cs, ms, unnest(list_filter(hs, lambda x: x.n IN {_COARSE_IN})) AS h FROM packs),
+medium AS (SELECT algorithm, variant, h, list_filter(cs, lambda x: x.lower = 0 AND x.n = h.lower)[1] AS c, unnest(list_filter(ms, lambda x: x.lower = h.n AND x.n IN {_COARSE_IN})) AS m FROM high)
+SELECT algorithm, variant, h.lower AS critical_top_n, h.n AS high_top_n, m.n AS medium_top_n, coalesce(c.point, TRUE) AND h.point AND m.point AS all_enabled_tiers_point_qualified,
+ coalesce(c.sure, TRUE) AND h.sure AND m.sure AS all_enabled_tiers_confidence_qualified, CAST(coalesce(c.sure, FALSE) AS INT) + CAST(h.sure AS INT) + CAST(m.sure AS INT) AS confidence_qualified_tier_count, 2 + CAST(h.lower > 0 AS INT) AS enabled_tier_count FROM medium""",
 )
 def _(t):
     _, cands, bands = _tables(t)
