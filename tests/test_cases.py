@@ -18,7 +18,7 @@ from tidemark.operators import tiers as tr
 from tidemark.operators.assembly import finalize
 from tidemark.operators.features import Feature, latest_item_states, window_features
 from tidemark.operators.ordering import exact_quantiles, ordered_scan
-from tidemark.operators.spine import anchor_manifest, complete_horizon, greedy_dates, require_unique, spaced_anchors
+from tidemark.operators.spine import anchor_manifest, complete_horizon, greedy_dates, require_unique, spaced_dates
 from tidemark.operators.splits import rolling_origin, split_quotas
 from tidemark.sources.cleaning import unique_column_names
 from tidemark.sources.readers import parsed_day, require_columns
@@ -228,7 +228,10 @@ def test_follow_up_cutoff(spark):
 def test_greedy_and_spaced_dates(spark):
     rows = spark.createDataFrame([("a", day(o)) for o in (0, 14, 28, 42, 56, 70)], "k string, d date")
     assert sorted(r["d"] for r in greedy_dates(rows, "k", "d", 45).collect()) == [day(0), day(56)]
-    assert spaced_anchors([day(o) for o in range(0, 100, 10)], 3, 30) == [day(0), day(40), day(90)]
+    dates = spark.createDataFrame([([day(o) for o in range(0, 100, 10)],), ([],)], "d array<date>")
+    picked = lambda count, gap: [r[0] for r in dates.select(spaced_dates(F.col("d"), count, gap)).collect()]
+    assert picked(3, 30) == [[day(0), day(40), day(90)], []] and picked(1, 30) == [[day(50)], []]
+    assert picked(4, 25) == [[day(0), day(30), day(60), day(90)], []] and picked(5, 45) == [[day(0), day(50)], []]
 
 
 def test_split_quotas_small_strata(spark):

@@ -14,7 +14,7 @@ SAMPLE = (
     "unified_snapshot", "fault_window_frozen", "maintenance_window_frozen", "rolling_fluid_carried", "segment_operation",
     "case_window_operation", "incremental_merge", "column_profile", "rebuilt_spine", "anti_range_windows", "claim_episodes",
     "outcome_history", "matched_controls", "random_ratio_pool", "chosen_anchor", "auc_and_average_precision", "threshold_curve",
-    "ranking_bootstrap", "tier_policy", "correlation_prune", "mutual_information",
+    "anchor_precision_bootstrap", "tier_policy", "correlation_prune", "mutual_information",
 )
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the driver's tables")

@@ -1,9 +1,10 @@
 """Case-control cohorts and holdouts with deterministic hash sampling.
 
-Controls of a case are looked up on a ring: the candidates of a stratum stand in hash
-order, a case starts at a hash-chosen place and walks on until it has enough eligible
-candidates. Only the visited places are joined, so a stratum of any size never meets its
-cases as all pairs. Positions come from ``ordered_scan`` and are spread over tasks.
+Matched controls come from an index of claim-free stretches: an entity is listed under
+(stratum, day bin) where a claim-free span of a case could begin, so a case meets only
+candidates of its own bin, and visits those in an order of its own until it has enough.
+Random controls are looked up on a ring of the stratum's entities with an eligible window.
+Positions come from ``ordered_scan`` and are spread over tasks.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.keys import hash_choice, stable_hash
 from tidemark.operators.labels import horizon_target
 from tidemark.operators.ordering import first_per_group, ordered_scan
-from tidemark.operators.spine import spaced_anchors
+from tidemark.operators.spine import spaced_dates
 from tidemark.operators.temporal import anti_range, asof_join
 from tidemark.session import cut_lineage
 
@@ -162,6 +163,87 @@ def _visit(cases: DataFrame, placed: DataFrame, stratum: Sequence[str], first: i
     return spread.join(others, match).drop(others["__place"]).drop("__place", *[f"__s_{c}" for c in stratum])
 
 
+#: Days of one bin of the index; a free span is longer, so an entity is listed once in a bin.
+BIN_DAYS = 30
+
+
+class ControlIndex:
+    """Candidates of every (stratum, day bin), each with the claim-free stretch that a case's span must lie in.
+
+    A stretch reaches from one claim of an entity to the next. It is listed in the bins where a span can begin that
+    lies inside it and whose window the entity's coverage meets, for the spans that the cases have: entities times
+    bins rows at most, none where no span fits. Places of a bin follow a hash order.
+    """
+
+    def __init__(
+        self, cases: DataFrame, candidates: DataFrame, claims: DataFrame, stratum: Sequence[str], seed: int, tag: str,
+        prior: int = PRIOR_FREE_DAYS, future: int = FUTURE_FREE_DAYS,
+    ):
+        self.stratum, self.seed, self.tag, self.prior, self.future = list(stratum), seed, tag, prior, future
+        self.bin_days = max(1, min(BIN_DAYS, prior + future))
+        width = F.datediff("window_end", "window_start")
+        low = F.unix_date(F.date_sub("window_start", prior))
+        spans = cases.agg(
+            F.min(low).alias("__low"), F.max(low).alias("__high"), F.min(width).alias("__short"), F.max(width).alias("__long")
+        )
+        known = candidates.where("first_source_date is not null and last_source_date is not null")
+        days = claims.select(KEY, F.unix_date("claim_date").alias("__day")).where("__day is not null").distinct()
+        # one row per entity and claim day: the calendar bounds the window
+        after = F.lead("__day").over(Window.partitionBy(KEY).orderBy("__day"))
+        behind = days.withColumn("__until", after).select(KEY, (F.col("__day") + 1).alias("__from"), (F.col("__until") - 1).alias("__until"))
+        before = days.groupBy(KEY).agg((F.min("__day") - 1).alias("__until")).select(KEY, F.lit(None).cast("int").alias("__from"), "__until")
+        free = known.join(before.unionByName(behind), KEY, "left").join(F.broadcast(spans))
+        first, last = F.unix_date("first_source_date"), F.unix_date("last_source_date")
+        begin = F.greatest("__from", first - F.col("__long") - prior, F.col("__low"))
+        end = F.least(F.col("__until") - F.col("__short") - prior - future, last - prior, F.col("__high"))
+        step = lambda day: F.floor(day / F.lit(self.bin_days)).cast("int")
+        listed = free.withColumns({"__begin": begin, "__end": end}).where("__begin <= __end").select(
+            *self.stratum, KEY, "__from", "__until", first.alias("__first"), last.alias("__last"),
+            F.explode(F.sequence(step(F.col("__begin")), step(F.col("__end")))).alias("__bin"),
+            stable_hash(seed, F.lit(f"{tag}|"), F.col(KEY)).alias("__hash"),
+        )
+        placed = ordered_scan(listed, [*self.stratum, "__bin"], [F.col("__hash").asc(), F.col(KEY).asc()], "__place", "__size")
+        self.rows = cut_lineage(placed.drop("__hash").withColumn("__place", F.col("__place") - 1))
+
+    def walks(self, cases: DataFrame) -> DataFrame:
+        """Cases with a candidate in their bin, and the order in which they visit the bin's places.
+
+        Step j of a case is place (stride * j + shift) modulo ``__span``, the power of two above the bin's size: an odd
+        stride meets every place once, and stride and shift are hashes of the case, so draws of different cases are
+        independent and no place follows another more often.
+        """
+        sizes = self.rows.groupBy(*self.stratum, "__bin").agg(F.max("__size").alias("__size"))
+        span = F.expr("shiftleft(1L, length(bin(__size - 1)))")
+        number = lambda name, count: hash_choice(stable_hash(self.seed, F.col("case_control_group_id"), F.lit(f"|{self.tag}|{name}")), count)
+        low = F.unix_date(F.date_sub("window_start", self.prior))
+        return cases.select("case_control_group_id", KEY, *self.stratum, "window_start", "window_end").withColumns(
+            {"__lo": low, "__hi": F.unix_date(F.date_add("window_end", self.future)), "__bin": F.floor(low / F.lit(self.bin_days)).cast("int")}
+        ).join(sizes, [*self.stratum, "__bin"]).withColumn("__span", span).withColumns(
+            {"__stride": 2 * number("stride", (F.col("__span") / 2).cast("long")) + 1, "__shift": number("shift", F.col("__span"))}
+        )
+
+    def eligible(self, walks: DataFrame, first: Column, count: Column) -> DataFrame:
+        """case_control_group_id, control_key, __step: eligible candidates at the steps ``first`` to ``first + count - 1``."""
+        steps = F.sequence(first.cast("long"), F.least(first + count, F.col("__span")).cast("long") - 1)
+        visits = walks.where(first < F.col("__span")).withColumn("__step", F.explode(steps)).withColumn(
+            "__place", F.pmod(F.col("__stride") * F.col("__step") + F.col("__shift"), F.col("__span"))
+        ).where(F.col("__place") < F.col("__size")).drop("__size")
+        met = visits.join(self.rows.withColumnRenamed(KEY, "control_key").drop("__size"), [*self.stratum, "__bin", "__place"])
+        c = F.col
+        return met.where(
+            (c("control_key") != c(KEY))
+            & F.coalesce(c("__from") <= c("__lo"), F.lit(True)) & F.coalesce(c("__hi") <= c("__until"), F.lit(True))
+            & (c("__first") <= F.unix_date("window_end")) & (c("__last") >= F.unix_date("window_start"))
+        ).select("case_control_group_id", "control_key", "__step")
+
+
+def followed_up(cases: DataFrame, last_observed: DataFrame, future: int) -> DataFrame:
+    """Cases whose claim-free span after the window is observed to its end."""
+    return cases.join(F.broadcast(last_observed.select("label_end").limit(1))).where(
+        F.date_add("window_end", future) <= F.col("label_end")
+    ).drop("label_end")
+
+
 def matched_controls(
     cases: DataFrame, candidates: DataFrame, claims: DataFrame, last_observed: DataFrame, count: int,
     stratum: Sequence[str] = ("full_model", "split"), seed: int = 42,
@@ -169,48 +251,31 @@ def matched_controls(
 ) -> DataFrame:
     """Up to ``count`` controls per case: same stratum, same window, no claim around it.
 
-    ``cases`` need group id, key, stratum, window_start and window_end. A round visits a
-    block of ring places for the cases that still lack controls; blocks grow fourfold, and
-    rounds go on until every case is filled or has walked its whole ring, so the result
-    does not depend on the block size.
+    ``cases`` need group id, key, stratum, window_start and window_end. A case visits the
+    candidates of its day bin in its own order, a block of steps at a time; blocks grow
+    fourfold for cases that still lack controls and end with the bin, so the result does not
+    depend on the block size and a case that nothing fits costs its bin only.
     """
-    placed = cut_lineage(ring(candidates, stratum, seed, "controlled"))
-    end = last_observed.select("label_end").limit(1)
-    open_cases = (
-        _starts(cases, placed, stratum, seed, "controlled")
-        .join(F.broadcast(end)).where(F.date_add("window_end", future) <= F.col("label_end")).drop("label_end")
-        .withColumns(
-            {"__lo": F.date_sub("window_start", prior), "__hi": F.date_add("window_end", future), "__have": F.lit(0).cast("long")}
-        )
-    )
-    columns = ["case_control_group_id", KEY, *stratum, "window_start", "window_end", "__size", "__start", "__lo", "__hi", "__have"]
-    open_cases = cut_lineage(open_cases.select(*columns))
-    first, size, found = 0, block or 2 * count, None
+    observed = followed_up(cases, last_observed, future)
+    index = ControlIndex(observed, candidates, claims, stratum, seed, "controlled", prior, future)
+    open_cases = cut_lineage(index.walks(observed).withColumn("__have", F.lit(0).cast("long")))
+    columns = open_cases.columns
+    first, size, found = 0, block or 4 * count, None
     while True:
-        seen = _visit(open_cases, placed, stratum, first, size).where(
-            (F.col(f"__candidate.{KEY}") != F.col(KEY))
-            & F.coalesce(
-                (F.col("__candidate.first_source_date") <= F.col("window_end"))
-                & (F.col("__candidate.last_source_date") >= F.col("window_start")), F.lit(False))
-        ).withColumn("control_key", F.col(f"__candidate.{KEY}"))
-        free = anti_range(
-            seen.drop(KEY).withColumnRenamed("control_key", KEY), claims, KEY, "__lo", "__hi", "claim_date"
-        )
+        free = index.eligible(open_cases, F.lit(first), F.lit(size)).join(open_cases.select("case_control_group_id", "__have"), "case_control_group_id")
         # a case visits at most one block per round, so its window is bounded
         turn = F.row_number().over(Window.partitionBy("case_control_group_id").orderBy("__step")) + F.col("__have")
-        fresh = free.withColumn("control_number", turn).where(F.col("control_number") <= count).select(
-            "case_control_group_id", F.col(KEY).alias("control_key"), "control_number", "__step"
-        )
-        fresh = cut_lineage(fresh)
+        fresh = cut_lineage(free.withColumn("control_number", turn).where(F.col("control_number") <= count).select(
+            "case_control_group_id", "control_key", "control_number"
+        ))
         found = fresh if found is None else found.unionByName(fresh)
         got = fresh.groupBy("case_control_group_id").agg(F.count(F.lit(1)).alias("__new"))
         first += size
-        open_cases = (
+        open_cases = cut_lineage(
             open_cases.join(got, "case_control_group_id", "left")
             .withColumn("__have", F.col("__have") + F.coalesce(F.col("__new"), F.lit(0)))
-            .where((F.col("__have") < count) & (F.col("__size") > first)).select(*columns)
+            .where((F.col("__have") < count) & (F.col("__span") > first)).select(*columns)
         )
-        open_cases = cut_lineage(open_cases)
         if open_cases.isEmpty():
             break
         size *= 4
@@ -273,7 +338,7 @@ def mixed_controls(controlled: DataFrame, random: DataFrame, count: int) -> Data
 def control_audit(cases: DataFrame, controls: DataFrame, requested: int) -> DataFrame:
     """Selected number of controls per case; cases without any are excluded."""
     got = controls.groupBy("case_control_group_id").agg(F.count(F.lit(1)).alias("selected_negative_count"))
-    n = F.coalesce(F.col("selected_negative_count"), F.lit(0))
+    n = F.coalesce(F.col("selected_negative_count"), F.lit(0).cast("long"))
     return cases.select("case_control_group_id", KEY, "split").join(got, "case_control_group_id", "left").withColumns(
         {
             "selected_negative_count": n, "requested_negative_count": F.lit(requested),
@@ -354,66 +419,78 @@ def joint_ratio_pool(positives: DataFrame, negatives: DataFrame, ratio: int) ->
 def controlled_ratio_pool(
     cases: DataFrame, candidates: DataFrame, claims: DataFrame, last_observed: DataFrame, ratio: int,
     stratum: Sequence[str] = ("full_model", "split"), seed: int = 42,
+    prior: int = PRIOR_FREE_DAYS, future: int = FUTURE_FREE_DAYS, rounds: list[int] | None = None,
 ) -> DataFrame:
     """Cases with exactly ``ratio`` matched controls; every entity appears once at most.
 
-    ``cases`` hold one row per (split, entity) with ``__hash``. In each round every open case
-    asks for its first unused controls; an entity goes to the asking case with the smallest
-    hash, and a case that wins itself and all its controls is settled. A case whose whole
-    ring has too few unused controls left is dropped. The smallest open hash always settles
-    or drops, so the rounds end. Candidate lists are fetched again, four times longer, only
-    for cases that ran through theirs.
+    ``cases`` hold one row per (split, entity). A case keeps a cursor on its walk through its
+    bin and the unused controls that it holds. Each round, cases that hold too few fetch only
+    their next steps; every case with enough asks for its first ``ratio`` controls, and an
+    entity goes to the asking case with the smallest priority. A case that wins itself and all
+    its controls is settled, one whose walk has ended with too few is dropped. Priorities are
+    drawn anew each round, so a settled case in every neighbourhood of conflicts is likely and
+    the rounds grow with the logarithm of the cases. ``rounds`` collects the open cases of every round.
     """
-    order = cases.select("case_control_group_id", F.col(KEY).alias("case_key"), "__hash")
-    length = 4 * ratio
-
-    def lists(some: DataFrame, size: int) -> DataFrame:
-        got = matched_controls(some, candidates, claims, last_observed, size, stratum, seed)
-        return got.select("case_control_group_id", F.col(KEY).alias("control_key"), "control_number")
-
-    todo, settled, used = cut_lineage(order), None, None
-    options = cut_lineage(lists(cases, length).withColumn("__size", F.lit(length)))
-    while not todo.isEmpty():
-        free = options.join(todo, "case_control_group_id")
-        if used is not None:
-            todo = todo.join(used.withColumnRenamed("used_key", "case_key"), "case_key", "left_anti")
-            free = free.join(used.withColumnRenamed("used_key", "case_key"), "case_key", "left_anti").join(
-                used.withColumnRenamed("used_key", "control_key"), "control_key", "left_anti"
-            )
-        # a case lists a bounded number of options
-        turn = F.row_number().over(Window.partitionBy("case_control_group_id").orderBy("control_number"))
-        asked = cut_lineage(
-            free.withColumn("rank", turn).where(F.col("rank") <= ratio)
-            .withColumn("__got", F.count(F.lit(1)).over(Window.partitionBy("case_control_group_id")))
-        )
-        full = asked.where(F.col("__got") == ratio)
-        claimsets = full.select("case_control_group_id", "__hash", F.col("control_key").alias("entity")).unionByName(
-            full.select("case_control_group_id", "__hash", F.col("case_key").alias("entity")).distinct()
-        )
-        winner = claimsets.groupBy("entity").agg(F.min(F.struct("__hash", "case_control_group_id")).alias("__w"))
-        won = (
-            claimsets.join(winner, "entity").groupBy("case_control_group_id")
-            .agg(F.min((F.col("__w.case_control_group_id") == F.col("case_control_group_id")).cast("int")).alias("__all"))
-            .where("__all = 1").select("case_control_group_id")
+    observed = followed_up(cases, last_observed, future)
+    index = ControlIndex(observed, candidates, claims, stratum, seed, "controlled", prior, future)
+    group = "case_control_group_id"
+    walks = cut_lineage(index.walks(observed))
+    open_cases = cut_lineage(walks.select(group, F.col(KEY).alias("case_key"), "__span", F.lit(0).cast("long").alias("__next"), F.lit(2 * ratio).cast("long").alias("__fetch")))
+    held = used = settled = None
+    turn = 0
+    while True:
+        # fetch the next steps of cases that hold too few, until they have enough or their walk ends
+        while True:
+            have = held.groupBy(group).agg(F.count(F.lit(1)).alias("__have")) if held is not None else None
+            counted = open_cases.join(have, group, "left") if have is not None else open_cases.withColumn("__have", F.lit(0).cast("long"))
+            short = cut_lineage(counted.where((F.coalesce("__have", F.lit(0)) < ratio) & (F.col("__next") < F.col("__span"))).select(group, "__next", "__fetch"))
+            if short.isEmpty():
+                break
+            fresh = index.eligible(walks.join(short, group), F.col("__next"), F.col("__fetch"))
+            if used is not None:
+                fresh = fresh.join(used.withColumnRenamed("used_key", "control_key"), "control_key", "left_anti")
+            fresh = fresh.select(group, "control_key", "__step")
+            held = cut_lineage(fresh if held is None else held.unionByName(fresh))
+            moved = short.select(group, F.lit(True).alias("__moved"))
+            open_cases = cut_lineage(open_cases.join(moved, group, "left").select(
+                group, "case_key", "__span",
+                F.when(F.col("__moved"), F.col("__next") + F.col("__fetch")).otherwise(F.col("__next")).alias("__next"),
+                F.when(F.col("__moved"), F.col("__fetch") * 4).otherwise(F.col("__fetch")).alias("__fetch"),
+            ))
+        if held is None:
+            # no bin of any case has a candidate
+            if rounds is not None:
+                rounds.append(0)
+            break
+        # a case holds the unused ones of the steps it fetched
+        order = F.row_number().over(Window.partitionBy(group).orderBy("__step"))
+        asked = held.withColumn("rank", order).where(F.col("rank") <= ratio)
+        full = asked.groupBy(group).agg(F.count(F.lit(1)).alias("__got")).where(F.col("__got") == ratio).select(group)
+        open_cases = cut_lineage(open_cases.join(full, group))
+        if rounds is not None:
+            rounds.append(open_cases.count())
+        if open_cases.isEmpty():
+            break
+        priority = stable_hash(seed, F.lit(f"round {turn}|"), F.col(group))
+        asked = cut_lineage(asked.join(open_cases.select(group, "case_key"), group).withColumn("__priority", priority))
+        wishes = asked.select(group, "__priority", F.col("control_key").alias("entity")).unionByName(
+            asked.where("rank = 1").select(group, "__priority", F.col("case_key").alias("entity"))
         )
-        new = cut_lineage(full.join(won, "case_control_group_id").select("case_control_group_id", "case_key", "control_key", "rank", "__hash"))
+        winner = wishes.groupBy("entity").agg(F.min(F.struct("__priority", group)).alias("__w"))
+        won = wishes.join(winner, "entity").groupBy(group).agg(F.min((F.col(f"__w.{group}") == F.col(group)).cast("int")).alias("__all")).where("__all = 1").select(group)
+        new = cut_lineage(asked.join(won, group).select(group, "case_key", "control_key", "rank"))
         settled = new if settled is None else settled.unionByName(new)
-        taken = new.select(F.col("control_key").alias("used_key")).unionByName(new.select(F.col("case_key").alias("used_key"))).distinct()
+        taken = new.select(F.col("control_key").alias("used_key")).unionByName(new.where("rank = 1").select(F.col("case_key").alias("used_key")))
         used = cut_lineage(taken if used is None else used.unionByName(taken))
-        short = todo.join(full.select("case_control_group_id").distinct(), "case_control_group_id", "left_anti")
-        listed = options.groupBy("case_control_group_id").agg(F.count(F.lit(1)).alias("__n"), F.max("__size").alias("__size"))
-        more = cut_lineage(short.join(listed, "case_control_group_id").where("__n = __size").select("case_control_group_id"))
-        keep = full.select("case_control_group_id").distinct().join(new.select("case_control_group_id").distinct(), "case_control_group_id", "left_anti")
-        todo = cut_lineage(todo.join(keep.unionByName(more), "case_control_group_id", "left_semi"))
-        if not more.isEmpty():
-            length *= 4
-            longer = lists(cases.join(more, "case_control_group_id", "left_semi"), length).withColumn("__size", F.lit(length))
-            options = cut_lineage(options.join(more, "case_control_group_id", "left_anti").unionByName(longer))
-    group = cases.select("case_control_group_id", *stratum, "window_start", "window_end")
-    pairs = settled.join(group, "case_control_group_id")
-    base = ["case_control_group_id", *stratum, "window_start", "window_end"]
-    pos = pairs.where("rank = 1").select(*base, F.col("case_key").alias(KEY), F.lit(1).alias("target"), F.lit(0).alias("control_rank"))
-    neg = pairs.select(*base, F.col("control_key").alias(KEY), F.lit(0).alias("target"), F.col("rank").alias("control_rank"))
+        open_cases = cut_lineage(open_cases.join(used.withColumnRenamed("used_key", "case_key"), "case_key", "left_anti"))
+        held = cut_lineage(held.join(open_cases.select(group), group, "left_semi").join(used.withColumnRenamed("used_key", "control_key"), "control_key", "left_anti"))
+        turn += 1
+    columns = [group, *stratum, "window_start", "window_end"]
+    if settled is None:
+        return cases.select(*columns, KEY, F.lit(1).alias("target"), F.lit(0).alias("control_rank")).limit(0)
+    pairs = settled.join(cases.select(*columns), group)
+    pos = pairs.where("rank = 1").select(*columns, F.col("case_key").alias(KEY), F.lit(1).alias("target"), F.lit(0).alias("control_rank"))
+    neg = pairs.select(*columns, F.col("control_key").alias(KEY), F.lit(0).alias("target"), F.col("rank").alias("control_rank"))
     return pos.unionByName(neg)
 
 
@@ -429,9 +506,9 @@ def nested_ratios(pool: DataFrame, ratios: Sequence[int], group: Sequence[str] =
 
 
 def horizon_ratio_cohorts(
-    rows: DataFrame, days: str, horizons: Sequence[int], ratios: Sequence[int], seed: int = 42
+    rows: DataFrame, days: str, horizons: Sequence[int], ratios: Sequence[int], seed: int = 42, group: Sequence[str] = (),
 ) -> DataFrame:
-    """Exact ratios for each horizon with that horizon's own labels, ranked by hash."""
+    """Exact ratios for each horizon with that horizon's own labels, ranked by hash within ``group``, as snapshot days."""
     spread = rows.withColumn("horizon", F.explode(F.array(*[F.lit(int(h)) for h in horizons])))
     target = F.lit(0)
     for h in horizons:
@@ -441,19 +518,19 @@ def horizon_ratio_cohorts(
     )
     labeled = spread.withColumns({"target": target, "__hash": digest})
     ranked = ordered_scan(
-        labeled, ["split", "horizon", "target"], [F.col("__hash").asc(), F.col(KEY).asc()], number="__rank"
+        labeled, [*group, "split", "horizon", "target"], [F.col("__hash").asc(), F.col(KEY).asc()], number="__rank"
     )
-    counts = ranked.groupBy("split", "horizon").agg(
+    counts = ranked.groupBy(*group, "split", "horizon").agg(
         F.sum("target").alias("__p"), F.sum(1 - F.col("target")).alias("__n")
     ).withColumn("__take", F.least(F.col("__p"), F.floor(F.col("__n") / F.lit(max(ratios)))))
     return (
-        ranked.join(counts, ["split", "horizon"])
+        ranked.join(counts, [*group, "split", "horizon"])
         .withColumn("ratio", F.explode(F.array(*[F.lit(int(r)) for r in sorted(ratios)])))
         .where(
             ((F.col("target") == 1) & (F.col("__rank") <= F.col("__take")))
             | ((F.col("target") == 0) & (F.col("__rank") <= F.col("__take") * F.col("ratio")))
         )
-        .select(KEY, "split", "horizon", "ratio", "target", F.col("__rank").alias("rank"))
+        .select(*group, KEY, "split", "horizon", "ratio", "target", F.col("__rank").alias("rank"))
     )
 
 
@@ -560,27 +637,26 @@ def anchor_ratio_pool(fleet: DataFrame, ratio: int, seed: int = 42, scope: str =
 def fleet_anchor_dates(
     feasibility: DataFrame, counts: Mapping[str, int], gap: int, min_eligible: int, min_positive: int,
     validation_share: float = 0.7, test_gap: int = 30,
-) -> dict[str, list[date]]:
-    """Earlier validation and later test anchors among the feasible dates.
+) -> DataFrame:
+    """split, anchor_date: spaced validation dates up to the border of the feasible days, later spaced test dates.
 
-    Only the feasible calendar dates reach the driver, at most one per day and split.
+    The border is the feasible day at ``validation_share`` of all of them. Test dates lie behind it and ``test_gap``
+    days behind the last validation date; where no such day exists, behind that date, or else anywhere. Each list
+    holds feasible calendar days, so all of it is one row of short arrays. No feasible day gives no dates.
     """
-    ok = feasibility.where(
-        (F.col("eligible_machines") >= min_eligible) & (F.col("positive_machines") >= min_positive) & (F.col("negative_machines") >= 1)
-    )
-    days: dict[str, list[date]] = {"validation": [], "test": []}
-    for row in ok.select("split", "anchor_date").distinct().collect():
-        days.setdefault(row["split"], []).append(row["anchor_date"])
-    every = sorted(set(days["validation"]) | set(days["test"]))
-    if not every:
-        raise ValueError("no date has enough eligible and positive entities")
-    border = every[int((len(every) - 1) * validation_share)]
-    early = [d for d in days["validation"] if d <= border] or days["validation"]
-    validation = spaced_anchors(early, counts["validation"], gap)
-    latest = max(validation) if validation else border
-    late = [d for d in days["test"] if (d - latest).days >= test_gap and d > border]
-    late = late or [d for d in days["test"] if d > latest] or days["test"]
-    return {"validation": validation, "test": spaced_anchors(late, counts["test"], gap)}
+    ok = (F.col("eligible_machines") >= min_eligible) & (F.col("positive_machines") >= min_positive) & (F.col("negative_machines") >= 1)
+    listed = lambda *splits: F.array_sort(F.collect_set(F.when(F.col("split").isin(*splits), F.col("anchor_date"))))
+    first_filled = lambda *lists: F.coalesce(*[F.when(F.size(x) > 0, x) for x in lists], lists[-1])
+    c = F.col
+    days = feasibility.where(ok).agg(listed("validation").alias("early"), listed("test").alias("late"), listed("validation", "test").alias("every"))
+    days = days.where(F.size("every") > 0).withColumn("border", F.get("every", F.floor((F.size("every") - 1) * F.lit(validation_share)).cast("int")))
+    chosen = days.withColumn(
+        "validation", spaced_dates(first_filled(F.filter("early", lambda d: d <= c("border")), c("early")), counts["validation"], gap)
+    ).withColumn("latest", F.coalesce(F.array_max("validation"), "border"))
+    behind = F.filter("late", lambda d: (F.datediff(d, c("latest")) >= test_gap) & (d > c("border")))
+    chosen = chosen.withColumn("test", spaced_dates(first_filled(behind, F.filter("late", lambda d: d > c("latest")), c("late")), counts["test"], gap))
+    both = F.array(*[F.struct(F.lit(s).alias("split"), c(s).alias("days")) for s in ("validation", "test")])
+    return chosen.select(F.explode(both).alias("x")).select("x.split", F.explode("x.days").alias("anchor_date"))
 
 
 def capped_fleet(fleet: DataFrame, limit: int, seed: int = 42) -> DataFrame:

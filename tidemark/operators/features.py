@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.temporal import interval_join, range_join
+from tidemark.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -48,49 +49,80 @@ def counts(names_when: dict[str, str | None], oldest: int | None, newest: int =
     return [Feature(n, "count", when=w, oldest=oldest, newest=newest) for n, w in names_when.items()]
 
 
-# Partial kinds: name -> (daily aggregate, merge of the daily values).
+# ``when`` guards the value of every partial.
 def _guard(expression: Column, when: str | None) -> Column:
     return expression if when is None else F.when(F.expr(when), expression)
 
 
+# Partials that an aggregate is put together from.
 _PARTS = {
     "count": ("rows",),
     "sum": ("sum",),
     "mean": ("sum", "known"),
-    "stddev": ("sum", "known", "square"),
+    "stddev": ("sum", "known", "spread"),
     "max": ("max",),
     "min": ("min",),
     "any": ("rows",),
     "days": ("rows",),
     "recency": ("max",),
-    "latest": ("last",),
-    "first": ("first",),
+    "latest": ("last", "last_order"),
+    "first": ("first", "first_order"),
+    "distinct": ("rows",),
 }
 
 
-def _daily_part(kind: str, f: Feature) -> Column:
-    value = F.expr(f.value) if f.value else F.lit(1)
-    guarded = _guard(value, f.when)
+def _ordering(f: Feature, guarded: Column) -> Column:
+    # rows without a value get no order and are skipped; plain numbers keep the hash aggregate
+    return F.when(guarded.isNotNull(), F.expr(f.order) if f.order else F.expr(f.value) if f.value else F.lit(1))
+
+
+def _event_part(kind: str, f: Feature) -> Column:
+    """The partial of some event rows."""
+    guarded = _guard(F.expr(f.value) if f.value else F.lit(1), f.when)
     if kind == "rows":
         return F.count(_guard(F.lit(1), f.when))
     if kind == "sum":
         return F.sum(guarded.cast("double"))
     if kind == "known":
         return F.count(guarded)
-    if kind == "square":
-        return F.sum((guarded * guarded).cast("double"))
+    if kind == "spread":
+        # squared distances from the rows' own mean, so that large values do not cancel
+        return F.var_pop(guarded.cast("double")) * F.count(guarded)
     if kind == "max":
         return F.max(guarded)
     if kind == "min":
         return F.min(guarded)
-    # rows without a value get no order and are skipped; plain numbers keep the hash aggregate
-    ordering = F.when(guarded.isNotNull(), F.expr(f.order) if f.order else value)
-    return F.max_by(guarded, ordering) if kind == "last" else F.min_by(guarded, ordering)
+    order = _ordering(f, guarded)
+    if kind == "last_order":
+        return F.max(order)
+    if kind == "first_order":
+        return F.min(order)
+    return F.max_by(guarded, order) if kind == "last" else F.min_by(guarded, order)
 
 
 def _part_keys(f: Feature) -> dict[str, tuple]:
     order = f.order if f.agg in ("latest", "first") else None
-    return {k: (k, f.value if k != "rows" else None, f.when, order) for k in _PARTS[f.agg]}
+    value = None if f.agg == "distinct" else f.value
+    return {k: (k, value if k != "rows" else None, f.when, order) for k in _PARTS[f.agg]}
+
+
+def _moments(parts: dict[str, str], f: Feature) -> Column:
+    """Mean and spread of the days of a bounded window, as a list of (rows, mean, spread)."""
+    n, total, spread = (F.col(parts[_part_keys(f)[k]]) for k in ("known", "sum", "spread"))
+    return F.struct(n.cast("double").alias("n"), (total / n).alias("mean"), spread.alias("spread"))
+
+
+def _deviation(moments: Column) -> Column:
+    """Sample standard deviation from merged (rows, mean, spread) triples."""
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("spread"))
+
+    def merge(a: Column, b: Column) -> Column:
+        n, away = a["n"] + b["n"], b["mean"] - a["mean"]
+        return F.struct(
+            n.alias("n"), (a["mean"] + away * b["n"] / n).alias("mean"), (a["spread"] + b["spread"] + away * away * a["n"] * b["n"] / n).alias("spread")
+        )
+
+    return F.aggregate(moments, start, merge, lambda x: F.when(x["n"] > 1, F.sqrt(x["spread"] / (x["n"] - 1))))
 
 
 def _finish(f: Feature, merged: dict[str, Column], at: str) -> Column:
@@ -102,10 +134,6 @@ def _finish(f: Feature, merged: dict[str, Column], at: str) -> Column:
         out = F.coalesce(merged["sum"], F.lit(0.0))
     elif f.agg == "mean":
         out = F.try_divide(merged["sum"], merged["known"].cast("double"))
-    elif f.agg == "stddev":
-        n = merged["known"].cast("double")
-        spread = (merged["square"] - merged["sum"] * merged["sum"] / n) / (n - 1)
-        out = F.when(n > 1, F.sqrt(F.greatest(spread, F.lit(0.0))))
     elif f.agg == "recency":
         out = F.datediff(F.col(at), merged["max"])
     elif f.agg in ("latest", "first"):
@@ -117,27 +145,81 @@ def _finish(f: Feature, merged: dict[str, Column], at: str) -> Column:
     return out
 
 
-def _daily(events: DataFrame, key: str, day: str, specs: Sequence[Feature]):
-    parts: dict[tuple, str] = {}
-    columns = []
-    for f in specs:
-        for kind, ident in _part_keys(f).items():
-            if ident not in parts:
-                parts[ident] = f"__p{len(parts)}"
-                columns.append(_daily_part(kind, f).alias(parts[ident]))
-    daily = (
-        events.where(F.col(key).isNotNull() & F.col(day).isNotNull())
-        .groupBy(F.col(key), F.col(day).alias("__day"))
-        .agg(*columns)
-    )
-    return daily, parts
+class DailyPartials:
+    """Partial aggregates of one source for all of ``specs``: one row per entity, day and counted value.
 
+    The events are read once and combine inside the map tasks; every pass of ``window_features`` (bounded windows,
+    history, distinct values) reads the partials. A stored table is hash-partitioned and sorted by entity, so
+    sorted passes over an entity need no further shuffle. Days are kept by every day column that a spec names and
+    values by every expression that a spec counts, so a row stands for events that all passes treat alike.
+    """
+
+    def __init__(self, events: DataFrame, specs: Sequence[Feature], key: str = "model_id", day: str = "event_day", store: bool = True):
+        self.key, self.day = key, day
+        days = list(dict.fromkeys(f.day or day for f in specs)) or [day]
+        values = list(dict.fromkeys(f.value for f in specs if f.agg == "distinct"))
+        self.days = {d: f"__d{i}" for i, d in enumerate(days)}
+        self.values = {v: f"__v{i}" for i, v in enumerate(values)}
+        self.parts: dict[tuple, str] = {}
+        columns = []
+        for f in specs:
+            for kind, ident in _part_keys(f).items():
+                if ident not in self.parts:
+                    self.parts[ident] = f"__p{len(self.parts)}"
+                    columns.append(_event_part(kind, f).alias(self.parts[ident]))
+        known_day = F.coalesce(*[F.col(d).cast("string") for d in days]).isNotNull()
+        shown = lambda v: F.when(F.expr(v).cast("string") != "", F.expr(v))
+        table = events.where(F.col(key).isNotNull() & known_day).groupBy(
+            F.col(key), *[F.col(d).alias(n) for d, n in self.days.items()], *[shown(v).alias(n) for v, n in self.values.items()]
+        ).agg(*columns)
+        self.single = len(days) == 1 and not values
+        if store:
+            table = cut_lineage(table.repartition(F.col(key)).sortWithinPartitions(key, *self.days.values()))
+        self.table = table
+
+    def _merged(self, kind: str, ident: tuple) -> Column:
+        part = F.col(self.parts[ident])
+        if kind in ("rows", "sum", "known"):
+            return F.sum(part)
+        if kind in ("max", "last_order"):
+            return F.max(part)
+        if kind in ("min", "first_order"):
+            return F.min(part)
+        order = F.col(self.parts[(kind + "_order", *ident[1:])])
+        return F.max_by(part, order) if kind == "last" else F.min_by(part, order)
+
+    def daily(self, specs: Sequence[Feature], day: str) -> DataFrame:
+        """One row per (key, ``__day``) with the partials of ``specs``."""
+        idents = {ident: kind for f in specs for kind, ident in _part_keys(f).items()}
+        rows = self.table.where(F.col(self.days[day]).isNotNull())
+        if self.single:
+            return rows.select(self.key, F.col(self.days[day]).alias("__day"), *[self.parts[i] for i in idents])
+        columns = []
+        for ident, kind in idents.items():
+            name = self.parts[ident]
+            if kind == "spread":
+                n, total = (F.col(self.parts[(k, *ident[1:])]) for k in ("known", "sum"))
+                triples = F.collect_list(F.when(n > 0, F.struct(n.cast("double").alias("n"), (total / n).alias("mean"), F.col(name).alias("spread"))))
+                whole = F.sum(n).cast("double")
+                columns.append(F.coalesce(F.pow(_deviation(F.sort_array(triples)), F.lit(2.0)) * (whole - 1), F.lit(0.0)).alias(name))
+            else:
+                columns.append(self._merged(kind, ident).alias(name))
+        return rows.groupBy(self.key, F.col(self.days[day]).alias("__day")).agg(*columns)
 
-def _windowed(spine, events, specs, key, at, day, bin_days):
-    daily, parts = _daily(events, key, day, specs)
+    def day_values(self, value: str, whens: Sequence[str | None], day: str) -> DataFrame:
+        """One row per (key, ``__day``, ``__value``) and whether each condition of ``whens`` met it, as ``__w0`` and so on."""
+        name = self.values[value]
+        flags = [F.max(F.col(self.parts[("rows", None, w, None)]) > 0).alias(f"__w{i}") for i, w in enumerate(whens)]
+        return self.table.where(F.col(name).isNotNull() & F.col(self.days[day]).isNotNull()).groupBy(
+            self.key, F.col(self.days[day]).alias("__day"), F.col(name).alias("__value")
+        ).agg(*flags)
+
+
+def _windowed(spine, partials, specs, key, at, day, bin_days):
+    parts = partials.parts
     oldest = max(f.oldest for f in specs)
     newest = min(f.newest for f in specs)
-    pairs = range_join(spine.select(key, at), daily, key, at, "__day", oldest, newest, bin_days)
+    pairs = range_join(spine.select(key, at), partials.daily(specs, day), key, at, "__day", oldest, newest, bin_days)
     age = F.col("age_days")
     outputs = []
     for f in specs:
@@ -146,32 +228,47 @@ def _windowed(spine, events, specs, key, at, day, bin_days):
             inside = inside & (age <= f.oldest)
         if f.newest > newest:
             inside = inside & (age >= f.newest)
+        if f.agg == "stddev":
+            known = F.col(parts[_part_keys(f)["known"]])
+            # a window holds calendar days, so the list is bounded
+            outputs.append(F.sort_array(F.collect_list(F.when(inside & (known > 0), _moments(parts, f)))).alias(f"__m_{f.name}"))
+            continue
         merged = {}
         for kind, ident in _part_keys(f).items():
             part = F.when(inside, F.col(parts[ident]))
             if f.agg == "days":
                 merged[kind] = F.count(F.when(inside & (F.col(parts[ident]) > 0), 1))
-            elif kind in ("rows", "sum", "known", "square"):
+            elif kind in ("rows", "sum", "known"):
                 merged[kind] = F.sum(part)
             elif kind == "max":
                 merged[kind] = F.max(part)
             elif kind == "min":
                 merged[kind] = F.min(part)
-            else:
+            elif kind in ("last", "first"):
                 known = F.when(part.isNotNull(), F.col("__day"))
                 merged[kind] = (F.max_by if kind == "last" else F.min_by)(part, known)
         outputs.append(_finish(f, merged, at).alias(f.name))
-    return pairs.groupBy(key, at).agg(*outputs)
+    out = pairs.groupBy(key, at).agg(*outputs)
+    return out.select(key, at, *[
+        _filled(_deviation(F.col(f"__m_{f.name}")), f).alias(f.name) if f.agg == "stddev" else F.col(f.name) for f in specs
+    ])
+
+
+def _filled(out: Column, f: Feature) -> Column:
+    return out if f.fill is None else F.coalesce(out, F.lit(f.fill))
 
 
-def _history(spine, events, specs, key, at, day):
-    daily, parts = _daily(events, key, day, specs)
+def _history(spine, partials, specs, key, at, day):
+    parts = partials.parts
+    daily = partials.daily(specs, day)
     points = spine.select(key, F.col(at).alias("__day")).distinct()
     timeline = daily.withColumn("__point", F.lit(False)).unionByName(
         points.withColumn("__point", F.lit(True)), allowMissingColumns=True
     ).withColumn("__number", F.unix_date("__day"))
     columns = []
     for f in specs:
+        if f.agg == "stddev":
+            raise ValueError(f"{f.name}: a standard deviation needs a bounded window")
         window = (
             Window.partitionBy(key).orderBy("__number")
             .rangeBetween(Window.unboundedPreceding, -f.newest)
@@ -181,7 +278,7 @@ def _history(spine, events, specs, key, at, day):
             part = F.col(parts[ident])
             if f.agg == "days":
                 merged[kind] = F.count(F.when(part > 0, 1)).over(window)
-            elif kind in ("rows", "sum", "known", "square"):
+            elif kind in ("rows", "sum", "known"):
                 merged[kind] = F.sum(part).over(window)
             elif kind == "max":
                 merged[kind] = F.max(part).over(window)
@@ -189,7 +286,7 @@ def _history(spine, events, specs, key, at, day):
                 merged[kind] = F.min(part).over(window)
             elif kind == "last":
                 merged[kind] = F.last(part, ignorenulls=True).over(window)
-            else:
+            elif kind == "first":
                 merged[kind] = F.first(part, ignorenulls=True).over(window)
         columns.append(_finish(f, merged, "__day").alias(f.name))
     return (
@@ -198,32 +295,22 @@ def _history(spine, events, specs, key, at, day):
     )
 
 
-def _distinct(spine, events, specs, key, at, day, bin_days):
+def _distinct(spine, partials, specs, key, at, day, bin_days):
     """Exact distinct counts: values are reduced per (key, day) first, then per spine row."""
     result = None
     by_value = defaultdict(list)
     for f in specs:
         by_value[f.value].append(f)
     for value, group in by_value.items():
-        flags = {f.when: f"__w{i}" for i, f in enumerate(group)}
-        known = F.expr(value)
-        day_values = (
-            events.where(F.col(key).isNotNull() & F.col(day).isNotNull())
-            .withColumn("__value", known)
-            .where(F.col("__value").isNotNull() & (F.col("__value").cast("string") != ""))
-            .groupBy(F.col(key), F.col(day).alias("__day"), "__value")
-            .agg(*[
-                F.max(F.lit(True) if w is None else F.coalesce(F.expr(w), F.lit(False))).alias(n)
-                for w, n in flags.items()
-            ])
-        )
+        whens = list(dict.fromkeys(f.when for f in group))
+        day_values = partials.day_values(value, whens, day)
         oldest, newest = max(f.oldest for f in group), min(f.newest for f in group)
         pairs = range_join(
             spine.select(key, at), day_values, key, at, "__day", oldest, newest, bin_days
         )
         age = F.col("age_days")
         per_value = pairs.groupBy(key, at, "__value").agg(*[
-            F.max(F.col(flags[f.when]) & age.between(f.newest, f.oldest)).alias(f.name)
+            F.max(F.col(f"__w{whens.index(f.when)}") & age.between(f.newest, f.oldest)).alias(f.name)
             for f in group
         ])
         counted = per_value.groupBy(key, at).agg(
@@ -233,6 +320,14 @@ def _distinct(spine, events, specs, key, at, day, bin_days):
     return result
 
 
+def _passes(specs: Sequence[Feature], day: str) -> dict[tuple[str, str], list[Feature]]:
+    groups: dict[tuple[str, str], list[Feature]] = defaultdict(list)
+    for f in specs:
+        kind = "distinct" if f.agg == "distinct" else "history" if f.oldest is None else "window"
+        groups[(kind, f.day or day)].append(f)
+    return groups
+
+
 def window_features(
     spine: DataFrame,
     events: DataFrame,
@@ -242,22 +337,23 @@ def window_features(
     day: str = "event_day",
     bin_days: int | None = None,
 ) -> DataFrame:
-    """Every spine row with all features of ``specs`` computed from ``events``."""
+    """Every spine row with all features of ``specs`` computed from ``events``.
+
+    Where several passes are needed, the daily partials are stored once and all of them read those.
+    """
     names = [f.name for f in specs]
     if len(set(names)) != len(names):
         raise ValueError("feature names must be unique")
     passes: list[DataFrame] = []
-    groups: dict[tuple, list[Feature]] = defaultdict(list)
-    for f in specs:
-        kind = "distinct" if f.agg == "distinct" else "history" if f.oldest is None else "window"
-        groups[(kind, f.day or day)].append(f)
+    groups = _passes(specs, day)
+    partials = DailyPartials(events, specs, key, day, store=len(groups) > 1)
     for (kind, day_name), members in groups.items():
         if kind == "distinct":
-            passes.append(_distinct(spine, events, members, key, at, day_name, bin_days))
+            passes.append(_distinct(spine, partials, members, key, at, day_name, bin_days))
         elif kind == "history":
-            passes.append(_history(spine, events, members, key, at, day_name))
+            passes.append(_history(spine, partials, members, key, at, day_name))
         else:
-            passes.append(_windowed(spine, events, members, key, at, day_name, bin_days))
+            passes.append(_windowed(spine, partials, members, key, at, day_name, bin_days))
     out = spine
     for part in passes:
         out = out.join(part, [key, at], "left")
@@ -329,20 +425,25 @@ def interval_features(
     """
     base = windows.select(key, start, end).distinct()
     plain = [f for f in specs if f.agg != "distinct"]
-    daily, parts = _daily(events, key, day, plain)
-    pairs = interval_join(base, daily, key, start, end, "__day", bin_days)
+    partials = DailyPartials(events, plain, key, day, store=False)
+    parts = partials.parts
+    pairs = interval_join(base, partials.daily(plain, day), key, start, end, "__day", bin_days)
     outputs = []
     for f in plain:
+        if f.agg == "stddev":
+            known = F.col(parts[_part_keys(f)["known"]])
+            outputs.append(_filled(_deviation(F.sort_array(F.collect_list(F.when(known > 0, _moments(parts, f))))), f).alias(f.name))
+            continue
         merged = {}
         for kind, ident in _part_keys(f).items():
             part = F.col(parts[ident])
             if f.agg == "days":
                 merged[kind] = F.count(F.when(part > 0, 1))
-            elif kind in ("rows", "sum", "known", "square"):
+            elif kind in ("rows", "sum", "known"):
                 merged[kind] = F.sum(part)
             elif kind in ("max", "min"):
                 merged[kind] = (F.max if kind == "max" else F.min)(part)
-            else:
+            elif kind in ("last", "first"):
                 known = F.when(part.isNotNull(), F.col("__day"))
                 merged[kind] = (F.max_by if kind == "last" else F.min_by)(part, known)
         outputs.append(_finish(f, merged, end).alias(f.name))

@@ -373,26 +373,22 @@ def calibration_quality(
 # ------------------------------------------------------------------ thresholds
 def quantile_curve(df: DataFrame, group: Sequence[str], value: str, points: int) -> DataFrame:
     """Linear quantiles at ``points`` even levels per group: columns ``point``, ``quantile``."""
-    # the tie number only spreads equal values over tasks; equal values are interchangeable
-    known = df.where(F.col(value).isNotNull()).select(
-        *group, F.col(value).cast("double").alias("__v"), F.monotonically_increasing_id().alias("__tie")
-    )
-    rows = ordered_scan(known, group, [F.col("__v").asc(), F.col("__tie").asc()], "__row", "__size")
-    sizes = rows.where("__row = 1").select(*group, "__size")
-    levels = sizes.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn(
+    # equal values are one row from here on
+    counted = df.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    rows = ordered_scan(
+        counted, group, [F.col("__v").asc()], "__row", running={"__last": F.col("__n")}, totals={"__size": F.col("__n")}
+    ).withColumn("__before", F.col("__last") - F.col("__n"))
+    # a value covers the ranks from __before to __last - 1, hence a stretch of neighbouring levels
+    step = (F.col("__size") - 1) / F.lit(points - 1)
+    first = F.when(step > 0, F.greatest(F.floor(F.col("__before") / step) - 1, F.lit(0))).otherwise(0).cast("int")
+    last = F.when(step > 0, F.least(F.ceil(F.col("__last") / step) + 1, F.lit(points - 1))).otherwise(points - 1).cast("int")
+    covered = lambda place: (place >= F.col("__before")) & (place < F.col("__last"))
+    met = rows.withColumn("point", F.explode(F.sequence(first, last))).withColumn(
         "__at", (F.col("__size") - 1) * (F.col("point") / F.lit(points - 1))
-    )
-    ends = levels.select(
-        *group, "point", (F.col("__at") - F.floor("__at")).alias("__part"),
-        F.explode(F.array(
-            F.struct(F.lit(0).alias("hi"), (F.floor("__at") + 1).alias("row")),
-            F.struct(F.lit(1).alias("hi"), (F.ceil("__at") + 1).alias("row")),
-        )).alias("__e"),
-    ).select(*group, "point", "__part", F.col("__e.hi").alias("__hi"), F.col("__e.row").alias("__row"))
-    met = ends.join(rows.select(*group, "__row", "__v"), [*group, "__row"])
-    low = F.max(F.when(F.col("__hi") == 0, F.col("__v")))
-    high = F.max(F.when(F.col("__hi") == 1, F.col("__v")))
-    return met.groupBy(*group, "point").agg((low + (high - low) * F.max("__part")).alias("quantile"))
+    ).where(covered(F.floor("__at")) | covered(F.ceil("__at")))
+    low = F.max(F.when(covered(F.floor("__at")), F.col("__v")))
+    high = F.max(F.when(covered(F.ceil("__at")), F.col("__v")))
+    return met.groupBy(*group, "point").agg((low + (high - low) * F.max(F.col("__at") - F.floor("__at"))).alias("quantile"))
 
 
 def candidate_thresholds(
@@ -524,16 +520,18 @@ def separation_at_thresholds(
 ) -> DataFrame:
     """True and false positive rates, likelihood ratio and assumed-prevalence precision.
 
-    ``thresholds`` is a short table with ``threshold`` and the columns ``on`` to match.
+    ``thresholds`` is a table with ``threshold`` and the columns ``on`` to match. Scores (one row per distinct
+    value) and thresholds are sorted together; a row without a score is never captured.
     """
-    listed = thresholds.groupBy(*on).agg(F.collect_set("threshold").alias("__all"))
-    joined = df.join(listed, list(on)) if on else df.join(F.broadcast(listed))
-    spread = joined.withColumn("threshold", F.explode("__all"))
-    hit, pos = F.col(score) >= F.col("threshold"), F.col(label) == 1
-    total = lambda c: F.sum(c.cast("long"))
-    out = spread.groupBy(*group, "threshold").agg(
-        total(pos).alias("positive_rows"), total(~pos).alias("negative_rows"),
-        total(hit & pos).alias("captured_positive_rows"), total(hit & ~pos).alias("false_positive_rows"),
+    groups = df.select(*group).distinct() if group else None
+    listed = thresholds.select(*on, "threshold").distinct()
+    marks = listed if groups is None else groups.join(listed, list(on)) if on else groups.crossJoin(listed)
+    known = df.withColumn(score, F.coalesce(F.col(score).cast("double"), F.lit(float("-inf"))))
+    curve = threshold_curve(known, group, score, label, marks.select(*group, "threshold"))
+    out = curve.select(
+        *group, "threshold", (F.col("true_positive") + F.col("false_negative")).alias("positive_rows"),
+        (F.col("false_positive") + F.col("true_negative")).alias("negative_rows"),
+        F.col("true_positive").alias("captured_positive_rows"), F.col("false_positive").alias("false_positive_rows"),
     )
     c = lambda n: F.col(n).cast("double")
     tpr = F.try_divide(c("captured_positive_rows"), c("positive_rows"))

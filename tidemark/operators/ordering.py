@@ -8,8 +8,11 @@ functions here sort by range across tasks and add per-piece offsets instead.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,3 +151,84 @@ def exact_quantiles(
         outputs.append((low_value + (high_value - low_value) * F.max(place - low)).alias(name))
     picked = scanned.where(keep)
     return picked.groupBy(*group).agg(*outputs)
+
+
+#: Cells of the histogram of one range.
+CELLS = 2048
+
+
+def values_at_ranks(df: DataFrame, ranks: Mapping[str, Sequence[int]], cells: int = CELLS) -> dict[tuple[str, int], tuple[float, int]]:
+    """The value at each wanted 0-based rank of many double columns, and how many values are smaller. NULL and NaN do not count.
+
+    Ranges are refined instead of sorting rows times columns. Each pass adds up, inside the map tasks, a histogram of
+    every range that still holds a wanted rank, with the least and greatest value of each cell; the cell that holds
+    the rank is the next range. A cell of one value is exact, and 64-bit values are told apart after a few passes, so
+    what is shuffled is columns times ``cells`` rows a task and what reaches the driver is one row a rank.
+    """
+    names = [c for c, r in ranks.items() if r]
+    if not names:
+        return {}
+    ends = df.agg(*[f(F.when(~F.isnan(c), F.col(c))).alias(f"{n}{i}") for i, c in enumerate(names) for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    open_ranges = {(c, r): (ends[f"lo{i}"], ends[f"hi{i}"], 0) for i, c in enumerate(names) for r in ranks[c] if ends[f"lo{i}"] is not None}
+    found: dict[tuple[str, int], tuple[float, int]] = {}
+    while True:
+        found |= {k: (lo, before) for k, (lo, hi, before) in open_ranges.items() if lo == hi}
+        open_ranges = {k: x for k, x in open_ranges.items() if x[0] != x[1]}
+        if not open_ranges:
+            return found
+        spans = sorted({(c, lo, hi, before) for (c, _), (lo, hi, before) in open_ranges.items()})
+        picked = _cells_of_ranks(df, names, spans, [(spans.index((c, *x)), c, r) for (c, r), x in open_ranges.items()], cells)
+        open_ranges = {(c, r): picked[c, r] for c, r in open_ranges}
+
+
+def _cells_of_ranks(df, names, spans, wanted, cells):
+    """(least value, greatest value, smaller values) of the histogram cell with each wanted rank; one pass."""
+    at = {c: i for i, c in enumerate(names)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros((len(spans), cells), dtype=np.int64)
+        least, most = np.full((len(spans), cells), np.inf), np.full((len(spans), cells), -np.inf)
+        for batch in batches:
+            columns = {c: batch.column(at[c]).to_numpy(zero_copy_only=False).astype(np.float64) for c in {s[0] for s in spans}}
+            for k, (c, lo, hi, _) in enumerate(spans):
+                x = columns[c]
+                x = x[(x >= lo) & (x <= hi)]
+                # halves first, so that a wide range does not overflow
+                part = (x / 2 - lo / 2) / (hi / 2 - lo / 2)
+                cell = np.minimum((part * cells).astype(np.int64), cells - 1)
+                np.add.at(count[k], cell, 1)
+                np.minimum.at(least[k], cell, x)
+                np.maximum.at(most[k], cell, x)
+        k, cell = np.nonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (k, cell, count[k, cell], least[k, cell], most[k, cell])], ["span", "cell", "n", "lo", "hi"])
+
+    partial = df.select(*names).mapInArrow(run, "span long, cell long, n long, lo double, hi double")
+    merged = partial.groupBy("span", "cell").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    spark = df.sparkSession
+    before = spark.createDataFrame([(i, int(s[3])) for i, s in enumerate(spans)], "span long, before long")
+    asked = spark.createDataFrame([(int(i), c, int(r)) for i, c, r in wanted], "span long, name string, rank long")
+    # a span has at most ``cells`` rows
+    running = F.sum("n").over(Window.partitionBy("span").orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = merged.withColumn("upto", running).join(F.broadcast(before), "span").withColumn("upto", F.col("upto") + F.col("before"))
+    hit = placed.join(F.broadcast(asked), "span").where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
+    return {(r["name"], r["rank"]): (r["lo"], r["hi"], r["upto"] - r["n"]) for r in hit.collect()}
+
+
+def column_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Mapping[str, float]) -> DataFrame:
+    """Linear-interpolated quantiles of many double columns: ``feature`` and one column per probability."""
+    counts = df.agg(*[F.count(F.when(~F.isnan(c), F.col(c))).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    places = {(c, name): (counts[f"n{i}"] - 1) * p for i, c in enumerate(columns) for name, p in probabilities.items() if counts[f"n{i}"]}
+    ranks: dict[str, set[int]] = {}
+    for (c, _), place in places.items():
+        ranks.setdefault(c, set()).update((math.floor(place), math.ceil(place)))
+    at = values_at_ranks(df, {c: sorted(r) for c, r in ranks.items()})
+
+    def value(c: str, name: str) -> float | None:
+        if (c, name) not in places:
+            return None
+        place = places[c, name]
+        low, high = at[c, math.floor(place)][0], at[c, math.ceil(place)][0]
+        return low + (high - low) * (place - math.floor(place))
+
+    rows = [(c, *[value(c, name) for name in probabilities]) for c in columns]
+    return df.sparkSession.createDataFrame(rows, "feature string, " + ", ".join(f"{n} double" for n in probabilities))

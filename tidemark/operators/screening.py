@@ -6,13 +6,17 @@ moments and cross products come from one wide aggregate pass.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from itertools import combinations
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordering import exact_quantiles, ordered_scan
+from tidemark.functions.stats import chi2_tail, f_tail
+from tidemark.operators.ordering import column_quantiles, ordered_scan, values_at_ranks
 from tidemark.session import cut_lineage
 
 
@@ -62,7 +66,8 @@ def feature_inventory(df: DataFrame, features: Sequence[str], target: str) -> Da
     # many exact distinct counts in one aggregate would copy every row once per feature
     long = long_features(df, features).where("value is not null")
     unique = long.distinct().groupBy("feature").agg(F.count(F.lit(1)).alias("unique"))
-    quartiles = exact_quantiles(long, ["feature"], "value", {"p25": 0.25, "median": 0.5, "p75": 0.75})
+    numbers = df.select(*[_number(f).alias(f) for f in features])
+    quartiles = column_quantiles(numbers, features, {"p25": 0.25, "median": 0.5, "p75": 0.75})
     out = base.join(unique, "feature", "left").join(quartiles, "feature", "left")
     return out.withColumn("unique", F.coalesce("unique", F.lit(0))).withColumns(
         {
@@ -99,19 +104,67 @@ def feature_group(feature: Column, rules: Sequence[tuple[str, str]], default: st
     return group
 
 
-def correlation_pairs(df: DataFrame, groups: Mapping[str, Sequence[str]]) -> DataFrame:
-    """Pearson correlation of every feature pair inside each group (one aggregate pass).
+#: Features of one block of the product matrices: a task holds four square matrices of this width.
+GRAM_BLOCK = 500
 
-    Feature lists are short, so all pairs fit one wide aggregate row.
+
+def _products(df: DataFrame, left: Sequence[str], right: Sequence[str], shift: Mapping[str, float]) -> DataFrame:
+    """For every pair (left i, right j): rows that know both, and the sums of both, their squares and their product.
+
+    Each task adds up matrix products of its rows; the tasks' matrices are added up by pair. Values are taken less
+    ``shift``, so that large means do not cancel.
     """
-    pairs = [(g, a, b) for g, names in groups.items() for a, b in combinations(sorted(names), 2)]
-    row = df.agg(*[F.corr(_number(a), _number(b)).alias(f"c{i}") for i, (_, a, b) in enumerate(pairs)])
-    entries = F.array(*[
-        F.struct(F.lit(g).alias("feature_group"), F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
-                 F.when(~F.isnan(f"c{i}"), F.col(f"c{i}")).alias("correlation"))
-        for i, (g, a, b) in enumerate(pairs)
-    ])
-    return row.select(F.explode(entries).alias("__e")).select("__e.*").withColumn("abs_correlation", F.abs("correlation"))
+    names = list(dict.fromkeys([*left, *right]))
+    at = {n: i for i, n in enumerate(names)}
+    one, two = [at[n] for n in left], [at[n] for n in right]
+    fields = ["i", "j", "n", "a", "b", "aa", "bb", "ab"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((6, len(one), len(two)))
+        for batch in batches:
+            x = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.float64) for k in range(len(names))])
+            known = ~np.isnan(x)
+            x, m = np.where(known, x, 0.0), known.astype(np.float64)
+            u, v, mu, mv = x[:, one], x[:, two], m[:, one], m[:, two]
+            total += np.stack([mu.T @ mv, u.T @ mv, mu.T @ v, (u * u).T @ mv, mu.T @ (v * v), u.T @ v])
+        i, j = np.meshgrid(np.arange(len(one)), np.arange(len(two)), indexing="ij")
+        yield pa.RecordBatch.from_arrays([pa.array(c.ravel()) for c in (i, j, *total)], fields)
+
+    values = df.select(*[(_number(n) - F.lit(float(shift.get(n) or 0.0))).alias(f"__x{k}") for k, n in enumerate(names)])
+    partial = values.mapInArrow(run, "i long, j long, n double, a double, b double, aa double, bb double, ab double")
+    return partial.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in fields[2:]])
+
+
+def correlation_pairs(df: DataFrame, groups: Mapping[str, Sequence[str]], block: int = GRAM_BLOCK) -> DataFrame:
+    """Pearson correlation of every feature pair inside each group, over the rows that know both features.
+
+    A group is cut into blocks of features; the sums of every pair of blocks come from matrix products over
+    one pass, so plans and rows grow with the blocks and not with the pairs' expressions.
+    """
+    every = sorted({n for names in groups.values() for n in names})
+    means = df.agg(*[F.avg(_number(n)).alias(f"m{k}") for k, n in enumerate(every)]).first() if every else []
+    shift = {n: means[k] for k, n in enumerate(every)}
+    spark, found = df.sparkSession, []
+    for g, names in groups.items():
+        ordered = sorted(names)
+        blocks = [ordered[k : k + block] for k in range(0, len(ordered), block)]
+        for p, left in enumerate(blocks):
+            for right in blocks[p:]:
+                label = lambda side: F.array(*map(F.lit, side))
+                sums = _products(df, left, right, shift).select(
+                    F.lit(g).alias("feature_group"), F.get(label(left), F.col("i").cast("int")).alias("feature_a"), F.get(label(right), F.col("j").cast("int")).alias("feature_b"),
+                    "n", "a", "b", "aa", "bb", "ab",
+                )
+                found.append(sums.where("feature_a < feature_b"))
+    schema = "feature_group string, feature_a string, feature_b string, n double, a double, b double, aa double, bb double, ab double"
+    table = reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
+    c = F.col
+    spread = lambda x, xx: F.greatest(c("n") * c(xx) - c(x) * c(x), F.lit(0.0))
+    # a spread below rounding is that of a constant
+    flat = lambda x, xx: spread(x, xx) <= F.lit(1e-12) * c("n") * c(xx)
+    r = (c("n") * c("ab") - c("a") * c("b")) / F.sqrt(spread("a", "aa") * spread("b", "bb"))
+    value = F.when((c("n") > 1) & ~flat("a", "aa") & ~flat("b", "bb"), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))
+    return table.select("feature_group", "feature_a", "feature_b", value.alias("correlation")).withColumn("abs_correlation", F.abs("correlation"))
 
 
 def correlated_components(pairs: DataFrame, features: DataFrame, threshold: float = 0.95) -> DataFrame:
@@ -242,18 +295,39 @@ def mutual_information(
     they have values, of nearly equal count: rows are ranked with ties broken by ``order``, and the
     cuts are right-closed quantiles of the ranks.
     """
-    filled = [F.coalesce(_number(f), F.lit(0.0)).alias(f) for f in features]
-    rows = long_features(df.select(target, *order, *filled), features, [target, *order])
-    # one row per feature
-    kinds = rows.select("feature", "value").distinct().groupBy("feature").agg(F.count(F.lit(1)).alias("__kinds"), F.min("value").alias("__least"))
-    ranked = ordered_scan(
-        rows, ["feature"], [F.col("value").asc(), *[F.col(c).asc() for c in order]], number="__rank", size="__n"
-    ).join(F.broadcast(kinds), "feature")
-    place = F.expr(f"((__rank - 1) * least({bins}, __kinds) + __n - 2) div (__n - 1)")
-    binned = ranked.withColumn(
-        "bin", F.when(F.col("__kinds") <= 2, (F.col("value") > F.col("__least")).cast("int")).otherwise(F.greatest(place, F.lit(1)).cast("int") - 1)
-    )
-    cells = binned.groupBy("feature", "bin", target).agg(F.count(F.lit(1)).alias("c"), F.max("__n").alias("n"))
+    filled = df.select(target, *order, *[(F.coalesce(_number(f), F.lit(0.0)) + F.lit(0.0)).alias(f"__f{i}") for i, f in enumerate(features)])
+    names = {f"__f{i}": f for i, f in enumerate(features)}
+    n = filled.count()
+    # distinct values up to the number of bins decide how many bins there are; more need not be told apart
+    low, kinds = {}, {}
+    ends = filled.agg(*[f(c).alias(f"{x}{c}") for c in names for x, f in (("lo", F.min), ("hi", F.max))]).first()
+    few = _few_values(filled, list(names), bins)
+    for c in names:
+        low[c], kinds[c] = ends[f"lo{c}"], few[c]
+    # the ranks (from 0) at which the bins 2, 3, ... begin
+    starts = {c: [-(-((j - 1) * (n - 1) + 1) // kinds[c]) for j in range(2, kinds[c] + 1)] if kinds[c] > 2 else [] for c in names}
+    at = values_at_ranks(filled.select(*names), starts)
+    plain, tied = [], []
+    for c, f in names.items():
+        value = F.col(c)
+        if kinds[c] <= 2:
+            plain.append(F.struct(F.lit(f).alias("feature"), value.alias("value"), (value > F.lit(low[c])).cast("int").alias("bin")))
+            continue
+        cuts = [at[c, r] for r in starts[c]]
+        values = F.array(*[F.lit(v) for v, _ in cuts])
+        # below and above the values at the cuts the value alone tells the bin; rows of those values are ranked
+        bin_of = F.size(F.filter(values, lambda v: v < value))
+        plain.append(F.when(~F.array_contains(values, value), F.struct(F.lit(f).alias("feature"), value.alias("value"), bin_of.cast("int").alias("bin"))))
+        before = F.create_map(*[F.lit(x) for v, b in dict(cuts).items() for x in (float(v), int(b))])
+        tied.append(F.when(F.array_contains(values, value), F.struct(F.lit(f).alias("feature"), value.alias("value"), F.lit(kinds[c]).alias("kinds"), F.element_at(before, value).alias("before"))))
+    keep = [target, *order]
+    listed = lambda parts: filled.select(*keep, F.explode(F.filter(F.array(*parts), lambda x: x.isNotNull())).alias("__x")).select(*keep, "__x.*")
+    binned = listed(plain).select("feature", "bin", target)
+    if tied:
+        ranked = ordered_scan(listed(tied), ["feature", "value"], [F.col(c).asc() for c in order], number="__turn")
+        place = F.expr(f"((before + __turn - 1) * kinds + {n} - 2) div ({n} - 1)")
+        binned = binned.unionByName(ranked.select("feature", (F.greatest(place, F.lit(1)) - 1).cast("int").alias("bin"), target))
+    cells = binned.groupBy("feature", "bin", target).agg(F.count(F.lit(1)).alias("c")).withColumn("n", F.lit(n))
     # bins x classes rows per feature from here on
     by_bin = F.sum("c").over(Window.partitionBy("feature", "bin"))
     by_class = F.sum("c").over(Window.partitionBy("feature", target))
@@ -262,6 +336,26 @@ def mutual_information(
     return cells.withColumn("__i", info).groupBy("feature").agg(F.sum("__i").alias("mutual_information"))
 
 
+def _few_values(df: DataFrame, columns: Sequence[str], most: int) -> dict[str, int]:
+    """Number of different values of every column, at most ``most``: a task only keeps so many of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: list[np.ndarray] = [np.zeros(0)] * len(columns)
+        for batch in batches:
+            for i in range(len(columns)):
+                if len(seen[i]) < most:
+                    x = batch.column(i).to_numpy(zero_copy_only=False).astype(np.float64)
+                    seen[i] = np.unique(np.concatenate([seen[i], x]))[:most]
+        rows = [(c, float(v)) for c, values in zip(columns, seen, strict=True) for v in values]
+        if rows:
+            names, values = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(values)], ["name", "value"])
+
+    found = df.select(*columns).mapInArrow(run, "name string, value double").distinct().groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    counts = {r["name"]: min(r["n"], most) for r in found.collect()}
+    return {c: counts.get(c, 0) for c in columns}
+
+
 def chi2_minmax(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     """Chi-square of the min-max scaled feature sums per class; missing values count as 0."""
     filled = df.select(target, *[F.coalesce(_number(f), F.lit(0.0)).alias(f) for f in features])
@@ -278,6 +372,25 @@ def chi2_minmax(df: DataFrame, features: Sequence[str], target: str) -> DataFram
     )
 
 
+def with_p_value(report: DataFrame, score: str, tail: Callable[..., float], *degrees: Column) -> DataFrame:
+    """``report`` (one row per feature) with ``p_value``: the tail chance of its score; NULL without a score."""
+
+    @F.pandas_udf("double")
+    def chance(value: pd.Series, *given: pd.Series) -> pd.Series:
+        rows = zip(value, *given, strict=True)
+        return pd.Series([None if pd.isna(v) else tail(float(v), *map(float, d)) for v, *d in rows], dtype="float64")
+
+    return report.withColumn("p_value", chance(F.col(score), *degrees))
+
+
+def target_tests(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
+    """F of the ANOVA and chi-square of every feature with their p-values; two classes have one degree of freedom."""
+    rows = df.where(F.col(target).isNotNull()).agg(F.count(F.lit(1)).cast("double").alias("__n"), (F.count_distinct(target) - 1).cast("double").alias("__k"))
+    both = anova_f(df, features, target).join(chi2_minmax(df, features, target), "feature").join(F.broadcast(rows))
+    tested = with_p_value(both, "f_score", f_tail, F.col("__k"), F.col("__n") - F.col("__k") - 1).withColumnRenamed("p_value", "f_p_value")
+    return with_p_value(tested, "chi2_score", chi2_tail, F.col("__k")).withColumnRenamed("p_value", "chi2_p_value").drop("__n", "__k")
+
+
 def consensus(features: DataFrame, reports: Mapping[str, DataFrame]) -> DataFrame:
     """Mean of the ranks a feature has in the reports that know it, and the rank of that mean.
 

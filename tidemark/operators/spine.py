@@ -98,7 +98,7 @@ def greedy_dates(
     # element_at on an empty array must not run, hence the seed with a far past day
     seed = F.array(F.lit("0001-01-01").cast("date"))
     picked = F.aggregate("__days", seed, step)
-    return listed.select(key, F.explode(F.slice(picked, 2, 1_000_000)).alias(at))
+    return listed.select(key, F.explode(F.slice(picked, F.lit(2), F.size(picked))).alias(at))
 
 
 def greedy_global_dates(backbone: DataFrame, at: str, gap: int) -> DataFrame:
@@ -326,25 +326,25 @@ def anchor_manifest(
     )
 
 
-def spaced_anchors(days: Sequence[date], count: int, gap: int) -> list[date]:
-    """Pick days near even positions of the list, at least ``gap`` days apart, then fill up.
+def spaced_dates(days: Column, count: int, gap: int) -> Column:
+    """Dates of a sorted array near even positions, at least ``gap`` days apart, then the first others that fit.
 
-    Works on the short list of feasible days that an aggregate leaves behind.
+    ``days`` holds distinct calendar dates, so the array is bounded by the calendar. One expression ranks the
+    dates by their distance to each position in turn and keeps the nearest that the gap allows.
     """
-    pool = sorted(set(days))
-    if not pool or count <= 0:
-        return []
-    if count == 1:
-        return [pool[len(pool) // 2]]
-    far = lambda d, chosen: d not in chosen and all(abs((d - c).days) >= gap for c in chosen)
-    wanted = min(count, len(pool))
-    chosen: list[date] = []
-    for turn in range(wanted):
-        target = (len(pool) - 1) * turn / max(wanted - 1, 1)
-        left = [(abs(i - target), d) for i, d in enumerate(pool) if far(d, chosen)]
-        if left:
-            chosen.append(min(left)[1])
-    for d in pool:
-        if len(chosen) < count and far(d, chosen):
-            chosen.append(d)
-    return sorted(chosen)
+    size, empty = F.size(days), F.slice(days, 1, 0)
+    fits = lambda day, chosen: F.forall(chosen, lambda c: F.abs(F.datediff(day, c)) >= F.greatest(F.lit(gap), F.lit(1)))
+    if count <= 1:
+        return F.slice(days, F.floor(size / 2).cast("int") + 1, F.lit(min(count, 1)))
+    wanted = F.least(F.lit(count), size)
+
+    def add_nearest(chosen: Column, turn: Column) -> Column:
+        place = (size - 1) * turn / F.greatest(wanted - 1, F.lit(1))
+        ranked = F.array_sort(F.filter(
+            F.transform(days, lambda d, i: F.struct(F.abs(i - place).alias("away"), d.alias("day"))), lambda x: fits(x["day"], chosen)
+        ))
+        return F.concat(chosen, F.transform(F.slice(ranked, 1, 1), lambda x: x["day"]))
+
+    near = F.aggregate(F.sequence(F.lit(0), wanted - 1), empty, add_nearest)
+    full = F.aggregate(days, near, lambda chosen, d: F.when((F.size(chosen) < count) & fits(d, chosen), F.concat(chosen, F.array(d))).otherwise(chosen))
+    return F.when(size > 0, F.array_sort(full)).otherwise(empty)

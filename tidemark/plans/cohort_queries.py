@@ -12,6 +12,7 @@ from tidemark.plans.metric_queries import _HASH, SCORED_SQL, scored
 from tidemark.plans.registry import query, round_sql, rounded
 from tidemark.plans.spine_queries import NEXT_SQL, with_next
 from tidemark.plans import roles
+from tidemark.session import cut_lineage
 from tidemark.sources import standardize as std
 
 _H = lambda text: f"substr(md5('42|' || {text}), 1, 16)"
@@ -84,10 +85,10 @@ def _(t):
 @query(
     "inner_split", "G4",
     """SELECT o_orderkey, rn - 1 AS row_position_within_training, CASE WHEN rn <= floor(n * 0.8::DOUBLE) THEN 'feature_train' ELSE 'feature_selection_holdout' END AS inner_split
-FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS rn, count(*) OVER () AS n FROM orders WHERE o_orderdate < TIMESTAMP '2000-01-01') AS q""",
+FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS rn, count(*) OVER () AS n FROM orders) AS q""",
 )
 def _(t):
-    rows = t("orders").where("o_orderdate < '2000-01-01'").select("o_orderkey", "o_orderdate")
+    rows = t("orders").select("o_orderkey", "o_orderdate")
     return sp.inner_split(rows, "o_orderdate", 0.8, ["o_orderkey"]).drop("o_orderdate")
 
 
@@ -285,11 +286,29 @@ def _(t):
 
 _RING = "SELECT machine_key, full_model, split, first_source_date, last_source_date, row_number() OVER (PARTITION BY full_model, split ORDER BY {h}, machine_key) - 1 AS place, count(*) OVER (PARTITION BY full_model, split) AS size FROM ({src}) AS f WHERE split IS NOT NULL"
 _PICK = lambda text: f"CAST(('0x' || {_H(text)})::UBIGINT % size::UBIGINT AS BIGINT)"
-_MATCHED = f"""SELECT case_control_group_id, case_machine_key, machine_key, window_start, window_end, row_number() OVER (PARTITION BY case_control_group_id ORDER BY step) AS control_number FROM (
-SELECT c.case_control_group_id, c.machine_key AS case_machine_key, r.machine_key, c.window_start, c.window_end, (r.place - {_PICK("c.case_control_group_id || '|controlled'")} + size) % size AS step
-FROM ({_GOOD}) AS c JOIN ({_RING.format(h=_H("'controlled|' || cast(machine_key as string)"), src=_FLEET)}) AS r ON r.full_model = c.full_model AND r.split = c.split AND r.machine_key <> c.machine_key
-WHERE c.window_end + 180 <= {_END} AND coalesce(r.first_source_date <= c.window_end AND r.last_source_date >= c.window_start, FALSE)
-AND NOT EXISTS (SELECT 1 FROM ({_CLAIMS}) AS k WHERE k.machine_key = r.machine_key AND k.claim_date BETWEEN c.window_start - 30 AND c.window_end + 180)) AS x QUALIFY control_number <= 3"""
+_DAY = lambda d: f"({d} - DATE '1970-01-01')"
+_NUMBER = lambda text, count: f"CAST(('0x' || {_H(text)})::UBIGINT % ({count})::UBIGINT AS BIGINT)"
+
+
+def _matched_sql(count: int) -> str:
+    """The first ``count`` eligible candidates of every case on its walk through its day bin."""
+    return f"""WITH seen AS (SELECT *, {_DAY('window_start')} - 30 AS lo, {_DAY('window_end')} + 180 AS hi, window_end - window_start AS width FROM ({_GOOD}) AS c WHERE window_end + 180 <= {_END}),
+spans AS (SELECT min(lo) AS low, max(lo) AS high, min(width) AS short, max(width) AS long FROM seen), days AS (SELECT machine_key, {_DAY('claim_date')} AS day FROM ({_CLAIMS}) AS k),
+gaps AS (SELECT machine_key, NULL AS a, min(day) - 1 AS z FROM days GROUP BY 1 UNION ALL SELECT machine_key, day + 1, lead(day) OVER (PARTITION BY machine_key ORDER BY day) - 1 FROM days),
+free AS (SELECT f.full_model, f.split, f.machine_key, a, z, {_DAY('first_source_date')} AS first, {_DAY('last_source_date')} AS last, low, high, short, long
+ FROM (SELECT * FROM ({_FLEET}) AS f WHERE split IS NOT NULL AND first_source_date IS NOT NULL) AS f LEFT JOIN gaps g ON g.machine_key = f.machine_key, spans),
+fits AS (SELECT *, greatest(a, first - long - 30, low) AS b, least(z - short - 210, last - 30, high) AS e FROM free),
+listed AS (SELECT *, unnest(range(b // 30, e // 30 + 1)) AS bin FROM fits WHERE b <= e),
+placed AS (SELECT *, row_number() OVER (PARTITION BY full_model, split, bin ORDER BY {_H("'controlled|' || cast(machine_key as string)")}, machine_key) - 1 AS place, count(*) OVER (PARTITION BY full_model, split, bin) AS size FROM listed),
+sizes AS (SELECT full_model, split, bin, any_value(size) AS size, CAST(1 << length(bin(any_value(size) - 1)) AS BIGINT) AS span FROM placed GROUP BY 1, 2, 3),
+walks AS (SELECT c.*, s.bin, span, 2 * {_NUMBER("c.case_control_group_id || '|controlled|stride'", "span // 2")} + 1 AS stride, {_NUMBER("c.case_control_group_id || '|controlled|shift'", "span")} AS shift FROM seen c JOIN sizes s ON s.full_model = c.full_model AND s.split = c.split AND s.bin = c.lo // 30),
+steps AS (SELECT *, (stride * step + shift) % span AS place FROM (SELECT *, unnest(range(0, span)) AS step FROM walks) AS w)
+SELECT w.case_control_group_id, w.machine_key AS case_machine_key, p.machine_key, window_start, window_end, row_number() OVER (PARTITION BY w.case_control_group_id ORDER BY step) AS control_number
+FROM steps w JOIN placed p ON p.full_model = w.full_model AND p.split = w.split AND p.bin = w.bin AND p.place = w.place
+WHERE p.machine_key <> w.machine_key AND coalesce(a <= lo, TRUE) AND coalesce(hi <= z, TRUE) AND first <= {_DAY('window_end')} AND last >= {_DAY('window_start')} QUALIFY control_number <= {count}"""
+
+
+_MATCHED = _matched_sql(3)
 
 
 def _matched(t, count=3):
@@ -301,6 +320,16 @@ def _(t):
     return _matched(t).select("case_control_group_id", "case_machine_key", "machine_key", "window_start", "window_end", "control_number")
 
 
+@query(
+    "control_audit", "H3 H6",
+    f"""SELECT c.case_control_group_id, c.machine_key, c.split, coalesce(n, 0) AS selected_negative_count, 3 AS requested_negative_count,
+ CASE WHEN coalesce(n, 0) = 0 THEN 'case_excluded_no_eligible_negatives' ELSE 'selected' END AS status
+FROM ({_GOOD}) AS c LEFT JOIN (SELECT case_control_group_id, count(*) AS n FROM ({_MATCHED}) AS m GROUP BY 1) AS m USING (case_control_group_id)""",
+)
+def _(t):
+    return ch.control_audit(_good(t), _matched(t), 3)
+
+
 _ELIGIBLE = f"""SELECT d.machine_key, CAST(d.window_end - {_DAYS} AS DATE) AS window_start, d.window_end, f.full_model, f.split FROM ({_DATES}) AS d JOIN ({_FLEET}) AS f ON f.machine_key = d.machine_key
 WHERE f.first_source_date <= d.window_end AND f.last_source_date >= d.window_end - {_DAYS} AND d.window_end + 180 <= {_END}
 AND NOT EXISTS (SELECT 1 FROM ({_CLAIMS}) AS k WHERE k.machine_key = d.machine_key AND k.claim_date BETWEEN d.window_end - {_DAYS} - 30 AND d.window_end + 180)"""
@@ -315,21 +344,29 @@ def _(t):
     return _eligible(t).select("machine_key", "window_start", "window_end")
 
 
-_RANDOM = f"""SELECT s.case_control_group_id, s.case_machine_key, s.machine_key, e.window_start, e.window_end, s.control_number FROM (
+_random_sql = lambda count: f"""SELECT s.case_control_group_id, s.case_machine_key, s.machine_key, e.window_start, e.window_end, s.control_number FROM (
 SELECT *, row_number() OVER (PARTITION BY case_control_group_id ORDER BY step) AS control_number FROM (SELECT c.case_control_group_id, c.machine_key AS case_machine_key, r.machine_key, (r.place - {_PICK("c.case_control_group_id || '|random'")} + size) % size AS step
-FROM ({_GOOD}) AS c JOIN ({_RING.format(h=_H("'random|' || cast(machine_key as string)"), src=f"SELECT * FROM ({_FLEET}) AS f WHERE machine_key IN (SELECT machine_key FROM ({_ELIGIBLE}) AS e)")}) AS r ON r.full_model = c.full_model AND r.split = c.split AND r.machine_key <> c.machine_key) AS x QUALIFY control_number <= 2) AS s
+FROM ({_GOOD}) AS c JOIN ({_RING.format(h=_H("'random|' || cast(machine_key as string)"), src=f"SELECT * FROM ({_FLEET}) AS f WHERE machine_key IN (SELECT machine_key FROM ({_ELIGIBLE}) AS e)")}) AS r ON r.full_model = c.full_model AND r.split = c.split AND r.machine_key <> c.machine_key) AS x QUALIFY control_number <= {count}) AS s
 JOIN (SELECT *, row_number() OVER (PARTITION BY machine_key ORDER BY window_end) - 1 AS turn, count(*) OVER (PARTITION BY machine_key) AS n FROM ({_ELIGIBLE}) AS e) AS e
  ON e.machine_key = s.machine_key AND e.turn = CAST(('0x' || {_H("s.case_control_group_id || '|' || cast(s.machine_key as string) || '|window'")})::UBIGINT % e.n::UBIGINT AS BIGINT)"""
 
 
-@query("random_controls", "H5 B18", _RANDOM)
+@query("random_controls", "H5 B18", _random_sql(2))
 def _(t):
     return ch.random_controls(_good(t), _fleet(t).where("split is not null"), _eligible(t), 2).select(
         "case_control_group_id", "case_machine_key", "machine_key", "window_start", "window_end", "control_number"
     )
 
 
-@query("mixed_controls", "H6")
+@query(
+    "mixed_controls", "H6",
+    f"""WITH c AS ({_MATCHED}), r AS ({_random_sql(6)}), both_kinds AS (
+SELECT case_control_group_id, machine_key, window_start, window_end, 'controlled' AS negative_sampling_type, CASE WHEN control_number <= 2 THEN 0 ELSE 2 END AS class, control_number FROM c
+UNION ALL SELECT case_control_group_id, machine_key, window_start, window_end, 'random', 1, control_number FROM r),
+once AS (SELECT * FROM both_kinds QUALIFY row_number() OVER (PARTITION BY case_control_group_id, machine_key ORDER BY class, control_number) = 1)
+SELECT case_control_group_id, machine_key, window_start, window_end, negative_sampling_type, row_number() OVER (PARTITION BY case_control_group_id ORDER BY class, control_number, machine_key) AS control_number_within_group
+FROM once QUALIFY control_number_within_group <= 3""",
+)
 def _(t):
     fleet = _fleet(t).where("split is not null")
     random = ch.random_controls(_good(t), fleet, _eligible(t), 3, spare=3)
@@ -388,21 +425,21 @@ def _(t):
     return ch.controlled_ratio_pool(cases, fleet, _claims(t), _end(t), 2).select("case_control_group_id", "machine_key", "split", "target", "control_rank")
 
 
-_HROWS = f"SELECT model_id AS machine_key, CASE WHEN CAST(right(model_id, 1) AS INT) % 2 = 0 THEN 'validation' ELSE 'test' END AS split, days_to_next_claim_on_or_after_window_end AS d FROM ({NEXT_SQL}) AS n WHERE snapshot_date = DATE '1999-12-06'"
+_HROWS = f"SELECT model_id AS machine_key, CASE WHEN CAST(right(model_id, 1) AS INT) % 2 = 0 THEN 'validation' ELSE 'test' END AS split, days_to_next_claim_on_or_after_window_end AS d, snapshot_date FROM ({NEXT_SQL}) AS n"
 
 
 @query(
     "horizon_ratio_cohorts", "H13",
-    f"""WITH r AS (SELECT machine_key, split, h AS horizon, CAST(coalesce(d BETWEEN 0 AND h, FALSE) AS INT) AS target FROM ({_HROWS}) AS x, (VALUES (30), (90)) AS q(h)),
-k AS (SELECT *, row_number() OVER (PARTITION BY split, horizon, target ORDER BY {_H("'horizon_specific_random|' || split || '|' || cast(horizon as string) || '|' || machine_key")}, machine_key) AS rank FROM r),
-c AS (SELECT split, horizon, least(sum(target), floor(sum(1 - target) / 3.0)) AS take FROM r GROUP BY 1, 2)
-SELECT k.machine_key, k.split, k.horizon, ratio, target, rank FROM k JOIN c ON c.split = k.split AND c.horizon = k.horizon, (VALUES (1), (3)) AS z(ratio) WHERE (target = 1 AND rank <= take) OR (target = 0 AND rank <= take * ratio)""",
+    f"""WITH r AS (SELECT snapshot_date, machine_key, split, h AS horizon, CAST(coalesce(d BETWEEN 0 AND h, FALSE) AS INT) AS target FROM ({_HROWS}) AS x, (VALUES (30), (90)) AS q(h)),
+k AS (SELECT *, row_number() OVER (PARTITION BY snapshot_date, split, horizon, target ORDER BY {_H("'horizon_specific_random|' || split || '|' || cast(horizon as string) || '|' || machine_key")}, machine_key) AS rank FROM r),
+c AS (SELECT snapshot_date, split, horizon, least(sum(target), floor(sum(1 - target) / 3.0)) AS take FROM r GROUP BY 1, 2, 3)
+SELECT k.snapshot_date, k.machine_key, k.split, k.horizon, ratio, target, rank FROM k JOIN c ON c.snapshot_date = k.snapshot_date AND c.split = k.split AND c.horizon = k.horizon, (VALUES (1), (3)) AS z(ratio) WHERE (target = 1 AND rank <= take) OR (target = 0 AND rank <= take * ratio)""",
 )
 def _(t):
-    rows = with_next(t).where("snapshot_date = date'1999-12-06'").selectExpr(
-        "model_id as machine_key", "if(cast(right(model_id, 1) as int) % 2 = 0, 'validation', 'test') as split", f"{lb.LEAD_DAYS} as d"
+    rows = with_next(t).selectExpr(
+        "snapshot_date", "model_id as machine_key", "if(cast(right(model_id, 1) as int) % 2 = 0, 'validation', 'test') as split", f"{lb.LEAD_DAYS} as d"
     )
-    return ch.horizon_ratio_cohorts(rows, "d", (30, 90), (1, 3))
+    return ch.horizon_ratio_cohorts(rows, "d", (30, 90), (1, 3), group=["snapshot_date"])
 
 
 _FEAS = f"""WITH cand AS (SELECT DISTINCT CAST(claim_date - CAST(i AS INT) AS DATE) AS a FROM ({_CLAIMS}) AS k, range(0, {_LEAD_MIN + 1}) AS g(i) WHERE claim_date - CAST(i AS INT) BETWEEN DATE '1995-01-01' + {_DAYS} AND {_END} - 180),
@@ -421,24 +458,56 @@ def _(t):
     return _feasibility(t)
 
 
-@query(
-    "chosen_anchor", "H11",
-    f"""WITH q AS (SELECT *, least(positive_machines, floor((eligible_machines - positive_machines) / 2.0)) AS cap FROM ({_FEAS}) AS z WHERE split IN ('validation', 'test')), m AS (SELECT anchor_date, min(cap) AS c FROM q GROUP BY 1)
-SELECT anchor_date, c AS common_capacity FROM m ORDER BY CASE WHEN c >= 9 THEN 0 ELSE 1 END, CASE WHEN c >= 9 THEN 0 ELSE -c END, {_H("'s|' || cast(anchor_date as string) || '|as_of_anchor_date'")} LIMIT 1""",
-)
+_CHOSEN = f"""WITH q AS (SELECT *, least(positive_machines, floor((eligible_machines - positive_machines) / 2.0)) AS cap FROM ({_FEAS}) AS z WHERE split IN ('validation', 'test')), m AS (SELECT anchor_date, min(cap) AS c FROM q GROUP BY 1)
+SELECT anchor_date, c AS common_capacity FROM m ORDER BY CASE WHEN c >= 9 THEN 0 ELSE 1 END, CASE WHEN c >= 9 THEN 0 ELSE -c END, {_H("'s|' || cast(anchor_date as string) || '|as_of_anchor_date'")} LIMIT 1"""
+
+
+def _chosen(t):
+    return cut_lineage(ch.pick_anchor(_feasibility(t), ["validation", "test"], 9, 42, "s"))
+
+
+@query("chosen_anchor", "H11", _CHOSEN)
 def _(t):
-    return ch.pick_anchor(_feasibility(t), ["validation", "test"], 9, 42, "s")
+    return _chosen(t)
+
+
+def _spaced_sql(name: str, pool: str, count: int, gap: int) -> str:
+    """CTEs ``name_0`` ...: one date after the other, nearest to even positions, then the first others that fit."""
+    picks = [f"{name}_{k}" for k in range(2 * count)]
+    parts = [f"{name}_p AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS i, count(*) OVER () AS n FROM ({pool}) AS x)"]
+    for k, pick in enumerate(picks):
+        far = "".join(f" AND NOT EXISTS (SELECT 1 FROM {p} AS q WHERE abs(p.d - q.d) < {gap})" for p in picks[:k])
+        if k < count:
+            parts.append(f"{pick} AS (SELECT d FROM {name}_p AS p WHERE {k} < n{far} ORDER BY abs(i - (n - 1) * {k} / greatest(least({count}, n) - 1, 1)), d LIMIT 1)")
+        else:
+            have = " + ".join(f"(SELECT count(*) FROM {p})" for p in picks[:k])
+            parts.append(f"{pick} AS (SELECT d FROM {name}_p AS p WHERE {have} < {count}{far} ORDER BY d LIMIT 1)")
+    return ",\n".join([*parts, f"{name} AS ({' UNION ALL '.join(f'SELECT d FROM {p}' for p in picks)})"])
+
+
+_GAP, _LEAST_FLEET, _LEAST_POSITIVES = 60, 50, 3
+_ANCHORS = f"""WITH ok AS (SELECT split, anchor_date AS d FROM ({_FEAS}) AS z WHERE split IN ('validation', 'test') AND eligible_machines >= {_LEAST_FLEET} AND positive_machines >= {_LEAST_POSITIVES} AND eligible_machines - positive_machines >= 1),
+border AS (SELECT list_sort(list(DISTINCT d))[CAST(floor((count(DISTINCT d) - 1) * 0.7::DOUBLE) AS INT) + 1] AS b FROM ok),
+{_spaced_sql("v", "SELECT d FROM ok, border WHERE split = 'validation' AND (d <= b OR NOT EXISTS (SELECT 1 FROM ok, border WHERE split = 'validation' AND d <= b))", 3, _GAP)},
+latest AS (SELECT coalesce((SELECT max(d) FROM v), b) AS l, b FROM border),
+late AS (SELECT d, CASE WHEN d - l >= 30 AND d > b THEN 1 WHEN d > l THEN 2 ELSE 3 END AS class FROM ok, latest WHERE split = 'test'),
+{_spaced_sql("w", "SELECT d FROM late WHERE class = 1 OR NOT EXISTS (SELECT 1 FROM late WHERE class = 1) AND (class = 2 OR NOT EXISTS (SELECT 1 FROM late WHERE class = 2))", 2, _GAP)}
+SELECT 'validation' AS split, d FROM v UNION ALL SELECT 'test', d FROM w"""
+_FLEET_AT_SQL = lambda anchors: f"""SELECT f.machine_key, f.split, a.d AS anchor_date, CAST(a.d - {_DAYS} AS DATE) AS window_start, (SELECT min(claim_date) FROM ({_CLAIMS}) AS k WHERE k.machine_key = f.machine_key AND k.claim_date >= a.d) AS next_claim_date
+FROM ({_FLEET}) AS f JOIN ({anchors}) AS a ON a.split = f.split WHERE f.split IN ('validation', 'test') AND f.first_source_date <= a.d AND f.last_source_date >= a.d - {_DAYS}"""
+_FLEET_AT = _FLEET_AT_SQL(_ANCHORS)
+
 
+def _anchors(t):
+    return cut_lineage(ch.fleet_anchor_dates(_feasibility(t), {"validation": 3, "test": 2}, _GAP, _LEAST_FLEET, _LEAST_POSITIVES))
 
-_ANCHORS = ["1997-05-05", "1999-02-10"]
-_FLEET_AT = f"""SELECT f.machine_key, f.split, a.d AS anchor_date, CAST(a.d - {_DAYS} AS DATE) AS window_start, (SELECT min(claim_date) FROM ({_CLAIMS}) AS k WHERE k.machine_key = f.machine_key AND k.claim_date >= a.d) AS next_claim_date
-FROM ({_FLEET}) AS f, (VALUES (DATE '{_ANCHORS[0]}'), (DATE '{_ANCHORS[1]}')) AS a(d) WHERE f.split IN ('validation', 'test') AND f.first_source_date <= a.d AND f.last_source_date >= a.d - {_DAYS}"""
+
+def _holdout_fleet(t):
+    return _fleet(t).where("split in ('validation', 'test')").drop("full_model")
 
 
 def _fleet_at(t):
-    fleet = _fleet(t).where("split in ('validation', 'test')").drop("full_model")
-    anchors = fleet.select("split").distinct().withColumn("anchor_date", F.explode(F.array(*[F.lit(a).cast("date") for a in _ANCHORS])))
-    return ch.fleet_at_anchors(fleet, _claims(t), anchors, _DAYS, 90)
+    return ch.fleet_at_anchors(_holdout_fleet(t), _claims(t), _anchors(t), _DAYS, 90)
 
 
 @query(
@@ -451,14 +520,15 @@ def _(t):
 
 @query(
     "anchor_ratio_pool", "H11",
-    f"""WITH x AS (SELECT *, CAST(coalesce(next_claim_date <= anchor_date + 90, FALSE) AS INT) AS target FROM ({_FLEET_AT}) AS y WHERE anchor_date = DATE '{_ANCHORS[0]}'),
+    f"""WITH x AS (SELECT *, CAST(coalesce(next_claim_date <= anchor_date + 90, FALSE) AS INT) AS target FROM ({_FLEET_AT_SQL(f"SELECT split, anchor_date AS d FROM ({_CHOSEN}) AS c, (VALUES ('validation'), ('test')) AS s(split)")}) AS y),
 k AS (SELECT *, row_number() OVER (PARTITION BY split, target ORDER BY {_H("'s|' || cast(anchor_date as string) || '|' || split || '|' || cast(machine_key as string) || '|' || CASE target WHEN 1 THEN 'as_of_positive' ELSE 'as_of_negative' END")}, machine_key) AS rk FROM x),
 c AS (SELECT split, least(sum(target), floor(sum(1 - target) / 2.0)) AS take FROM x GROUP BY 1)
-SELECT k.split, machine_key, target, CASE WHEN target = 1 THEN rk END AS positive_rank, CASE WHEN target = 0 THEN rk END AS negative_rank FROM k JOIN c ON c.split = k.split WHERE rk <= CASE WHEN target = 1 THEN take ELSE take * 2 END""",
+SELECT k.split, machine_key, anchor_date, target, CASE WHEN target = 1 THEN rk END AS positive_rank, CASE WHEN target = 0 THEN rk END AS negative_rank FROM k JOIN c ON c.split = k.split WHERE rk <= CASE WHEN target = 1 THEN take ELSE take * 2 END""",
 )
 def _(t):
-    fleet = _fleet_at(t).where(F.col("anchor_date") == _ANCHORS[0])
-    return ch.anchor_ratio_pool(fleet, 2, 42, "s").select("split", "machine_key", "target", "positive_rank", "negative_rank")
+    anchors = _chosen(t).select("anchor_date", F.explode(F.array(F.lit("validation"), F.lit("test"))).alias("split"))
+    fleet = ch.fleet_at_anchors(_holdout_fleet(t), _claims(t), anchors, _DAYS, 90)
+    return ch.anchor_ratio_pool(fleet, 2, 42, "s").select("split", "machine_key", "anchor_date", "target", "positive_rank", "negative_rank")
 
 
 @query(
@@ -470,26 +540,23 @@ def _(t):
     return ch.capped_fleet(_fleet_at(t), 150).select("machine_key", "split", "anchor_date", "target")
 
 
-@query("multi_anchor_fleet", "H14 C20")
+@query(
+    "multi_anchor_fleet", "H14 C20",
+    f"SELECT split, anchor_date, count(*) AS machines, CAST(sum(CAST(coalesce(next_claim_date <= anchor_date + 90, FALSE) AS INT)) AS BIGINT) AS positives FROM ({_FLEET_AT}) AS x GROUP BY 1, 2",
+)
 def _(t):
-    dates = ch.fleet_anchor_dates(_feasibility(t), {"validation": 3, "test": 2}, 60, 50, 3)
-    rows = [(s, d) for s, days in dates.items() for d in days]
-    fleet = _fleet(t).where("split in ('validation', 'test')").drop("full_model")
-    anchors = fleet.sparkSession.createDataFrame(rows, "split string, anchor_date date")
-    return ch.fleet_at_anchors(fleet, _claims(t), anchors, _DAYS, 90).groupBy("split", "anchor_date").agg(
-        F.count(F.lit(1)).alias("machines"), F.sum("target").alias("positives")
-    )
+    return _fleet_at(t).groupBy("split", "anchor_date").agg(F.count(F.lit(1)).alias("machines"), F.sum("target").alias("positives"))
 
 
-@query(
-    "negative_candidates", "H16",
-    f"""WITH w AS (SELECT d.machine_key, f.split, d.window_end, CAST(d.window_end - {_DAYS} AS DATE) AS window_start, (SELECT min(claim_date) FROM ({_CLAIMS}) AS k WHERE k.machine_key = d.machine_key AND k.claim_date >= d.window_end) AS nx
+_NEGATIVES = f"""WITH w AS (SELECT d.machine_key, f.split, d.window_end, CAST(d.window_end - {_DAYS} AS DATE) AS window_start, (SELECT min(claim_date) FROM ({_CLAIMS}) AS k WHERE k.machine_key = d.machine_key AND k.claim_date >= d.window_end) AS nx
  FROM ({_DATES}) AS d JOIN ({_FLEET}) AS f ON f.machine_key = d.machine_key WHERE f.split IN ('validation', 'test') AND f.first_source_date <= d.window_end AND f.last_source_date >= d.window_end - {_DAYS}
  AND NOT EXISTS (SELECT 1 FROM ({_CLAIMS}) AS k WHERE k.machine_key = d.machine_key AND k.claim_date BETWEEN d.window_end - {_DAYS} - 30 AND d.window_end + {_LEAD_MIN})),
 t AS (SELECT *, date_diff('day', window_end, nx) AS away FROM w), y AS (SELECT *, 'delayed_claim_negative' AS negative_case_type, CASE {' '.join(f"WHEN away <= {hi} THEN '{lo + 1}-{hi}d'" for lo, hi in ch.lead_bins(_LEAD_MIN, 180, 60))} END AS lead_bin FROM t WHERE away <= 180
  UNION ALL SELECT *, 'strict_negative', 'no_claim_within_strict_window' FROM t WHERE window_end + 180 <= {_END} AND (away IS NULL OR away > 180))
-SELECT machine_key, split, window_start, window_end, negative_case_type, lead_bin FROM y QUALIFY row_number() OVER (PARTITION BY split, negative_case_type, lead_bin, machine_key ORDER BY {_H("'42|' || cast(machine_key as string) || '|' || negative_case_type || '|' || lead_bin || '|' || cast(window_end as string)")}) = 1""",
-)
+SELECT machine_key, split, window_start, window_end, negative_case_type, lead_bin FROM y QUALIFY row_number() OVER (PARTITION BY split, negative_case_type, lead_bin, machine_key ORDER BY {_H("'42|' || cast(machine_key as string) || '|' || negative_case_type || '|' || lead_bin || '|' || cast(window_end as string)")}) = 1"""
+
+
+@query("negative_candidates", "H16", _NEGATIVES)
 def _(t):
     return _negatives(t).select("machine_key", "split", "window_start", "window_end", "negative_case_type", "lead_bin")
 
@@ -499,6 +566,23 @@ def _negatives(t):
     return ch.negative_candidates(ch.activity_dates(_operation(t), []), fleet, _claims(t), _end(t), _DAYS, _LEAD_MIN, 180, 60)
 
 
-@query("balanced_negatives", "H16")
+def _balanced_sql(requested: int) -> str:
+    """CTEs that take one lead bin after the other, then the fill and the strict ones, each without the entities before."""
+    bins = sorted(f"{lo + 1}-{hi}d" for lo, hi in ch.lead_bins(_LEAD_MIN, 180, 60))
+    steps = [(f"negative_case_type = 'delayed_claim_negative' AND lead_bin = '{name}'", f"delayed|{name}", str(requested // len(bins) + (i < requested % len(bins)))) for i, name in enumerate(bins)]
+    steps.append(("negative_case_type = 'delayed_claim_negative'", "delayed_fill", None))
+    steps.append(("negative_case_type = 'strict_negative'", "strict", str(requested)))
+    parts, taken = [f"cand AS ({_NEGATIVES})"], []
+    for i, (where, tag, quota) in enumerate(steps):
+        before = "".join(f" AND NOT EXISTS (SELECT 1 FROM s{k} WHERE s{k}.split = c.split AND s{k}.machine_key = c.machine_key)" for k in taken)
+        digest = _H(f"'42|{tag}|' || cast(machine_key as string) || '|' || cast(window_end as string)")
+        have = " + ".join(f"(SELECT count(*) FROM s{k} WHERE s{k}.split = o.split)" for k in taken)
+        parts.append(f"""s{i} AS (SELECT * EXCLUDE (h) FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY h, machine_key) AS rk FROM (
+SELECT *, {digest} AS h FROM cand c WHERE {where}{before} QUALIFY row_number() OVER (PARTITION BY split, machine_key ORDER BY h, lead_bin) = 1) AS one) AS o WHERE rk <= {quota or f'{requested} - ({have})'})""")
+        taken.append(i)
+    return f"WITH {', '.join(parts)} " + " UNION ALL ".join(f"SELECT machine_key, split, negative_case_type, lead_bin FROM s{k}" for k in taken)
+
+
+@query("balanced_negatives", "H16", _balanced_sql(40))
 def _(t):
     return ch.balanced_negatives(_negatives(t), 40).select("machine_key", "split", "negative_case_type", "lead_bin")

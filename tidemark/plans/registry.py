@@ -23,11 +23,15 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(name: str, covers: str, sql: str | None = None):
-    """Register ``build(t)``; ``t(name)`` loads a table of the data folder."""
+    """Register ``build(t)``; ``t(name)`` loads a table of the data folder ``t.folder`` in the session ``t.spark``."""
 
     def wrap(build):
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return build(lambda name: table(spark, folder, name))
+            def t(name: str) -> DataFrame:
+                return table(spark, folder, name)
+
+            t.spark, t.folder = spark, folder
+            return build(t)
 
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from tidemark.sources.standardize import FLUID_MEASURES
+
 _K_SPARK = "cast(get_json_object(props, '$.k') as bigint)"
 _K_SQL = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
 
@@ -130,6 +132,21 @@ RAW_FLUID = {
     "Gly_Glycol_PERCENT": "case when l_partkey % 9 = 0 then l_quantity + 20 else null end",
     "Fuel_Fuel_PERCENT": "case when l_partkey % 8 = 0 then l_tax * 40 else null end",
 }
+# the other measures, each known on another part of the samples
+RAW_FLUID |= {m: f"case when l_partkey % {i + 2} = 0 then l_quantity * {i + 1} else null end" for i, m in enumerate(FLUID_MEASURES) if m not in RAW_FLUID}
+
+# One fleet for all sources: events and samples of the order entities. The events are laid
+# back over the years of the orders (``fleet_ts``).
+_F_MODEL, _F_SERIAL = "'CX-' || cast(user_id % 4 as string)", "cast(10000 + user_id as string)"
+FLEET_FAULT = RAW_FAULT | {
+    "machine_id": f"case when user_id % 7 = 0 then {_F_MODEL} || '-' || {_F_SERIAL} else {_F_MODEL} || ' ' || {_F_SERIAL} end",
+    "full_model": _F_MODEL, "serial_number": _F_SERIAL, "event_time": "fleet_ts", "event_date": "cast(fleet_ts as date)",
+}
+FLEET_MAINTENANCE = RAW_MAINTENANCE | {
+    "machine_id": f"{_F_MODEL} || ' ' || {_F_SERIAL}", "full_model": _F_MODEL, "SERIAL": _F_SERIAL,
+    "event_time": "fleet_ts", "event_date": "cast(fleet_ts as date)",
+}
+FLEET_FLUID = RAW_FLUID | {"machine_id": _C_ID, "FULL_MODEL": _C_MODEL, "SERIAL": _C_SERIAL}
 
 _EVENT_ROW = "SELECT *, {k} AS k FROM events"
 _ORDER_LINE = "SELECT * FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
@@ -145,11 +162,15 @@ def _frame(role: dict[str, str], df: DataFrame) -> DataFrame:
 
 
 _EVENTS_SQL = "SELECT *, " + _K_SQL + " AS k FROM events"
+_FLEET_EVENTS_SQL = f"SELECT *, {_K_SQL} AS k, ts - to_days(CAST(8036 + event_id % 60 * 36 AS INTEGER)) AS fleet_ts FROM events"
 RAW_FAULT_SQL = _sql(RAW_FAULT, _EVENTS_SQL)
 RAW_MAINTENANCE_SQL = _sql(RAW_MAINTENANCE, _EVENTS_SQL)
 RAW_OPERATION_SQL = _sql(RAW_OPERATION, _ORDER_LINE)
 RAW_CLAIM_SQL = _sql(RAW_CLAIM, "SELECT * FROM orders")
 RAW_FLUID_SQL = _sql(RAW_FLUID, "SELECT * FROM lineitem")
+FLEET_FAULT_SQL = _sql(FLEET_FAULT, _FLEET_EVENTS_SQL)
+FLEET_MAINTENANCE_SQL = _sql(FLEET_MAINTENANCE, _FLEET_EVENTS_SQL)
+FLEET_FLUID_SQL = _sql(FLEET_FLUID, _ORDER_LINE)
 
 
 def _events(t) -> DataFrame:
@@ -164,9 +185,29 @@ def raw_maintenance(t) -> DataFrame:
     return _frame(RAW_MAINTENANCE, _events(t))
 
 
-def raw_operation(t) -> DataFrame:
+def _order_lines(t) -> DataFrame:
     lines, orders = t("lineitem"), t("orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    return _frame(RAW_OPERATION, lines.join(orders, lines.l_orderkey == orders.o_orderkey))
+    return lines.join(orders, lines.l_orderkey == orders.o_orderkey)
+
+
+def _fleet_events(t) -> DataFrame:
+    return _events(t).selectExpr("*", "ts - make_dt_interval(cast(8036 + event_id % 60 * 36 as int)) as fleet_ts")
+
+
+def fleet_fault(t) -> DataFrame:
+    return _frame(FLEET_FAULT, _fleet_events(t))
+
+
+def fleet_maintenance(t) -> DataFrame:
+    return _frame(FLEET_MAINTENANCE, _fleet_events(t))
+
+
+def fleet_fluid(t) -> DataFrame:
+    return _frame(FLEET_FLUID, _order_lines(t))
+
+
+def raw_operation(t) -> DataFrame:
+    return _frame(RAW_OPERATION, _order_lines(t))
 
 
 def raw_claim(t) -> DataFrame:
@@ -187,12 +228,12 @@ FROM (SELECT DISTINCT user_id FROM events) AS u,
 ORDER_SPINE_SQL = f"""
 SELECT DISTINCT {_C_ID} AS model_id, {_C_MODEL} AS full_model, CAST(d AS DATE) AS snapshot_date
 FROM (SELECT DISTINCT o_custkey FROM orders) AS u,
-     generate_series(TIMESTAMP '1995-04-01', TIMESTAMP '2001-07-01', INTERVAL 90 DAY) AS g(d)"""
+     generate_series(TIMESTAMP '1995-04-01', TIMESTAMP '2001-12-31', INTERVAL 90 DAY) AS g(d)"""
 SAMPLE_SPINE_SQL = """
 SELECT DISTINCT 'SX-' || cast(l_suppkey % 3 as string) || ' ' || cast(500 + l_suppkey as string) AS model_id,
        CAST(d AS DATE) AS snapshot_date
 FROM (SELECT DISTINCT l_suppkey FROM lineitem) AS u,
-     generate_series(TIMESTAMP '1995-04-01', TIMESTAMP '2001-10-01', INTERVAL 45 DAY) AS g(d)"""
+     generate_series(TIMESTAMP '1995-04-01', TIMESTAMP '2001-12-31', INTERVAL 45 DAY) AS g(d)"""
 
 
 def _spine(entities: DataFrame, first: str, last: str, step: int) -> DataFrame:
@@ -207,9 +248,9 @@ def event_spine(t) -> DataFrame:
 
 def order_spine(t) -> DataFrame:
     users = t("orders").selectExpr(f"{_C_ID} as model_id", f"{_C_MODEL} as full_model")
-    return _spine(users, "1995-04-01", "2001-07-01", 90)
+    return _spine(users, "1995-04-01", "2001-12-31", 90)
 
 
 def sample_spine(t) -> DataFrame:
     suppliers = t("lineitem").selectExpr(f"{RAW_FLUID['machine_id']} as model_id")
-    return _spine(suppliers, "1995-04-01", "2001-10-01", 45)
+    return _spine(suppliers, "1995-04-01", "2001-12-31", 45)

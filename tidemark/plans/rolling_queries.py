@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import dash_key, pipe_key, safe_token
@@ -11,7 +14,8 @@ from tidemark.operators import windows as cw
 from tidemark.plans import roles
 from tidemark.plans.registry import query, round_sql, rounded
 from tidemark.plans.snapshot_queries import (
-    CLAIM_SQL, FLUID_SQL, MAINTENANCE_SQL, OPERATION_SQL, age_sql, count, n0, w,
+    CLAIM_FROZEN_SQL, CLAIM_SQL, FAULT_FROZEN_SQL, FLUID_FROZEN_SQL, FLUID_SQL, MAINTENANCE_FROZEN_SQL, MAINTENANCE_SQL,
+    OPERATION_FROZEN_SQL, OPERATION_SQL, age_sql, count, n0, w,
 )
 from tidemark.sources import standardize as std
 
@@ -126,7 +130,7 @@ FROM j"""
 def _(t):
     spine = roles.sample_spine(t)
     samples = std.standard_fluids(roles.raw_fluid(t))
-    return rounded(sf.carried_fluid_features(spine, std.graded_fluids(samples, "1995-01-01", "2026-12-31"), "sample_number", measures=_CARRIED))
+    return rounded(sf.carried_fluid_features(spine, std.graded_fluids(samples), "sample_number", measures=_CARRIED))
 
 
 @query(
@@ -189,7 +193,7 @@ def _(t):
 
 
 # ------------------------------------------------------------------ fixed segments and anchors
-_FIRST, _LAST = "1995-01-01", "2001-06-30"
+_FIRST, _LAST = "1995-01-01", "2001-12-31"
 _EFIRST, _ELAST = "2024-01-01", "2024-01-30"
 
 
@@ -361,48 +365,68 @@ _PLAN_VALUES = ", ".join(
 _SO_NAMES = [c for c in _SO if c != "operation_day_count"]
 
 
-@query(
-    "anchor_operation", "E29 C18",
-    round_sql(
-        f"""SELECT machine_key, anchor_date, period_start, {', '.join(f'{e} AS {n}' for n, e in _SO.items())} FROM (
-SELECT r.*, upper(full_model) || '|' || SERIAL AS machine_key, LOCAL_DATE AS event_day, p.anchor_date,
-  CAST(p.anchor_date - 90 AS DATE) AS period_start
-FROM ({roles.RAW_OPERATION_SQL}) AS r JOIN (VALUES {_PLAN_VALUES}) AS p(anchor_id, anchor_date)
-  ON LOCAL_DATE BETWEEN p.anchor_date - 90 AND p.anchor_date - 1) AS q GROUP BY 1, 2, 3""",
-        ["machine_key", "anchor_date", "period_start", "operation_day_count"], _SO_NAMES,
+# source -> twin of the raw rows, raw rows, model, serial and day columns, aggregates and which of them are whole numbers
+_FLEET = {
+    "fault": (roles.FLEET_FAULT_SQL, roles.fleet_fault, "full_model", "serial_number", "event_date", _SF, ["fault_event_count", "fault_active_days", "fault_unique_code_count", *_FC]),
+    "maintenance": (
+        roles.FLEET_MAINTENANCE_SQL, roles.fleet_maintenance, "full_model", "SERIAL", "event_date", _SM,
+        ["maint_event_count", "maint_active_days", "maint_unique_event_count", *_MC, "maint_unavailable_count", "maint_remaining_negative_count", "maint_remaining_zero_count"],
     ),
-)
-def _(t):
-    raw = roles.raw_operation(t)
-    key = pipe_key(F.col("full_model"), F.col("SERIAL"))
-    prepared = sg.prepare_events(raw, key, F.col("LOCAL_DATE"), _FIRST, "2001-12-31")
-    roster = prepared.select("machine_key").distinct()
-    return rounded(sg.anchor_features(sg.anchor_grid(roster, sg.anchor_plan(_FOLDS)), prepared, "operation"))
+    "fluid": (roles.FLEET_FLUID_SQL, roles.fleet_fluid, "FULL_MODEL", "SERIAL", "sample_drawn_date", _SL, _SL_WHOLE),
+    "operation": (roles.RAW_OPERATION_SQL, roles.raw_operation, "full_model", "SERIAL", "LOCAL_DATE", _SO, ["operation_day_count"]),
+}
 
 
-@query(
-    "segment_panel", "E30 C16 C17 J2",
-    round_sql(f"""WITH op AS (SELECT upper(full_model) || '|' || SERIAL AS machine_key, LOCAL_DATE AS d, engine_running_hours_clean AS e, smr_hours FROM ({roles.RAW_OPERATION_SQL}) AS r
- WHERE LOCAL_DATE BETWEEN DATE '{_FIRST}' AND DATE '{_LAST}'),
-grid AS (SELECT machine_key, CAST(g.p AS DATE) AS period_start FROM (SELECT DISTINCT machine_key FROM op) AS m,
- generate_series(TIMESTAMP '{_FIRST}', TIMESTAMP '{_LAST}' - INTERVAL 89 DAY, INTERVAL 90 DAY) AS g(p)),
-agg AS (SELECT machine_key, {_period_sql('d', _FIRST, 90)} AS period_start, count(DISTINCT d) AS n, sum(e) AS s, max(smr_hours) AS m FROM op GROUP BY 1, 2)
-SELECT g.machine_key, g.period_start, CAST(g.period_start + 89 AS DATE) AS period_end, 'Q' || quarter(g.period_start) AS segment_season,
- CAST(year(g.period_start) AS INT) AS segment_year, coalesce(n, 0) AS operation_day_count, coalesce(s, 0) AS operation_engine_running_hours_clean_sum,
- m AS operation_smr_max, CAST(a.machine_key IS NOT NULL AS INT) AS has_operation_data
-FROM grid g LEFT JOIN agg a USING (machine_key, period_start)""",
-        ["machine_key", "period_start", "period_end", "segment_season", "segment_year", "operation_day_count", "has_operation_data"],
-        ["operation_engine_running_hours_clean_sum", "operation_smr_max"]),
-)
-def _(t):
-    prepared = sg.prepare_events(
-        roles.raw_operation(t), pipe_key(F.col("full_model"), F.col("SERIAL")), F.col("LOCAL_DATE"), _FIRST, _LAST
+def _prepared(t, source: str):
+    _, raw, model, serial, day, _, _ = _FLEET[source]
+    return sg.prepare_events(raw(t), pipe_key(F.col(model), F.col(serial)), F.col(day), _FIRST, _LAST)
+
+
+def _anchor_query(source: str) -> None:
+    raw_sql, _, model, serial, day, aggs, whole = _FLEET[source]
+    sql = round_sql(
+        f"""SELECT machine_key, anchor_date, period_start, {', '.join(f'{e} AS {n}' for n, e in aggs.items())} FROM (
+SELECT r.*, upper({model}) || '|' || {serial} AS machine_key, {day} AS event_day, p.anchor_date, CAST(p.anchor_date - 90 AS DATE) AS period_start
+FROM ({raw_sql}) AS r JOIN (VALUES {_PLAN_VALUES}) AS p(anchor_id, anchor_date) ON {day} BETWEEN p.anchor_date - 90 AND p.anchor_date - 1) AS q GROUP BY 1, 2, 3""",
+        ["machine_key", "anchor_date", "period_start", *whole], [c for c in aggs if c not in whole],
     )
-    grid = sg.segment_grid(prepared.select("machine_key").distinct(), _FIRST, _LAST)
-    features = sg.segment_features(prepared, "operation").select(
-        "machine_key", "period_start", "operation_day_count", "operation_engine_running_hours_clean_sum", "operation_smr_max"
+
+    @query(f"anchor_{source}", "E29 C18", sql)
+    def _(t):
+        prepared = _prepared(t, source)
+        roster = prepared.select("machine_key").distinct()
+        return rounded(sg.anchor_features(sg.anchor_grid(roster, sg.anchor_plan(_FOLDS)), prepared, source))
+
+
+for _source in _FLEET:
+    _anchor_query(_source)
+
+
+def _panel_sql() -> str:
+    def part(source: str) -> str:
+        raw_sql, _, model, serial, day, aggs, whole = _FLEET[source]
+        return _segment_sql(raw_sql, f"upper({model}) || '|' || {serial}", day, _FIRST, _LAST, 90, aggs, whole)
+
+    keys = " UNION ".join(
+        f"SELECT upper({model}) || '|' || {serial} AS machine_key FROM ({raw}) AS r WHERE {day} BETWEEN DATE '{_FIRST}' AND DATE '{_LAST}'"
+        for raw, _, model, serial, day, _, _ in _FLEET.values()
     )
-    return rounded(sg.fill_count_like(sg.merge_source(grid, features, "operation", ["machine_key", "period_start"])))
+    filled = lambda c: f"coalesce({c}, 0) AS {c}" if c.endswith(("_count", "_sum")) else c
+    columns = [filled(c) for *_, aggs, _ in _FLEET.values() for c in aggs]
+    flags = [f"CAST({s}_part.machine_key IS NOT NULL AS INT) AS has_{s}_data" for s in _FLEET]
+    return f"""WITH grid AS (SELECT machine_key, CAST(g.p AS DATE) AS period_start FROM ({keys}) AS m, generate_series(TIMESTAMP '{_FIRST}', TIMESTAMP '{_LAST}' - INTERVAL 89 DAY, INTERVAL 90 DAY) AS g(p))
+SELECT grid.machine_key, grid.period_start, CAST(grid.period_start + 89 AS DATE) AS period_end, 'Q' || quarter(grid.period_start) AS segment_season, CAST(year(grid.period_start) AS INT) AS segment_year, {', '.join([*columns, *flags])}
+FROM grid {' '.join(f'LEFT JOIN ({part(s)}) AS {s}_part ON {s}_part.machine_key = grid.machine_key AND {s}_part.period_start = grid.period_start' for s in _FLEET)}"""
+
+
+@query("segment_panel", "E30 C16 C17 J2", _panel_sql())
+def _(t):
+    prepared = {s: _prepared(t, s) for s in _FLEET}
+    roster = reduce(DataFrame.unionByName, [p.select("machine_key") for p in prepared.values()]).distinct()
+    panel = sg.segment_grid(roster, _FIRST, _LAST)
+    for source, rows in prepared.items():
+        panel = sg.merge_source(panel, sg.segment_features(rows, source), source, ["machine_key", "period_start"])
+    return rounded(sg.fill_count_like(panel))
 
 
 # ------------------------------------------------------------------ case-control windows
@@ -449,11 +473,11 @@ def _(t):
 
 
 _EV_WINDOWS_SQL = f"""SELECT DISTINCT {roles._MODEL} || ' ' || {roles._SERIAL} AS machine_key, CAST(CAST(ts AS DATE) - 7 - CAST(user_id % 3 AS INT) AS DATE) AS window_start,
- CAST(CAST(ts AS DATE) - 2 AS DATE) AS window_end FROM events WHERE event_type = 'purchase'"""
+ CAST(CAST(ts AS DATE) - 2 AS DATE) AS window_end FROM events"""
 
 
 def _event_windows(t):
-    return t("events").where("event_type = 'purchase'").selectExpr(
+    return t("events").selectExpr(
         f"{roles._MODEL} || ' ' || {roles._SERIAL} as machine_key",
         "date_sub(cast(ts as date), cast(7 + user_id % 3 as int)) as window_start", "date_sub(cast(ts as date), 2) as window_end",
     ).distinct()
@@ -536,18 +560,30 @@ def _(t):
     return rounded(cw.fluid_window(windows, samples, "sample_number"))
 
 
+_WINDOW_SPINE = f"SELECT DISTINCT machine_key AS model_id, window_end AS snapshot_date FROM ({_WINDOWS_SQL}) AS w"
+_FROZEN = {
+    "f": FAULT_FROZEN_SQL.replace(roles.EVENT_SPINE_SQL, _WINDOW_SPINE).replace(roles.RAW_FAULT_SQL, roles.FLEET_FAULT_SQL),
+    "m": MAINTENANCE_FROZEN_SQL.replace(roles.EVENT_SPINE_SQL, _WINDOW_SPINE).replace(roles.RAW_MAINTENANCE_SQL, roles.FLEET_MAINTENANCE_SQL),
+    "o": OPERATION_FROZEN_SQL.replace(roles.ORDER_SPINE_SQL, _WINDOW_SPINE),
+    "l": FLUID_FROZEN_SQL.replace(roles.SAMPLE_SPINE_SQL, _WINDOW_SPINE).replace(roles.RAW_FLUID_SQL, roles.FLEET_FLUID_SQL),
+    "c": CLAIM_FROZEN_SQL.replace(roles.ORDER_SPINE_SQL, _WINDOW_SPINE),
+}
+
+
 @query(
     "frozen_case_windows", "E27",
-    f"""WITH win AS ({_WINDOWS_SQL}), c AS ({CLAIM_SQL}),
-agg AS (SELECT w.machine_key, w.window_start, w.window_end, count(*) AS n, min(date_diff('day', event_day, window_end)) AS r
- FROM win w JOIN c ON c.model_id = w.machine_key AND c.event_day < w.window_end AND c.event_day >= w.window_end - 365 GROUP BY 1, 2, 3),
-rec AS (SELECT w.machine_key, w.window_start, w.window_end, min(date_diff('day', event_day, window_end)) AS r
- FROM win w JOIN c ON c.model_id = w.machine_key AND c.event_day < w.window_end GROUP BY 1, 2, 3)
-SELECT win.machine_key, win.window_start, win.window_end, coalesce(n, 0) AS prior_claim_count_365d, rec.r AS days_since_last_claim
-FROM win LEFT JOIN agg USING (machine_key, window_start, window_end) LEFT JOIN rec USING (machine_key, window_start, window_end)""",
+    f"""SELECT w.machine_key, w.window_start, w.window_end, {', '.join(f'{n}.* EXCLUDE (model_id, snapshot_date)' for n in _FROZEN)} FROM ({_WINDOWS_SQL}) AS w
+{' '.join(f'JOIN ({sql}) AS {n} ON {n}.model_id = w.machine_key AND {n}.snapshot_date = w.window_end' for n, sql in _FROZEN.items())}""",
 )
 def _(t):
-    claims = std.standard_claims(roles.raw_claim(t))
-    return cw.frozen_window_features(
-        _windows(t), [lambda spine: sf.claim_frozen(spine, claims)]
-    ).select("machine_key", "window_start", "window_end", "prior_claim_count_365d", "days_since_last_claim")
+    windows = _windows(t)
+    known = windows.select(F.col("machine_key").alias("model_id")).distinct()
+    faults = std.keep_known(std.standard_faults(roles.fleet_fault(t), known), known)
+    maintenance = std.standard_maintenance(roles.fleet_maintenance(t))
+    days, samples, claims = std.standard_operation(roles.raw_operation(t)), std.standard_fluids(roles.fleet_fluid(t)), std.standard_claims(roles.raw_claim(t))
+    nine = lambda build: lambda spine: rounded(build(spine))
+    return cw.frozen_window_features(windows, [
+        nine(lambda spine: sf.fault_frozen(spine, faults)), nine(lambda spine: sf.maintenance_frozen(spine, maintenance)),
+        nine(lambda spine: sf.operation_frozen(spine, days)), nine(lambda spine: sf.fluid_frozen(spine, samples)),
+        lambda spine: rounded(sf.claim_frozen(spine, claims), 4),
+    ])

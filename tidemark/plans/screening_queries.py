@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import modeling as ml
 from tidemark.operators import screening as sc
+from tidemark.operators.metrics import auc_ap
 from tidemark.plans.registry import query, round_sql, rounded
+from tidemark.session import cut_lineage
 
 _FEATURES = {
     "quantity": "l_quantity", "price": "l_extendedprice / 1000e0", "discount": "case when l_partkey % 7 = 0 then null else l_discount end",
@@ -117,9 +119,9 @@ def _(t):
     return sc.drop_template(pruned, sc.review_pairs(pairs, pruned, 0.9, 0.98))
 
 
-_TESTED = ["quantity", "price", "discount", "tax", "shade"]
+_TESTED = _NAMES
 _LONG = _union(f"SELECT '{f}' AS feature, target, l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce({f}, 0) AS v FROM ({_ROWS}) AS r" for f in _TESTED)
-_ANOVA = f"""SELECT feature, ((q - t * t / nn) / (k - 1)) / (w / (nn - k)) AS f_score FROM (SELECT feature, sum(n) AS nn, count(*) AS k, sum(n * m) AS t, sum(n * m * m) AS q, sum(ss) AS w FROM (
+_ANOVA = f"""SELECT feature, ((q - t * t / nn) / (k - 1)) / nullif(w / (nn - k), 0) AS f_score FROM (SELECT feature, sum(n) AS nn, count(*) AS k, sum(n * m) AS t, sum(n * m * m) AS q, sum(ss) AS w FROM (
 SELECT feature, target, count(*) AS n, avg(v) AS m, var_pop(v) * count(*) AS ss FROM ({_LONG}) AS l GROUP BY 1, 2) AS p GROUP BY 1) AS s"""
 
 
@@ -149,16 +151,22 @@ def _(t):
     return rounded(sc.chi2_minmax(_rows(t), _TESTED, "target"), 6)
 
 
+# the twin has the scores only; the chances are tested against known values
+@query("target_tests", "S7 S9")
+def _(t):
+    return sc.target_tests(_rows(t), _TESTED, "target")
+
+
 @query(
     "feature_consensus", "S10 W9",
-    round_sql(f"""WITH a AS (SELECT feature, rank() OVER (ORDER BY f_score DESC NULLS LAST) AS rank_anova FROM ({_ANOVA}) AS x), c AS (SELECT feature, rank() OVER (ORDER BY chi2_score DESC NULLS LAST) AS rank_chi2 FROM ({_CHI}) AS x WHERE feature <> 'tax')
+    round_sql(f"""WITH a AS (SELECT feature, rank() OVER (ORDER BY f_score DESC NULLS LAST) AS rank_anova FROM ({_ANOVA}) AS x), c AS (SELECT feature, rank() OVER (ORDER BY chi2_score DESC NULLS LAST) AS rank_chi2 FROM ({_CHI}) AS x)
 SELECT *, rank() OVER (ORDER BY mean_rank) AS consensus_rank FROM (SELECT a.feature, rank_anova, rank_chi2, (rank_anova + coalesce(rank_chi2, 0)) / (1 + CAST(rank_chi2 IS NOT NULL AS INT)) AS mean_rank FROM a LEFT JOIN c ON c.feature = a.feature) AS m""",
               ["feature", "rank_anova", "rank_chi2", "consensus_rank"], ["mean_rank"]),
 )
 def _(t):
     rows = _rows(t)
     anova = sc.anova_f(rows, _TESTED, "target").withColumnRenamed("f_score", "score")
-    chi2 = sc.chi2_minmax(rows, _TESTED, "target").withColumnRenamed("chi2_score", "score").where("feature <> 'tax'")
+    chi2 = sc.chi2_minmax(rows, _TESTED, "target").withColumnRenamed("chi2_score", "score")
     return rounded(sc.consensus(anova.select("feature"), {"anova": anova, "chi2": chi2}))
 
 
@@ -186,19 +194,39 @@ def _(t):
 
 
 # ------------------------------------------------------------------ models (rows only)
-_MODEL_FEATURES = ["quantity", "price", "discount", "tax"]
+_MODEL_FEATURES, _MODEL_CATEGORIES = [n for n in _NAMES if n != "flat"], ["mode", "size"]
 _FOLDS = [("F1", "1998-06-01", "1999-03-01"), ("F2", "2000-01-01", "2000-09-01")]
 
 
-@query("out_of_fold_metrics", "S13 S15 S18 T2")
+def _model_rows(t):
+    rows = t("lineitem").selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "case when l_suppkey % 5 = 0 then null else 'M' || cast(l_suppkey % 4 as string) end as mode", "case when l_quantity > 25 then 'large' else 'small' end as size")
+    return _rows(t).join(rows, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+
+
+def _out_of_fold(t):
+    return ml.out_of_fold(_model_rows(t), "day", _FOLDS, _MODEL_FEATURES, "target", tuple(ml.CLASSIFIERS), categorical=_MODEL_CATEGORIES, weight=True, options=_SMALL_TREES)
+
+
+#: Sizes of the tree models in the queries.
+_SMALL_TREES = {"boosted_trees": {"maxIter": 10, "maxDepth": 4}, "random_forest": {"numTrees": 20, "maxDepth": 5}}
+
+
+@query("out_of_fold_metrics", "S13 S14 S15 S18 T2")
+def _(t):
+    return ml.fold_metrics(_out_of_fold(t), "target")
+
+
+@query("out_of_fold_summary", "S18")
 def _(t):
-    scores = ml.out_of_fold(_rows(t), "day", _FOLDS, _MODEL_FEATURES, "target", "logistic")
-    return ml.fold_metrics(scores, "target")
+    scores = cut_lineage(_out_of_fold(t).select("algorithm", "fold", "target", "raw_score", "calibrated_probability"))
+    pooled = auc_ap(scores, ["algorithm"], "raw_score", "target")
+    return ml.fold_summary(ml.fold_metrics(scores, "target"), pooled)
 
 
 @query("tuned_candidates", "S16")
 def _(t):
-    return ml.tune(_rows(t), "day", _FOLDS, _MODEL_FEATURES, "target", "random_forest", {"maxDepth": [3, 5]}, numTrees=10)
+    grids = {"logistic": {"regParam": [0.0, 0.01]}, "boosted_trees": {"maxDepth": [2, 4], "maxIter": [10]}, "random_forest": {"maxDepth": [3, 5], "numTrees": [20]}}
+    return ml.tune(_model_rows(t), "day", _FOLDS, _MODEL_FEATURES, "target", grids, categorical=_MODEL_CATEGORIES, weight=True)
 
 
 @query("permutation_importance", "S17")

@@ -10,10 +10,7 @@ from tidemark.plans import roles
 from tidemark.plans.registry import query, round_sql, rounded
 from tidemark.sources import standardize as std
 
-LATEST_MEASURES = (
-    "Cu_Copper_PPM", "Fe_Iron_PPM", "Pb_Lead_PPM", "Si_Silicon_PPM", "Soot_Soot_PERCENT",
-    "Water_Water_PERCENT", "Gly_Glycol_PERCENT", "Fuel_Fuel_PERCENT",
-)
+LATEST_MEASURES = std.FLUID_MEASURES
 
 
 def like_any(text: str, words) -> str:

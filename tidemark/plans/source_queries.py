@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import keys as k
@@ -9,6 +11,7 @@ from tidemark.functions import scalars as s
 from tidemark.functions.stats import wilson_high, wilson_low
 from tidemark.plans import roles
 from tidemark.plans.registry import query, round_sql, rounded
+from tidemark.session import ensure_checkpoint_dir
 from tidemark.sources import cleaning, readers, refresh
 from tidemark.sources import standardize as std
 
@@ -57,7 +60,8 @@ def _profile_sql() -> str:
     parts = [
         f"""SELECT '{c}' AS "column", '{kind}' AS dtype, count(*) AS row_count, count(*) - count({c}) AS missing_count,
  {f"count(*) FILTER (WHERE lower(trim({c})) IN ({_NULLS}))" if kind == 'string' else '0'} AS blank_or_null_string_count, count({c}) AS non_missing_count,
- count(DISTINCT {c}) AS unique_non_missing_count, min(CAST({c} AS VARCHAR)) AS smallest_value, max(CAST({c} AS VARCHAR)) AS largest_value FROM d"""
+ count(DISTINCT {c}) AS unique_non_missing_count, min(CAST({c} AS VARCHAR)) AS smallest_value, max(CAST({c} AS VARCHAR)) AS largest_value,
+ coalesce((SELECT string_agg(v, ' | ' ORDER BY v) FROM (SELECT DISTINCT CAST({c} AS VARCHAR) AS v FROM d WHERE {c} IS NOT NULL ORDER BY v LIMIT 3) AS e), '') AS example_values FROM d"""
         for c, kind in kinds.items()
     ]
     return f"""WITH d AS ({_DIRTY_SQL}) SELECT *, 'documents' AS dataset, 'raw' AS stage, round(missing_count / row_count * 100, 4) AS missing_pct
@@ -143,14 +147,13 @@ def _(t):
 
 @query(
     "source_profile", "A15",
-    f"""WITH c AS (SELECT machine_id, local_date AS d FROM ({roles.RAW_CLAIM_SQL}) AS r WHERE o_keep), o AS (SELECT machine_id, LOCAL_DATE AS d FROM ({roles.RAW_OPERATION_SQL}) AS r)
+    f"""WITH c AS (SELECT machine_id, local_date AS d FROM ({roles.RAW_CLAIM_SQL}) AS r), o AS (SELECT machine_id, LOCAL_DATE AS d FROM ({roles.RAW_OPERATION_SQL}) AS r)
 SELECT 'operation' AS source, count(*) AS rows, count(DISTINCT machine_id) AS entities, min(d) AS first_day, max(d) AS last_day,
  count(DISTINCT machine_id) FILTER (WHERE machine_id IN (SELECT machine_id FROM c)) AS entities_shared_with_target FROM o
-UNION ALL SELECT 'claims', count(*), count(DISTINCT machine_id), min(d), max(d), count(DISTINCT machine_id) FROM c""".replace(
-        " WHERE o_keep", " WHERE failure_smr > 480"),
+UNION ALL SELECT 'claims', count(*), count(DISTINCT machine_id), min(d), max(d), count(DISTINCT machine_id) FROM c""",
 )
 def _(t):
-    claims = roles.raw_claim(t).where("failure_smr > 480")
+    claims = roles.raw_claim(t)
     return refresh.source_profile(
         {"operation": (roles.raw_operation(t), "LOCAL_DATE"), "claims": (claims, "local_date")}, "machine_id", "claims"
     )
@@ -366,3 +369,49 @@ def _(t):
 )
 def _(t):
     return std.dated_rows(roles.raw_claim(t), "machine_id", "local_date", "1997-01-01", "1997-12-31").select("machine_id", "local_date", "claim_number")
+
+
+@query("first_existing_table", "A2", "SELECT o_orderkey, o_custkey FROM orders")
+def _(t):
+    # the first alias that the folder has
+    path = readers.first_existing_path(t.spark, t.folder, ["orders_current.parquet", "orders.parquet", "lineitem.parquet"])
+    return readers.read_any(t.spark, path).select("o_orderkey", "o_custkey")
+
+
+@query("unique_names", "A8", "SELECT n_nationkey AS key, n_name AS name, n_regionkey AS name_duplicate_2, n_comment AS unnamed_column FROM nation")
+def _(t):
+    raw = t("nation").select("n_nationkey", "n_name", "n_regionkey", "n_comment").toDF("key ", " name", "name", " ")
+    return raw.toDF(*cleaning.unique_column_names(raw.columns))
+
+
+@query("alias_columns", "B6", "SELECT o_orderkey, o_totalprice AS amount, o_orderpriority AS kind, CAST(NULL AS VARCHAR) AS part FROM orders")
+def _(t):
+    orders = t("orders")
+    pick = lambda *names: k.first_existing(orders, names)
+    return orders.select(
+        "o_orderkey", pick("claim_amount", "o_totalprice", "o_shippriority").alias("amount"), pick("o_orderpriority", "o_orderstatus").alias("kind"),
+        pick("part_number", "part").cast("string").alias("part"),
+    )
+
+
+_STATUSES = ("O", "F", "P", "o!", "1 st")
+
+
+def _token_sql() -> str:
+    taken: set[str] = set()
+    return ", ".join(f"count(*) FILTER (WHERE o_orderstatus = '{v}') AS {k.unique_token(v, taken)}" for v in _STATUSES)
+
+
+@query("token_columns", "B19", f"SELECT o_orderpriority, {_token_sql()} FROM orders GROUP BY 1")
+def _(t):
+    taken: set[str] = set()
+    counted = [F.count(F.when(F.col("o_orderstatus") == v, 1)).alias(k.unique_token(v, taken)) for v in _STATUSES]
+    return t("orders").groupBy("o_orderpriority").agg(*counted)
+
+
+@query("written_splits", "A16", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, CASE WHEN o_orderkey % 4 = 0 THEN 'test' ELSE 'train' END AS split FROM orders")
+def _(t):
+    rows = t("orders").selectExpr("o_orderkey", "cast(o_orderdate as date) as day", "case when o_orderkey % 4 = 0 then 'test' else 'train' end as split")
+    path = f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/written-splits-{uuid.uuid4().hex}"
+    readers.write_table(rows, path, "csv.gz", by=["split"])
+    return t.spark.read.option("header", True).schema("o_orderkey bigint, day date, split string").csv(path)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import NULL_LIKE, null_like_to_null
+from tidemark.operators.ordering import first_per_group
 
 
 def unique_column_names(columns: Sequence[object]) -> list[str]:
@@ -47,7 +48,8 @@ def profile(df: DataFrame, name: str, stage: str, examples: int = 3) -> DataFram
     """Per column: type, rows, missing, blank-like text, distinct values and examples.
 
     One pass counts everything but the distinct values, which are counted exactly over
-    (column, value) pairs reduced in the map tasks. The examples are the smallest values.
+    (column, value) pairs reduced in the map tasks. ``example_values`` are the ``examples`` smallest values as
+    text; every task keeps no more of a column than those.
     """
     types = dict(df.dtypes)
     entry = lambda c: F.struct(
@@ -69,6 +71,9 @@ def profile(df: DataFrame, name: str, stage: str, examples: int = 3) -> DataFram
         F.min("value").alias("smallest_value"),
         F.max("value").alias("largest_value"),
     )
+    shown = first_per_group(values.where(known).select("column", "value"), ["column"], [F.col("value").asc()], max(examples, 1))
+    shown = shown.groupBy("column").agg(F.array_join(F.array_sort(F.collect_list("value")), " | ").alias("example_values"))
+    out = out.join(shown, "column", "left").withColumn("example_values", F.coalesce("example_values", F.lit("")) if examples else F.lit(""))
     return out.select(
         F.lit(name).alias("dataset"), F.lit(stage).alias("stage"), "*",
         F.round(F.col("missing_count") / F.col("row_count") * 100, 4).alias("missing_pct"),

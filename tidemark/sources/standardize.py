@@ -306,8 +306,10 @@ def standard_fluids(raw: DataFrame, roster: DataFrame | None = None) -> DataFram
     )
 
 
-def graded_fluids(samples: DataFrame, first: str = "2015-01-01", last: str = "2026-12-31") -> DataFrame:
-    """Samples with known severity, abnormal flag and contaminant flag."""
+def graded_fluids(samples: DataFrame, first: str | None = None, last: str | None = None) -> DataFrame:
+    """Samples with known severity, abnormal flag and contaminant flag; ``first`` and ``last`` bound their days if given."""
+    day = F.col("event_day")
+    inside = (day >= F.lit(first).cast("date") if first else F.lit(True)) & (day <= F.lit(last).cast("date") if last else F.lit(True))
     raw = F.col("severity")
     known = F.when(raw.between(0, 4) & ~raw.isin(*UNKNOWN_SEVERITY), raw)
     abnormal = F.coalesce(known >= ABNORMAL_SEVERITY, F.lit(False))
@@ -317,7 +319,7 @@ def graded_fluids(samples: DataFrame, first: str = "2015-01-01", last: str = "20
     low, high = GLYCOL_NORMAL_RANGE
     glycol = F.col("Gly_Glycol_PERCENT")
     hit = hit | F.coalesce((glycol < low) | (glycol > high), F.lit(False))
-    return samples.where(F.col("event_day").between(first, last)).withColumns(
+    return samples.where(day.isNotNull() & inside).withColumns(
         {
             "severity_known": known,
             "is_abnormal": abnormal.cast("int"),
