@@ -1,0 +1,53 @@
+"""Every pipeline stage on nulls, empty and long texts, repeated rows, clashing columns and an empty table."""
+
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tests.llm import helpers as H
+
+FOLDER = "/root/testdata/sf0.001"
+PASSAGE = H.invented(80, 3)
+TEXTS = [None, "", " \n ", "one", H.invented(120, 1), H.invented(120, 1), PASSAGE + " " + H.invented(60, 5), H.invented(60, 6) + "\n" + PASSAGE, H.invented(5000, 7, 900)]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = H.documents(spark, TEXTS).unionByName(H.documents(spark, [TEXTS[4]], start=4)).unionByName(
+        H.documents(spark, [TEXTS[8], None]).withColumn("doc_id", F.lit(None).cast("long"))
+    )
+    clash = {c: F.lit(1) for c in ("score", "class_id", "version", "n_words", "spans", "contaminated", "length")}
+    return rows.withColumns(clash).repartition(3)
+
+
+def ids(df):
+    return sorted((r.doc_id for r in df.select("doc_id").collect()), key=lambda x: (x is None, x or 0))
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES[:-1])
+def test_stage_on_odd_rows(spark, odd, name, stage):
+    out = stage(spark, odd, FOLDER)
+    assert out.columns == corpus_pipeline.COLUMNS
+    got, given = ids(out), ids(odd)
+    assert set(got) <= set(given) and all(got.count(i) <= given.count(i) for i in set(got))
+    if name == "minhash_near_dedup":
+        # copies 4 and 5 keep the first, as one row; rows without an id stay
+        assert got.count(4) == 1 and 5 not in got and got.count(None) == 2
+    if name == "substring_dedup":
+        texts = {r.doc_id: r.text for r in out.collect() if r.doc_id is not None}
+        assert 5 not in texts and PASSAGE in texts[6] and PASSAGE not in texts[7] and got.count(4) == 2
+        assert all((r.text is None and r.n_chars == 0) or r.n_chars == len(r.text) for r in out.collect())
+    if name == "benchmark_decontamination":
+        assert got == given
+
+
+def test_packing_on_odd_rows(spark, odd):
+    placed = corpus_pipeline.pack_sequences(spark, odd, FOLDER).collect()
+    assert {r.doc_id for r in placed} <= {None, *range(len(TEXTS))} and {4, 5, 6, 7, 8} <= {r.doc_id for r in placed}
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stage_on_an_empty_table(spark, name, stage):
+    assert stage(spark, H.documents(spark, []), FOLDER).collect() == []
