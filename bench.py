@@ -19,7 +19,7 @@ HEADLINE = (
     "case_window_operation", "incremental_merge", "column_profile", "range_join_counts", "asof_backward_and_forward",
     "anti_range_windows", "claim_episodes", "next_events", "outcome_history", "stratified_entity_split", "matched_controls",
     "random_ratio_pool", "anchor_feasibility", "ranked_fleet", "auc_and_average_precision", "top_selections", "threshold_curve",
-    "ranking_bootstrap", "top_n_grid", "tier_policy", "feature_inventory", "mutual_information",
+    "ranking_bootstrap", "segment_panel", "controlled_ratio_pool", "correlation_pairs", "top_n_grid", "tier_policy", "feature_inventory", "mutual_information",
 )
 
 

@@ -149,9 +149,9 @@ class DailyPartials:
     """Partial aggregates of one source for all of ``specs``: one row per entity, day and counted value.
 
     The events are read once and combine inside the map tasks; every pass of ``window_features`` (bounded windows,
-    history, distinct values) reads the partials. A stored table is hash-partitioned and sorted by entity, so
-    sorted passes over an entity need no further shuffle. Days are kept by every day column that a spec names and
-    values by every expression that a spec counts, so a row stands for events that all passes treat alike.
+    history, distinct values) reads the partials, stored where there are several. Days are kept by every day column
+    that a spec names and values by every expression that a spec counts, so a row stands for events that all passes
+    treat alike.
     """
 
     def __init__(self, events: DataFrame, specs: Sequence[Feature], key: str = "model_id", day: str = "event_day", store: bool = True):
@@ -174,7 +174,7 @@ class DailyPartials:
         ).agg(*columns)
         self.single = len(days) == 1 and not values
         if store:
-            table = cut_lineage(table.repartition(F.col(key)).sortWithinPartitions(key, *self.days.values()))
+            table = cut_lineage(table)
         self.table = table
 
     def _merged(self, kind: str, ident: tuple) -> Column:
