@@ -378,9 +378,9 @@ def _(t):
     return readers.read_any(t.spark, path).select("o_orderkey", "o_custkey")
 
 
-@query("unique_names", "A8", "SELECT n_nationkey AS key, n_name AS name, n_regionkey AS name_duplicate_2, n_comment AS unnamed_column FROM nation")
+@query("unique_names", "A8", "SELECT n_nationkey AS key, n_name AS name, n_regionkey AS name_duplicate_2, n_nationkey + 1 AS unnamed_column FROM nation")
 def _(t):
-    raw = t("nation").select("n_nationkey", "n_name", "n_regionkey", "n_comment").toDF("key ", " name", "name", " ")
+    raw = t("nation").selectExpr("n_nationkey", "n_name", "n_regionkey", "n_nationkey + 1").toDF("key ", " name", "name", " ")
     return raw.toDF(*cleaning.unique_column_names(raw.columns))
 
 
@@ -394,7 +394,7 @@ def _(t):
     )
 
 
-_STATUSES = ("O", "F", "P", "o!", "1 st")
+_STATUSES = ("O", "F", "P", "f / p", "1 st", "1-st")
 
 
 def _token_sql() -> str:
