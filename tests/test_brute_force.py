@@ -321,7 +321,7 @@ def test_quantiles_of_many_columns(spark):
     }
     df = spark.createDataFrame(list(zip(*columns.values(), strict=True)), ", ".join(f"{n} double" for n in columns)).repartition(5)
     places = {"low": 0.0, "p25": 0.25, "mid": 0.5, "odd": 0.777, "top": 1.0}
-    for cells in (2, 64):
+    for cells in (64, 2048):
         ranks = values_at_ranks(df, {"a": [0, 5, 699], "b": [0, 300, 699], "c": [350], "d": []}, cells)
         for (c, k), (value, before) in ranks.items():
             assert value == sorted(columns[c])[k] and before == sum(x < value for x in columns[c])
