@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tests.llm import helpers as H
-from tidemark.llm import decontaminate, katz, licences, packing, queries, token_counts
+from tidemark.llm import katz, licences, packing, queries, token_counts
 
 NAMES = (
     "version", "block", "paragraph", "last", "start", "size", "line", "words", "numbers", "family", "probability", "n_tokens", "n_bytes", "n_known", "score",
@@ -34,13 +34,3 @@ def test_clashing_columns(spark):
     names = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     mine, theirs = (rows(katz.Model(d, held).scores(), names) for d in (clash, docs))
     assert [r[:4] for r in mine] == [r[:4] for r in theirs] and all(abs(a[5] - b[5]) < 1e-9 for a, b in zip(mine, theirs, strict=True))
-
-
-def test_proximity_matches_on_odd_rows(spark):
-    docs = H.documents(spark, [None, "", "alpha beta gamma", "gamma x beta y alpha", "alpha beta gamma"])
-    docs = docs.unionByName(H.documents(spark, ["alpha beta gamma"], start=4)).unionByName(H.documents(spark, ["gamma alpha beta"]).withColumn("doc_id", F.lit(None).cast("long")))
-    items = spark.createDataFrame([(1, "alpha beta gamma"), (2, None), (3, ""), (1, "alpha beta gamma")], "item_id long, text string")
-    found = [r.doc_id for r in decontaminate.proximity_matches(docs, items, slop=4).collect()]
-    assert set(found) == {None, 2, 3, 4}
-    empty = spark.createDataFrame([], "item_id long, text string")
-    assert decontaminate.proximity_matches(docs, empty).collect() == [] and decontaminate.proximity_matches(H.documents(spark, []), items).collect() == []
