@@ -194,3 +194,20 @@ def test_suffix_dedup_of_an_empty_table(spark):
 
 def test_registered_queries_have_twins():
     assert {"op11_ranked_search", "op12_prefix_trie", "op13_suffix_array"} <= set(queries.BUILDERS) & set(queries.SQL)
+
+
+@pytest.mark.parametrize("block_bytes", [2_000_000, 900])
+def test_suffix_dedup_of_passages_twice_under_one_id(spark, block_bytes):
+    # the passages of document 2 and 3 stand twice there, with more around them than the smaller document has
+    r = random.Random(3)
+    texts = [H.invented(30, k, 10**6) for k in range(12)]
+    rows = [(1, "".join(texts))]
+    for doc_id in (2, 3):
+        for k, t in enumerate(texts):
+            part = f"{r.random()} {t[r.randrange(20) : len(t) - r.randrange(20)]} {r.random()}"
+            rows.append((10 * k + doc_id, f"{part}{k}" * 2))
+            rows += [(10 * k + doc_id + 4, part)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = suffix_array.remove_repeated_bytes(df, block_bytes)
+    got = [(x.doc_id, x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in found.collect()]
+    assert sorted(got, key=key) == sorted(repeated_bytes(rows), key=key)
