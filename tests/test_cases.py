@@ -20,6 +20,8 @@ from tidemark.operators.features import Feature, latest_item_states, window_feat
 from tidemark.operators.ordering import exact_quantiles, ordered_scan
 from tidemark.operators.spine import anchor_manifest, complete_horizon, greedy_dates, require_unique, spaced_dates
 from tidemark.operators.splits import rolling_origin, split_quotas
+from tidemark.plans.catalog import QUERIES
+from tidemark.session import measured_joins
 from tidemark.sources.cleaning import unique_column_names
 from tidemark.sources.readers import parsed_day, require_columns
 from tidemark.sources.refresh import merge_refresh
@@ -309,3 +311,28 @@ def test_short_folds_stay_visible(spark):
     assert {(r.fold, r.anchor_date is None) for r in found} == {("long", False), ("short", True)}
     with pytest.raises(ValueError):
         rolling_origin(ev, "d", "2023-06-01", "2023-09-01")
+
+
+def test_no_join_broadcasts_a_side_by_its_estimate(spark, tmp_path, capsys):
+    days = "timestamp'1996-03-01' + make_dt_interval(cast(id % 400 as int))"
+    spark.range(300).selectExpr(
+        "id as o_orderkey", "id % 40 as o_custkey", "'O' as o_orderstatus", "id * 1.5D as o_totalprice", f"{days} as o_orderdate", "'1-URGENT' as o_orderpriority"
+    ).write.parquet(f"{tmp_path}/orders.parquet")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    found = QUERIES["claim_history_basic"].build(spark, str(tmp_path))
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    # 28 dates for each of the 40 machines; small sides are still broadcast once they are measured
+    assert found.count() == 40 * 28
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == threshold
+
+
+def test_query_session_keeps_the_callers_settings(spark):
+    names = ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions", "spark.sql.ansi.enabled")
+    other = spark.newSession()
+    other.conf.set("spark.sql.shuffle.partitions", "7")
+    other.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    session = measured_joins(other)
+    assert [session.conf.get(n) for n in names] == [other.conf.get(n) for n in names]
+    assert session.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold") == "-1"
