@@ -12,6 +12,8 @@ from tidemark.functions.stats import wilson_high, wilson_low
 from tidemark.operators import cohorts as ch
 from tidemark.operators import labels as lb
 from tidemark.operators import metrics as m
+from tidemark.operators import modeling as ml
+from tidemark.operators import ordering
 from tidemark.operators import screening as sc
 from tidemark.operators import source_features as sf
 from tidemark.operators import tiers as tr
@@ -21,7 +23,7 @@ from tidemark.operators.ordering import exact_quantiles, ordered_scan
 from tidemark.operators.spine import anchor_manifest, complete_horizon, greedy_dates, require_unique, spaced_dates
 from tidemark.operators.splits import rolling_origin, split_quotas
 from tidemark.plans.catalog import QUERIES
-from tidemark.session import measured_joins
+from tidemark.session import cut_lineage, measured_joins
 from tidemark.sources.cleaning import unique_column_names
 from tidemark.sources.readers import parsed_day, require_columns
 from tidemark.sources.refresh import merge_refresh
@@ -336,3 +338,19 @@ def test_query_session_keeps_the_callers_settings(spark):
     session = measured_joins(other)
     assert [session.conf.get(n) for n in names] == [other.conf.get(n) for n in names]
     assert session.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold") == "-1"
+
+
+def test_permutation_importance_scans_do_not_grow_with_repeats(spark, monkeypatch):
+    rows = spark.range(200).selectExpr("id", "cast(id % 2 as int) as target", "id % 2 + (id * 7 % 5) / 10D as useful", "(id * 13 % 11) / 11D as idle")
+    model = ml.fit(rows, ["useful", "idle"], "target")
+    stored, counts = [], []
+    for module in (ml, ordering):
+        monkeypatch.setattr(module, "cut_lineage", lambda df: stored.append(1) or cut_lineage(df))
+    for repeats in (2, 3):
+        found = {r.feature: r for r in ml.permutation_importance(model, rows, ["useful", "idle"], "target", ["id"], repeats).collect()}
+        counts.append(len(stored))
+        stored.clear()
+        assert found["useful"].importance_mean > 0.2 and abs(found["idle"].importance_mean) < 0.05
+    assert counts[0] == counts[1]
+    empty = ml.permutation_importance(model, rows.where("id < 0"), ["useful", "idle"], "target", ["id"], 2).collect()
+    assert sorted(tuple(r) for r in empty) == [("idle", None, None), ("useful", None, None)]
