@@ -13,9 +13,12 @@ from tidemark.operators import cohorts as ch
 from tidemark.operators import metrics as m
 from tidemark.operators import modeling as ml
 from tidemark.operators import screening as sc
+from tidemark.operators import segments as sg
 from tidemark.operators import splits as sp
 from tidemark.operators.ordering import column_quantiles, values_at_ranks
 from tidemark.operators.features import Feature, interval_features, window_features
+from tidemark.plans import cohort_queries
+from tidemark.plans.catalog import QUERIES
 from tidemark.sources import readers
 from tidemark.sources.refresh import key_digest
 from tidemark.streaming.refresh import known_rows, refresh_batch, start_refresh
@@ -207,6 +210,84 @@ def test_folds_are_prepared_once_for_all_models(spark, monkeypatch):
     assert len(calls) == len(folds) and tuned.count() == 8
 
 
+def counted(spark, df):
+    """``df`` and the number of its rows that have been computed."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    return df.mapInArrow(run, df.schema), seen
+
+
+def test_random_controls_compute_the_windows_once(spark):
+    cases = spark.createDataFrame([(f"g{i}", f"m{i}", "A", "test") for i in range(6)], "case_control_group_id string, machine_key string, full_model string, split string")
+    fleet = spark.createDataFrame([(f"m{i}", "A", "test") for i in range(12)], "machine_key string, full_model string, split string")
+    windows, seen = counted(spark, spark.createDataFrame([(f"m{i}", day(k), day(k + 60)) for i in range(12) for k in range(3)], "machine_key string, window_start date, window_end date"))
+    out = ch.random_controls(cases, fleet, windows, 2).collect()
+    assert len(out) == 12 and all(r.machine_key != r.case_machine_key for r in out) and seen.value == 36
+
+
+def test_ratio_pools_compute_their_rows_once(spark):
+    schema = "split string, machine_key string, window_start date, window_end date, `__hash` string"
+    rows = lambda n: spark.createDataFrame([("test", f"m{i:02d}", BASE, day(60), f"h{i:02d}") for i in range(n)], schema)
+    negatives, seen = counted(spark, rows(12))
+    pool = ch.joint_ratio_pool(rows(6), negatives, 2).collect()
+    # four positives leave eight of the twelve entities
+    assert Counter(r.target for r in pool) == {1: 4, 0: 8} and seen.value == 12
+    pool, seen = counted(spark, spark.createDataFrame([(r.split, r.machine_key, r.target, r.negative_rank) for r in pool], "split string, machine_key string, target int, negative_rank long"))
+    assert Counter((r.ratio, r.target) for r in ch.nested_ratios(pool, (1, 2)).collect()) == {(1, 1): 4, (1, 0): 4, (2, 1): 4, (2, 0): 8}
+    assert seen.value == 12
+    fleet, seen = counted(spark, spark.createDataFrame([("test", f"m{i}", BASE, day(-60), BASE, int(i < 3), i) for i in range(10)], "split string, machine_key string, anchor_date date, window_start date, window_end date, target int, days_to_next_claim int"))
+    assert Counter(r.target for r in ch.anchor_ratio_pool(fleet, 2).collect()) == {1: 3, 0: 6} and seen.value == 10
+
+
+def test_balanced_negatives_compute_the_candidates_once(spark):
+    rows = [(f"m{i}", "test", day(i), "delayed_claim_negative", f"b{i % 3}") for i in range(12)] + [(f"m{i}", "test", day(i + 100), "strict_negative", "none") for i in range(16)]
+    df, seen = counted(spark, spark.createDataFrame(rows, "machine_key string, split string, window_end date, negative_case_type string, lead_bin string"))
+    assert len(ch.balanced_negatives(df, 4).collect()) == 8 and seen.value == 28
+
+
+def test_fleet_and_cases_are_stored_once_for_a_query(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(i, "A") for i in range(10)], "c_custkey long, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    orders = [(i, i % 10, day(i * 9)) for i in range(60)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate date").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(k, d + dt.timedelta(days=20)) for k, _, d in orders], "l_orderkey long, l_shipdate date").write.parquet(f"{tmp_path}/lineitem.parquet")
+    calls, plain = [], cohort_queries._operation
+    monkeypatch.setattr(cohort_queries, "_operation", lambda t: calls.append(1) or plain(t))
+    out = QUERIES["mixed_controls"].build(spark, str(tmp_path))
+    # once for the coverage of the fleet, once for the activity dates
+    assert len(calls) == 2 and "machine_key" in out.columns
+    QUERIES["control_audit"].build(spark, str(tmp_path))
+    assert len(calls) == 3
+
+
+def test_segment_and_anchor_features_shuffle_events_once_and_only_those_inside(spark):
+    rows = [(f"k{i % 4}", day(i), float(i), i % 2) for i in range(300)] + [("far", day(280), 1.0, 1)]
+    raw = spark.createDataFrame(rows, "key string, d date, working_hours_clean double, travel_day_flag int")
+    first, last = BASE.isoformat(), day(299).isoformat()
+    prepared = sg.prepare_events(raw, F.col("key"), F.col("d"), first, last)
+    out = sg.segment_features(prepared, "operation")
+    assert {(r.machine_key, r.period_start): (r.operation_day_count, r.operation_working_hours_clean_sum) for r in out.collect()} == {
+        (f"k{k}", day(s)): (len(x), sum(x)) for k in range(4) for s in (0, 90, 180) if (x := [i for i in range(s, s + 90) if i % 4 == k])}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1
+    seen_rows, seen = [], sg.interval_features
+    def spy(windows, events, *a):
+        seen_rows.append(events.count())
+        return seen(windows, events, *a)
+    sg.interval_features = spy
+    try:
+        grid = sg.anchor_grid(raw.select(F.col("key").alias("machine_key")).distinct(), sg.anchor_plan([("F", first, last, [day(100).isoformat(), day(120).isoformat()])]))
+        found = {(r.machine_key, r.anchor_date): r.operation_day_count for r in sg.anchor_features(grid, prepared, "operation").collect()}
+    finally:
+        sg.interval_features = seen
+    assert found == {(f"k{k}", day(a)): len([i for i in range(a - 90, a) if i % 4 == k]) for k in range(4) for a in (100, 120)}
+    assert seen_rows == [110]
+
+
 def test_readers_and_sinks(spark, tmp_path):
     df = spark.createDataFrame([("1", "2020-01-02", "train"), ("2", "2020-02-03", "test")], "id string, d string, split string")
     for kind, ending in (("csv", "csv"), ("parquet", "parquet"), ("json", "json")):

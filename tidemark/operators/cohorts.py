@@ -294,7 +294,9 @@ def random_controls(
 
     The ring holds only entities with an eligible window, so one visit of
     ``count + spare + 1`` places is always enough (one of them may be the case itself).
+    The windows are read three times and stored once.
     """
+    windows = cut_lineage(windows.select(KEY, "window_start", "window_end"))
     with_window = candidates.join(windows.select(KEY).distinct(), KEY, "left_semi")
     placed = cut_lineage(ring(with_window, stratum, seed, "random"))
     start = _starts(cases.select("case_control_group_id", KEY, *stratum), placed, stratum, seed, "random")

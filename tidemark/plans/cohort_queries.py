@@ -240,7 +240,19 @@ def _operation(t):
     return t("lineitem").join(keys, F.col("l_orderkey") == F.col("o_orderkey")).select("machine_key", F.to_date("l_shipdate").alias("event_day"))
 
 
+def _once(t, name, build):
+    """Input that several steps of a query read: computed and stored once for each run."""
+    kept = t.__dict__.setdefault("kept", {})
+    if name not in kept:
+        kept[name] = cut_lineage(build(t))
+    return kept[name]
+
+
 def _fleet(t):
+    return _once(t, "fleet", _covered_fleet)
+
+
+def _covered_fleet(t):
     cover = source_coverage({"operation": (_operation(t), "event_day")}).select("machine_key", "first_source_date", "last_source_date")
     return t("customer").selectExpr(
         "c_custkey as machine_key", "c_mktsegment as full_model", "case c_custkey % 5 when 0 then 'test' when 1 then 'validation' when 2 then null else 'train' end as split"
@@ -263,6 +275,10 @@ def _cases(t):
 
 
 def _good(t):
+    return _once(t, "good", _selected_cases)
+
+
+def _selected_cases(t):
     return _cases(t).where("status = 'selected'").drop("first_source_date", "last_source_date")
 
 
