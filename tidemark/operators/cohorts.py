@@ -394,8 +394,10 @@ def joint_ratio_pool(positives: DataFrame, negatives: DataFrame, ratio: int) ->
 
     Both inputs have one row per (split, entity) and a ``__hash`` order. With the first p
     positives taken, the negatives left are all negatives minus those already positive; a
-    running count of that overlap gives every feasible p in one scan.
+    running count of that overlap gives every feasible p in one scan. The negatives are read
+    three times and stored once.
     """
+    negatives = cut_lineage(negatives.select("split", KEY, "window_start", "window_end", "__hash"))
     overlap = positives.join(negatives.select("split", KEY, F.lit(1).alias("__both")), ["split", KEY], "left")
     ranked = ordered_scan(
         overlap, ["split"], [F.col("__hash").asc(), F.col(KEY).asc()], number="positive_rank", size="__p",
@@ -497,7 +499,8 @@ def controlled_ratio_pool(
 
 
 def nested_ratios(pool: DataFrame, ratios: Sequence[int], group: Sequence[str] = ("split",)) -> DataFrame:
-    """Cohorts of 1:1, 2:1 and so on from one pool: same positives, nested negatives."""
+    """Cohorts of 1:1, 2:1 and so on from one pool, stored once: same positives, nested negatives."""
+    pool = cut_lineage(pool)
     sizes = pool.where("target = 1").groupBy(*group).agg(F.count(F.lit(1)).alias("__pos"))
     return (
         pool.join(sizes, list(group))
