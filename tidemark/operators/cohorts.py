@@ -619,7 +619,8 @@ def fleet_at_anchors(
 
 
 def anchor_ratio_pool(fleet: DataFrame, ratio: int, seed: int = 42, scope: str = "holdout") -> DataFrame:
-    """Hash-ranked positives and negatives of a fleet at the largest common ratio."""
+    """Hash-ranked positives and negatives of a fleet, stored once, at the largest common ratio."""
+    fleet = cut_lineage(fleet)
     kind = F.when(F.col("target") == 1, "as_of_positive").otherwise("as_of_negative")
     digest = stable_hash(
         seed, F.lit(f"{scope}|"), F.col("anchor_date"), F.lit("|"), F.col("split"), F.lit("|"), F.col(KEY), F.lit("|"), kind
