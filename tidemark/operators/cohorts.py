@@ -732,8 +732,10 @@ def balanced_negatives(candidates: DataFrame, requested: int, seed: int = 42) ->
     """``requested`` delayed negatives per split: equal bin quotas in turn, then a fill; then
     as many strict ones; an entity is used once.
 
-    Each step is an anti join on the entities used so far and a hash-ordered limit.
+    Each step is an anti join on the entities used so far and a hash-ordered limit. The
+    candidates are read in every step and stored once.
     """
+    candidates = cut_lineage(candidates)
     delayed = candidates.where("negative_case_type = 'delayed_claim_negative'")
     bins = sorted(r[0] for r in delayed.select("lead_bin").distinct().collect())
     used, chosen = None, None
