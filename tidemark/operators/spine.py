@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.keys import clean_model, clean_serial, stable_hash, hash_choice
 from tidemark.operators.ordering import first_per_group
-from tidemark.operators.temporal import asof_join
 
 
 def _day(value: date | str | Column) -> Column:
@@ -59,6 +58,8 @@ def rebuild_spine(
     """
     if scope not in ("global", "per_key"):
         raise ValueError("scope must be 'global' or 'per_key'")
+    if columns:
+        return _spine_of_held_rows(backbone, key, at, step, scope, anchor, columns)
     bounds = backbone.groupBy(key).agg(F.min(at).alias("__first"), F.max(at).alias("__last"))
     if scope == "global":
         origin = backbone.agg(F.min(at).alias("__origin"))
@@ -74,11 +75,41 @@ def rebuild_spine(
             days = calendar(F.col("__first"), F.col("__last"), step, anchor)
     else:
         days = calendar(F.col("__first"), F.col("__last"), step, anchor)
-    spine = bounds.select(key, F.explode(days).alias(at))
-    if not columns:
-        return spine
-    source = backbone.select(key, F.col(at).alias("__seen"), *columns)
-    return asof_join(spine, source, key, at, "__seen", list(columns))
+    return bounds.select(key, F.explode(days).alias(at))
+
+
+def _spine_of_held_rows(backbone, key, at, step, scope, anchor, columns):
+    """The calendar of ``rebuild_spine`` with columns.
+
+    A day's row (the greatest by ``columns``) holds until the key's next one, so each row yields the calendar days
+    that it holds for. Only one row per (key, day) is sorted, and no calendar day is shuffled.
+    """
+    known = F.col(key).isNotNull()
+    # rows without a key have a calendar, but nothing to look up
+    row = F.max(columns[0]) if len(columns) == 1 else F.max(F.struct(*columns))
+    daily = backbone.where(F.col(at).isNotNull()).groupBy(key, F.col(at).alias("__day")).agg(row.alias("__row"))
+    days = Window.partitionBy(key).orderBy("__day")
+    held = daily.withColumns({
+        "__until": F.date_sub(F.lead("__day").over(days), 1),
+        "__first": F.first("__day").over(days.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+    })
+    if anchor is not None and scope == "global":
+        scope = "per_key"
+    if scope == "global":
+        held = held.join(F.broadcast(backbone.agg(F.min(at).alias("__origin"))))
+        begin = F.date_add("__origin", (F.ceil(F.datediff("__first", "__origin") / F.lit(step)) * step).cast("int"))
+    elif anchor is not None:
+        begin = F.date_add(_day(anchor), (F.ceil(F.greatest(F.datediff("__first", _day(anchor)), F.lit(0)) / F.lit(step)) * step).cast("int"))
+    else:
+        begin = F.col("__first")
+    held = held.withColumn("__begin", begin)
+    behind = F.greatest(F.datediff("__day", "__begin"), F.lit(0))
+    start = F.date_add("__begin", (F.ceil(behind / F.lit(step)) * step).cast("int"))
+    taken = [F.col("__row")] if len(columns) == 1 else [F.col(f"__row.{c}") for c in columns]
+    return held.select(
+        key, F.explode(calendar(start, F.coalesce("__until", "__day"), step)).alias(at),
+        *[F.when(known, x).alias(c) for x, c in zip(taken, columns, strict=True)],
+    )
 
 
 def greedy_dates(
