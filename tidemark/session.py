@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,12 +40,24 @@ def build_session(
     return builder.getOrCreate()
 
 
+#: Shuffled bytes, as compressed, up to which adaptive execution puts partitions together.
+PARTITION_BYTES = 16 << 20
+
+
+def _bytes(size: str) -> int:
+    """Bytes of a Spark size such as ``64MB``, ``8m`` or ``67108864b``."""
+    number, unit = re.fullmatch(r"(\d+)([kmgtp]?)b?", size.strip().lower()).groups()
+    return int(number) << (10 * " kmgtp".index(unit or " "))
+
+
 def measured_joins(spark: SparkSession) -> SparkSession:
     """A session beside ``spark`` with its settings, where joins broadcast by measured sizes only.
 
     Estimates come from compressed files and do not know what an explode makes of a row: the dates of a spine,
     guessed at a few MB, were 2 GB in one broadcast. Adaptive execution measures a side before it broadcasts it.
     The caller's session keeps its settings; a threshold that the caller switched off stays off.
+    Shuffled partitions are put together up to ``PARTITION_BYTES`` only: sorted calendars compress some 20 to 40 times,
+    so that Spark's 64 MB are gigabytes in one task.
     """
     session, own = spark.newSession(), "spark.sql.autoBroadcastJoinThreshold"
     for name, value in spark.conf.getAll.items():
@@ -54,6 +67,9 @@ def measured_joins(spark: SparkSession) -> SparkSession:
         measured = "spark.sql.adaptive.autoBroadcastJoinThreshold"
         session.conf.set(measured, spark.conf.get(measured, None) or spark.conf.get(own))
         session.conf.set(own, "-1")
+        advised = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+        if _bytes(spark.conf.get(advised)) > PARTITION_BYTES:
+            session.conf.set(advised, str(PARTITION_BYTES))
     return session
 
 
