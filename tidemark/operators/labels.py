@@ -232,21 +232,39 @@ def outcome_history(
     Prior counts use ``(as_of-d, as_of]``, the target ``(as_of, as_of+horizon]``. ``days``
     holds one row per (key, day). The last event day of all keys bounds completeness.
     """
-    specs = [
-        *[Feature(f"prior_claim_count_{d}d", "count", oldest=d - 1, newest=0) for d in (30, 90, 180, 365)],
-        Feature("prior_claim_count_ever", "count", oldest=None, newest=0),
-        Feature("days_since_prior_claim", "recency", day, oldest=None, newest=0),
-        Feature("target_claim_count_90d", "count", oldest=-1, newest=-horizon),
-        Feature("target_first_claim_date_90d", "min", day, oldest=-1, newest=-horizon),
-    ]
-    points = rows.select(key, as_of).distinct()
-    found = window_features(points, days, specs, key, as_of, day)
-    found = asof_join(
-        found, days.withColumn("__next", F.col(day)), key, as_of, day, ["__next"],
-        direction="forward", inclusive=False,
+    # events and periods of a key in one sorted scan: an event comes before a period of its own day
+    rest = [c for c in rows.columns if c not in (key, as_of)]
+    events = days.where(F.col(key).isNotNull() & F.col(day).isNotNull())
+    timeline = events.select(key, F.col(day).alias("__event"), (F.unix_date(day) * 2).alias("__place")).unionByName(
+        rows.select(
+            key, F.col(as_of), (F.unix_date(as_of) * 2 + 1).alias("__place"), F.lit(True).alias("__period"),
+            *([F.struct(*rest).alias("__rest")] if rest else []),
+        ),
+        allowMissingColumns=True,
     )
+    scan = Window.partitionBy(key).orderBy("__place")
+
+    def upto(ahead: int) -> Window:
+        return scan.rangeBetween(Window.unboundedPreceding, 2 * ahead)
+
+    # counts are differences of running counts, so no window is gone through again for each period
+    ages = {"__ever": 0, "__ahead": horizon, **{f"__before_{d}": -d for d in (30, 90, 180, 365)}}
+    found = timeline.select(
+        "*", *[F.count("__event").over(upto(n)).alias(c) for c, n in ages.items()], F.max("__event").over(upto(0)).alias("__last"),
+        F.expr(f"lead(__event) ignore nulls over (partition by `{key}` order by __place)").alias("__next"),
+    ).where("__period")
+    known = F.col(key).isNotNull() & F.col(as_of).isNotNull()
+    counted = lambda a, b: F.when(known, F.col(a) - F.col(b))
     last = days.agg(F.max(day).alias("target_observation_end"))
-    out = rows.join(found, [key, as_of], "left").join(F.broadcast(last))
+    out = found.select(
+        key, as_of, *[F.col(f"__rest.{c}") for c in rest],
+        *[counted("__ever", f"__before_{d}").alias(f"prior_claim_count_{d}d") for d in (30, 90, 180, 365)],
+        F.when(known, F.col("__ever")).alias("prior_claim_count_ever"),
+        F.when(known, F.datediff(as_of, "__last")).alias("days_since_prior_claim"),
+        counted("__ahead", "__ever").alias("target_claim_count_90d"),
+        F.when(known & (F.col("__next") <= F.date_add(as_of, horizon)), F.col("__next")).alias("target_first_claim_date_90d"),
+        F.when(known, F.col("__next")).alias("__next"),
+    ).join(F.broadcast(last))
     return out.withColumns(
         {
             "target_90d": (F.col("target_claim_count_90d") > 0).cast("int"),
