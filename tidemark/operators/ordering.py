@@ -36,13 +36,15 @@ def ordered_scan(
     size: str | None = None,
     running: Mapping[str, Column] | None = None,
     totals: Mapping[str, Column] | None = None,
+    few_groups: bool = False,
 ) -> DataFrame:
     """Number the rows of each group in a total order, for groups of any size.
 
     ``running`` adds inclusive running sums and ``totals`` whole-group sums. Rows are
     range-partitioned by (group, order), so a hot group spreads over many tasks. The
     placed rows are checkpointed because the offsets and the rows must agree on the
-    placement; the offset table has one row per (group, partition).
+    placement; the offset table has one row per (group, partition). Where the configuration bounds the
+    number of groups, ``few_groups`` sends that table to the rows instead of shuffling them once more.
     """
     running, totals = dict(running or {}), dict(totals or {})
     sort = [F.col(c).asc_nulls_first() for c in group] + list(order)
@@ -77,7 +79,7 @@ def ordered_scan(
     match = F.col("__piece") == F.col("__p___piece")
     for name in group:
         match = match & F.col(name).eqNullSafe(F.col(f"__p_{name}"))
-    joined = placed.join(renamed, match, "inner")
+    joined = placed.join(F.broadcast(renamed) if few_groups else renamed, match, "inner")
     inside = (
         Window.partitionBy("__piece", *group)
         .orderBy("__id")

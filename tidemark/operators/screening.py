@@ -324,7 +324,7 @@ def mutual_information(
     listed = lambda parts: filled.select(*keep, F.explode(F.filter(F.array(*parts), lambda x: x.isNotNull())).alias("__x")).select(*keep, "__x.*")
     binned = listed(plain).select("feature", "bin", target)
     if tied:
-        ranked = ordered_scan(listed(tied), ["feature", "value"], [F.col(c).asc() for c in order], number="__turn")
+        ranked = ordered_scan(listed(tied), ["feature", "value"], [F.col(c).asc() for c in order], number="__turn", few_groups=True)
         place = F.expr(f"((before + __turn - 1) * kinds + {n} - 2) div ({n} - 1)")
         binned = binned.unionByName(ranked.select("feature", (F.greatest(place, F.lit(1)) - 1).cast("int").alias("bin"), target))
     cells = binned.groupBy("feature", "bin", target).agg(F.count(F.lit(1)).alias("c")).withColumn("n", F.lit(n))
