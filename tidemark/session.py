@@ -50,6 +50,26 @@ def _bytes(size: str) -> int:
     return int(number) << (10 * " kmgtp".index(unit or " "))
 
 
+def _beside(spark: SparkSession) -> SparkSession:
+    """A new session with the settings of ``spark``."""
+    session = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if session.conf.get(name, None) != value and spark.conf.isModifiable(name):
+            session.conf.set(name, value)
+    return session
+
+
+def brief_shuffles(spark: SparkSession) -> SparkSession:
+    """A session beside ``spark`` with its settings, where shuffled rows are removed when the job that wrote them ends.
+
+    Otherwise they stay on disk until the driver happens to collect their handles. For operators that store
+    the result of every step; the caller's session keeps its setting.
+    """
+    session = _beside(spark)
+    session.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    return session
+
+
 def measured_joins(spark: SparkSession) -> SparkSession:
     """A session beside ``spark`` with its settings, where joins broadcast by measured sizes only.
 
@@ -59,10 +79,7 @@ def measured_joins(spark: SparkSession) -> SparkSession:
     Shuffled partitions are put together up to ``PARTITION_BYTES`` only: sorted calendars compress some 20 to 40 times,
     so that Spark's 64 MB are gigabytes in one task.
     """
-    session, own = spark.newSession(), "spark.sql.autoBroadcastJoinThreshold"
-    for name, value in spark.conf.getAll.items():
-        if session.conf.get(name, None) != value and spark.conf.isModifiable(name):
-            session.conf.set(name, value)
+    session, own = _beside(spark), "spark.sql.autoBroadcastJoinThreshold"
     if spark.conf.get("spark.sql.adaptive.enabled") == "true":
         measured = "spark.sql.adaptive.autoBroadcastJoinThreshold"
         session.conf.set(measured, spark.conf.get(measured, None) or spark.conf.get(own))
