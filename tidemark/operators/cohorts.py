@@ -9,9 +9,13 @@ Positions come from ``ordered_scan`` and are spread over tasks.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping, Sequence
 from datetime import date
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -420,6 +424,122 @@ def joint_ratio_pool(positives: DataFrame, negatives: DataFrame, ratio: int) ->
     return pos.unionByName(neg)
 
 
+#: Open cases and unused index rows up to which one task plays the remaining rounds of an exclusive pool.
+LOCAL_ROWS = 2_000_000
+#: Cells of the arrays of one step of that task.
+LOCAL_CELLS = 1 << 20
+
+
+def _codes(*columns: pa.ChunkedArray) -> np.ndarray:
+    """Whole numbers that are equal where the values of the columns, one behind the other, are equal."""
+    whole = pa.concat_arrays([chunk for column in columns for chunk in column.chunks])
+    return whole.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _numbers(column: pa.ChunkedArray, missing: int = 0) -> np.ndarray:
+    return pc.fill_null(column, missing).to_numpy().astype(np.int64)
+
+
+def _play_rounds(cases: pa.Table, rows: pa.Table, stratum: Sequence[str], seed: int, ratio: int, turn: int):
+    """The rounds of ``controlled_ratio_pool`` from number ``turn`` on, in arrays.
+
+    ``cases`` are walks of open cases, ``rows`` the unused rows of the index. Gives the places in ``cases`` of the
+    settled ones, the places in ``rows`` of their controls in asking order, and the open cases of every round.
+    """
+    n = cases.num_rows
+    entity = _codes(cases[KEY], rows["control_key"])
+    me, entities = entity[:n], int(entity.max(initial=0)) + 1
+    bins = np.zeros(len(entity), dtype=np.int64)
+    for c in (*stratum, "__bin"):
+        code = _codes(cases[c], rows[c])
+        bins = np.unique(bins * (int(code.max(initial=0)) + 1) + code, return_inverse=True)[1]
+    span, stride, shift, size, low, high = (_numbers(cases[c]) for c in ("__span", "__stride", "__shift", "__size", "__lo", "__hi"))
+    opens, ends = (_numbers(cases[c]) for c in ("__opens", "__ends"))
+    wide = int(span.max(initial=1))
+    at = bins[n:] * wide + _numbers(rows["__place"])
+    order = np.argsort(at)
+    at, control = at[order], entity[n:][order]
+    day = np.iinfo(np.int32)
+    since, until, first, last = (
+        _numbers(rows[c], missing)[order] for c, missing in (("__from", day.min), ("__until", day.max), ("__first", 0), ("__last", 0))
+    )
+    names = pc.cast(cases["case_control_group_id"], pa.string()).to_pylist()
+    used = np.zeros(entities, dtype=bool)
+    begin, held = np.zeros(n, dtype=np.int64), np.full((n, ratio), -1, dtype=np.int64)
+    alive, settled, log = np.arange(n if len(at) else 0), [], []
+    while True:
+        # a case keeps the unused of its controls and walks on until it has enough or its walk ends
+        mine = held[alive]
+        good = (mine >= 0) & ~used[control[mine]] if len(alive) else mine >= 0
+        mine = np.take_along_axis(np.where(good, mine, -1), np.argsort(~good, axis=1, kind="stable"), 1)
+        have, steps = good.sum(axis=1), 2 * ratio
+        while True:
+            short = np.flatnonzero((have < ratio) & (begin[alive] < span[alive]))
+            if not len(short):
+                break
+            rows_at_once = max(1, LOCAL_CELLS // steps)
+            for part in (short[i : i + rows_at_once] for i in range(0, len(short), rows_at_once)):
+                i = alive[part][:, None]
+                step = begin[i] + np.arange(steps)
+                place = (stride[i] * step + shift[i]) & (span[i] - 1)
+                spot = bins[i] * wide + place
+                met = np.minimum(np.searchsorted(at, spot), len(at) - 1)
+                fits = (
+                    (step < span[i]) & (place < size[i]) & (at[met] == spot) & (control[met] != me[i]) & ~used[control[met]]
+                    & (since[met] <= low[i]) & (high[i] <= until[met]) & (first[met] <= ends[i]) & (last[met] >= opens[i])
+                )
+                number, want = fits.cumsum(axis=1), (ratio - have[part])[:, None]
+                case, place_in_row = np.nonzero(fits & (number <= want))
+                mine[part[case], have[part][case] + number[case, place_in_row] - 1] = met[case, place_in_row]
+                enough = number >= want
+                begin[i[:, 0]] += np.where(enough.any(axis=1), enough.argmax(axis=1) + 1, steps)
+                have[part] += np.minimum(number[:, -1], want[:, 0])
+            steps = min(4 * steps, 4096)
+        held[alive] = mine
+        alive, mine = alive[have == ratio], mine[have == ratio]
+        log.append(len(alive))
+        if not len(alive):
+            return settled, order, log
+        digest = [(hashlib.md5(f"{seed}|round {turn + len(log) - 1}|{names[i]}".encode()).hexdigest()[:16], names[i]) for i in alive]
+        rank = np.empty(len(alive), dtype=np.int64)
+        rank[sorted(range(len(alive)), key=digest.__getitem__)] = np.arange(len(alive))
+        wishes = np.column_stack([me[alive], control[mine]])
+        best = np.full(entities, len(alive), dtype=np.int64)
+        np.minimum.at(best, wishes.ravel(), np.repeat(rank, ratio + 1))
+        won = (best[wishes] == rank[:, None]).all(axis=1)
+        settled.append((alive[won], mine[won]))
+        used[wishes[won].ravel()] = True
+        alive = alive[~used[me[alive]]]
+
+
+def _rounds_in_one_task(walks: DataFrame, rows: DataFrame, stratum: Sequence[str], seed: int, ratio: int, turn: int) -> DataFrame:
+    """Settled (group, case_key, control_key, rank) of bounded inputs; rows without a group tell a round's open cases."""
+    group, names = "case_control_group_id", list(stratum)
+    left = walks.select(
+        F.lit(0).alias("__one"), group, KEY, *names, "__bin", "__span", "__stride", "__shift", "__size", "__lo", "__hi",
+        F.unix_date("window_start").alias("__opens"), F.unix_date("window_end").alias("__ends"),
+    )
+    right = rows.select(F.lit(0).alias("__one"), F.col(KEY).alias("control_key"), *names, "__bin", "__place", "__from", "__until", "__first", "__last")
+    kind = {f.name: f.dataType.simpleString() for f in (*left.schema, *right.schema)}
+
+    def run(cases: pa.Table, spare: pa.Table) -> pa.Table:
+        settled, order, log = _play_rounds(cases, spare, names, seed, ratio, turn)
+        who = np.concatenate([np.repeat(c, ratio) for c, _ in settled]) if settled else np.zeros(0, dtype=np.int64)
+        whom = order[np.concatenate([m.ravel() for _, m in settled])] if settled else who
+        blank, rounds = [None] * len(log), list(range(turn, turn + len(log)))
+        told = lambda column, taken: pa.concat_arrays([column.take(pa.array(taken)).combine_chunks(), pa.array(blank, column.type)])
+        return pa.table({
+            group: told(cases[group], who), "case_key": told(cases[KEY], who), "control_key": told(spare["control_key"], whom),
+            "rank": pa.array([*np.tile(np.arange(1, ratio + 1), len(who) // ratio), *rounds], pa.int32()),
+            "open": pa.array([None] * len(who) + log, pa.int64()),
+        })
+
+    paired = left.groupBy("__one").cogroup(right.groupBy("__one"))
+    return cut_lineage(paired.applyInArrow(
+        run, f"{group} {kind[group]}, case_key {kind[KEY]}, control_key {kind['control_key']}, rank int, open long"
+    ))
+
+
 def controlled_ratio_pool(
     cases: DataFrame, candidates: DataFrame, claims: DataFrame, last_observed: DataFrame, ratio: int,
     stratum: Sequence[str] = ("full_model", "split"), seed: int = 42,
@@ -433,16 +553,30 @@ def controlled_ratio_pool(
     entity goes to the asking case with the smallest priority. A case that wins itself and all
     its controls is settled, one whose walk has ended with too few is dropped. Priorities are
     drawn anew each round, so a settled case in every neighbourhood of conflicts is likely and
-    the rounds grow with the logarithm of the cases. ``rounds`` collects the open cases of every round.
+    the rounds grow with the logarithm of the cases. As soon as the open cases and the unused rows
+    of the index number ``LOCAL_ROWS`` at most, one task plays the remaining rounds in arrays, with
+    the same steps and priorities. ``rounds`` collects the open cases of every round.
     """
     observed = followed_up(cases, last_observed, future)
     index = ControlIndex(observed, candidates, claims, stratum, seed, "controlled", prior, future)
     group = "case_control_group_id"
-    walks = cut_lineage(index.walks(observed))
+    walks = cut_lineage(index.walks(observed).where(F.col(group).isNotNull()))
     open_cases = cut_lineage(walks.select(group, F.col(KEY).alias("case_key"), "__span", F.lit(0).cast("long").alias("__next"), F.lit(2 * ratio).cast("long").alias("__fetch")))
     held = used = settled = None
     turn = 0
     while True:
+        spare, still = index.rows, walks
+        if used is not None:
+            spare = spare.join(used.withColumnRenamed("used_key", KEY), KEY, "left_anti")
+            still = walks.join(open_cases.select(group), group, "left_semi")
+        if max(open_cases.count(), spare.count()) <= LOCAL_ROWS:
+            ended = _rounds_in_one_task(still, spare, stratum, seed, ratio, turn)
+            if rounds is not None:
+                told = ended.where("open is not null").orderBy("rank").select("open").collect()
+                rounds.extend([r["open"] for r in told] or [0])
+            new = ended.where("open is null").drop("open")
+            settled = new if settled is None else settled.unionByName(new)
+            break
         # fetch the next steps of cases that hold too few, until they have enough or their walk ends
         while True:
             have = held.groupBy(group).agg(F.count(F.lit(1)).alias("__have")) if held is not None else None
